@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, langid, packing, quality
+from factloom.llm import bpe, chat, exact, langid, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +23,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = langid.train(docs.where(~langid.held_out()))
     return langid.identify(docs, prototypes, keep=["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(chat.PROBE_ID, 0, "user", chat.PROBE_TEXT), (chat.PROBE_ID, 1, "assistant", chat.PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_chat(turns))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_packing, op7_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_packing, op6_exact_dedup, op7_language_id, op9_chat_format, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": exact.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
