@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, exact, langid, packing, quality
+from factloom.llm import bpe, chat, exact, langid, minhash, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, prototypes, keep=["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(chat.PROBE_ID, 0, "user", chat.PROBE_TEXT), (chat.PROBE_ID, 1, "assistant", chat.PROBE_TEXT)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -44,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_packing, op6_exact_dedup, op7_language_id, op9_chat_format, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_packing, op6_exact_dedup, op7_language_id, op8_minhash, op9_chat_format, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
