@@ -353,7 +353,7 @@ def first_documents(table: pa.Table) -> pa.Table:
     return pa.table([answers.column("part"), answers.column("blob")], ["batch", "blob"])
 
 
-def remove(table: pa.Table, reply: pa.Table, keep: list[str]) -> pa.Table:
+def remove(table: pa.Table, reply: pa.Table, keep: list[str], whole_characters: bool) -> pa.Table:
     """A batch's documents without the bytes of windows that an earlier document has."""
     raw, at, rank = batch_of(table)
     answers = np.sort(blobs(reply.column("blob"), PACKED), order=["h", "text"])
@@ -398,14 +398,17 @@ def remove(table: pa.Table, reply: pa.Table, keep: list[str]) -> pa.Table:
     left = raw[~gone].tobytes()
     edges = np.concatenate(([0], np.cumsum(np.diff(at) - removed))).tolist()
     kept = [left[a:b] for a, b in zip(edges, edges[1:])]
-    return pa.table([*[table.column(c) for c in keep], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(total(begins).astype(np.int64)), pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+    if whole_characters:
+        kept = [x.decode("utf-8", "ignore") for x in kept]
+    return pa.table([*[table.column(c) for c in keep], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(total(begins).astype(np.int64)), pa.array(kept, pa.string() if whole_characters else pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept_text" if whole_characters else "kept_bytes"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, batch_bytes: int = BATCH_BYTES, whole_characters: bool = False) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document with a smaller id.
 
     Rows out, one per row of ``docs``: the columns ``keep`` (default: the id), n_bytes, n_removed,
-    n_spans (maximal removed runs) and kept_bytes (the remaining bytes). Texts are UTF-8 bytes, null
+    n_spans (maximal removed runs) and kept_bytes (the remaining bytes), or with
+    ``whole_characters`` kept_text (the same without parts of characters). Texts are UTF-8 bytes, null
     is empty, matches don't cross documents, and strings are judged on the texts as they came in.
     A null id is larger than every other; rows with one id don't remove from one another.
     """
@@ -427,5 +430,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, r: send_strands(t, r, batches, number(t)), SENT)
     seen = sent.groupBy("part").applyInArrow(first_documents, "batch bigint, blob binary")
     fields = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(lambda t, r: remove(t, r, names), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
-    return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", "n_spans", "kept_bytes")
+    out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(lambda t, r: remove(t, r, names, whole_characters), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_text string' if whole_characters else 'kept_bytes binary'}")
+    return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", "n_spans", out.columns[-1])
