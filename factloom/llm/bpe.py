@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import binary_parts, slices
 from factloom.llm.pretoken import pieces
 
-#: Pieces whose ids are kept in memory, at most, and the longest such piece.
+#: Pieces of a generation of the cache, two of which are kept at most, and the longest such piece.
 CACHED_PIECES, CACHED_BYTES = 200_000, 64
 #: Bytes of text that are handled at once.
 CHUNK = 1 << 20
@@ -66,20 +66,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceCache(dict):
-    """Piece to its ids as little-endian unsigned 32-bit bytes; computes what is missing."""
+    """Piece to its ids as little-endian unsigned 32-bit bytes; computes what is missing.
+
+    When it is full, its pieces become the older generation, from which only those that
+    occur again return. So frequent pieces stay, and memory is bounded.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        out = np.array(self.encode(piece), "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.encode(piece), "<u4").tobytes()
         if len(piece) <= CACHED_BYTES:
             self[piece] = out
         return out
 
     def trim(self) -> None:
         if len(self) > CACHED_PIECES:
+            self.older = dict(self)
             self.clear()
 
 

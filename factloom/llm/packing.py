@@ -6,6 +6,7 @@ independently in random groups of documents.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -64,13 +65,37 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def ranks_of(vocabulary: bytes) -> dict[bytes, int] | None:
+    """Byte strings to ids of a byte-level BPE file, if its merges are in the order of their ids."""
+    model = json.loads(vocabulary)["model"]
+    # Byte-level files write each byte as a printable character: itself, or one from 256 on.
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    vocab = model["vocab"]
+    merges = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(b <= a for a, b in zip(merges, merges[1:])) or not all(c in vocab for c in byte_of):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and (len(token) == 1 or i >= merges[0])}
+
+
 @lru_cache(2)
 def piece_cache(vocabulary: bytes) -> PieceCache:
+    """Ids of pre-tokens as the tokenizers library gives them.
+
+    Where merge order and id order agree, the rank merger of tiktoken makes the same ids of a
+    single pre-token in a fraction of the time; other files go through the library itself.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(vocabulary)
     tokenizer.encode_special_tokens = True
-    return PieceCache(lambda piece: tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids)
+    ranks = ranks_of(vocabulary)
+    if ranks is None:
+        return PieceCache(lambda piece: tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids)
+    import tiktoken
+
+    return PieceCache(tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
 
 
 def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
