@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -302,7 +303,7 @@ def send_strands(table: pa.Table, reply: pa.Table, parts: int, batch: int) -> pa
     for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(part)).tolist()):
         own_rows = heads[a:b]
         texts = b"".join([data[s : s + n + WINDOW - 1] for s, n in zip(first[own_rows].tolist(), size[own_rows].tolist())])
-        rows.append((int(part[a]), batch, np.where(several[a:b], h[own_rows] | np.uint64(1 << 63), h[own_rows]).tobytes(), texts, size[own_rows].astype(np.uint8).tobytes(), least[a:b].tobytes()))
+        rows.append((int(part[a]), batch, np.where(several[a:b], h[own_rows] | np.uint64(1 << 63), h[own_rows]).tobytes(), zstandard.compress(texts, 3), size[own_rows].astype(np.uint8).tobytes(), least[a:b].tobytes()))
     columns = list(zip(*rows)) or [[]] * 6
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["part", "batch", "h", "texts", "sizes", "ranks"])
@@ -314,7 +315,7 @@ def first_documents(table: pa.Table) -> pa.Table:
     several, h = h >> np.uint64(63) > 0, h & np.uint64((1 << 63) - 1)
     size, rank = blobs(table.column("sizes"), np.uint8).astype(np.int64), blobs(table.column("ranks"), "<i8")
     batch = np.repeat(table.column("batch").to_numpy(), [len(x) for x in table.column("sizes").to_pylist()])
-    data = b"".join(table.column("texts").to_pylist())
+    data = b"".join(map(zstandard.decompress, table.column("texts").to_pylist()))
     at = np.concatenate(([0], np.cumsum(size + WINDOW - 1)))
     # Strands that several batches sent are one text.
     number: dict[bytes, int] = {}
@@ -335,9 +336,9 @@ def first_documents(table: pa.Table) -> pa.Table:
         count = windows[rest]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         starts, slots = np.repeat(at[sample[rest]], count) + step, np.repeat(begin[rest], count) + step
-        slot_of = dict(zip(starts.tolist(), slots.tolist()))
         order, kind = deep_shallow(data, starts)
-        slot = np.fromiter(map(slot_of.__getitem__, order.tolist()), np.int64, len(order))
+        by = np.argsort(starts)
+        slot = slots[by[np.searchsorted(starts, order, sorter=by)]]
         best = np.full(int(kind[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, kind, earliest[slot])
         earliest[slot] = best[kind]
