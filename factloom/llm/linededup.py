@@ -5,10 +5,11 @@ character at one place (a substitution), or one is the other without a character
 All variants with one deletion are therefore emitted as hashed keys, lines meet
 under equal keys, the edit distance is verified, and the earliest line is kept.
 
-Variants are only made of lines that can have a partner. With one edit, either
+Variants are only made where a line can have a partner. With one edit, either
 the first or the second half of the shorter line is found unchanged at the same
-end of the other, so lines whose halves are unique drop out before. This loses
-nothing.
+end of the other, so lines whose halves are unique drop out before. Of the rest,
+all but one of SEGMENTS parts must agree, so characters are left out only inside
+a part outside which another line is equal. This loses nothing.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from factloom.llm.common import checkpointed, stored
 
 #: Code points of a line from which one edit counts as the same line; shorter ones must be equal.
 LEAST_CHARS = 16
-#: Edits that the neighbourhood covers.
-EDITS = 1
+#: Edits that the neighbourhood covers, and parts of a line in one of which an edit lies.
+EDITS, SEGMENTS = 1, 16
 
 
 def half_keys(line: Column) -> list[Column]:
@@ -34,6 +35,18 @@ def half_keys(line: Column) -> list[Column]:
     return out
 
 
+def outer_keys(line: Column) -> Column:
+    """For a line of its length and as one with a character more: hashes of all but one part, by part."""
+    n = F.length(line)
+
+    def of(t: Column, more: int) -> Column:
+        bound = lambda j: F.floor(t * j / SEGMENTS).cast("int")
+        key = lambda j: F.xxhash64(F.lit("outer"), t, j, F.substr(line, F.lit(1), bound(j)), F.right(line, t - bound(j + 1)))
+        return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda j: F.struct(key(j).alias("key"), F.lit(more).alias("more"), bound(j).alias("lo"), (bound(j + 1) + more).alias("hi")))
+
+    return F.concat(of(n, 0), of(n - 1, 1))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The lines with a word, where they are, and a hash of 128 bits of each."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
@@ -62,14 +75,17 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = occ.select("h1", "h2", "line").join(able, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     lines = checkpointed(lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("id", F.struct("h1", "h2")).select("id", "first", "line"))
 
-    without = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("rest")))
-    variants = lines.select("id", "first", F.length("line").alias("n"), F.explode(without).alias("v"))
+    outer = checkpointed(lines.select("id", F.explode(outer_keys(F.col("line"))).alias("o")).select("id", "o.*"))
+    met = outer.join(outer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("id", "more", "lo", "hi").distinct()
+    spots = lines.join(met, "id").where("hi > lo")
+    without = F.transform(F.sequence(F.col("lo") + 1, F.col("hi")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("rest")))
+    variants = checkpointed(spots.select("id", "first", "more", F.length("line").alias("n"), F.explode(without).alias("v")))
     # One character changed: both lines agree without it. All lines under such a key are one edit
     # apart, so each is only held against the earliest.
-    changed = variants.select(F.xxhash64(F.lit("changed"), "n", "v.i", "v.rest").alias("key"), "id", "first")
+    changed = variants.where("more = 0").select(F.xxhash64(F.lit("changed"), "n", "v.i", "v.rest").alias("key"), "id", "first").distinct()
     # One character more: the variant is the other line.
-    longer = variants.select(F.xxhash64(F.lit("longer"), F.col("n") - 1, "v.rest").alias("key"), "id", "first", F.lit(False).alias("whole"))
-    whole = lines.select(F.xxhash64(F.lit("longer"), F.length("line"), F.xxhash64("line")).alias("key"), "id", "first", F.lit(True).alias("whole"))
+    longer = variants.where("more = 1").select(F.xxhash64(F.lit("longer"), F.col("n") - 1, "v.rest").alias("key"), "id", "first")
+    whole = lines.select(F.xxhash64(F.lit("longer"), F.length("line"), F.xxhash64("line")).alias("key"), "id", "first")
 
     leader = changed.groupBy("key").agg(F.min(F.struct("first", "id")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     one = changed.join(leader, "key").where("lead.id <> id").select("id", F.col("lead.id").alias("other"))
