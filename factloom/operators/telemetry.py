@@ -22,13 +22,13 @@ def floor_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str
     Values are counted before they are ordered, so that a key's rows needn't be in one place: what
     is sorted is one row per distinct value.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times of value"))
     w = Window.partitionBy(*keys)
     upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(w))
-    place = lambda q: F.floor((F.col("n") - 1) * F.lit(q))
-    hit = lambda q: (F.col("upto") > place(q)) & (F.col("upto") - F.col("k") <= place(q))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    ranked = counts.withColumn("upto to value", F.sum("times of value").over(upto)).withColumn("n of all", F.sum("times of value").over(w))
+    place = lambda q: F.floor((F.col("n of all") - 1) * F.lit(q))
+    hit = lambda q: (F.col("upto to value") > place(q)) & (F.col("upto to value") - F.col("times of value") <= place(q))
+    return ranked.groupBy(*keys).agg(F.max("n of all").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def minute_windows(log: DataFrame) -> DataFrame:
