@@ -17,11 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("c")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        spread = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("via"))
+        over = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").select(F.col("a").alias("id"), "c", F.lit(None).cast(labels.schema["c"].dataType).alias("old"))
+        spread = labels.select("id", "c", F.col("c").alias("old")).union(over).groupBy("id").agg(F.min("c").alias("via"), F.max("old").alias("old"))
         jump = labels.select(F.col("id").alias("via"), F.col("c").alias("further"))
         after = checkpointed(spread.join(jump, "via").select("id", "old", F.least("via", "further").alias("c")))
-        changed = after.where("c < old").limit(1).count()
         labels = after.select("id", "c")
-        if not changed:
+        if after.where("c < old").isEmpty():
             return labels

@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed, mix64, stored
+from factloom.llm.common import binary_parts, checkpointed, mix64, release, stored, text_batches
 from factloom.llm.graph import components
 
 #: Symbols of a signature, and the chance that a pair at the very threshold is further apart than the bound.
 SYMBOLS, MISS = 48, 1e-6
-#: Pairs that the last round may compare for every document; beyond that, rounds with one hub a key.
-PAIRS_EACH = 4
+#: Sets that are held at once on either side when strays are compared with members.
+BLOCK = 1024
 MULTIPLIERS = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -74,8 +74,9 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
+            release()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, signature binary")
 
 
@@ -91,16 +92,15 @@ def key_columns(bound: int, symbols: int = SYMBOLS) -> list:
     return keys
 
 
-def near(pairs: DataFrame, nodes: DataFrame, bound: int) -> DataFrame:
-    """The pairs (a, b) whose signatures are within the bound."""
+def near(pairs: DataFrame, bound: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, sa, sb) whose signatures sa and sb are within the bound."""
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= bound))
 
-    signed = pairs.join(nodes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-    return signed.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
+    return pairs.select("a", "b", "sa", "sb").dropDuplicates(["a", "b"]).mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,8 +109,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("xa"), batch.column("xb")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -126,21 +126,94 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     def run(batches):
         for batch in batches:
             data, at = binary_parts(batch.column(1))
-            sets = [shingle_set(bytes(data[a:b]), words).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = [shingle_set(bytes(data[a:b]), words).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_each: int = PAIRS_EACH) -> DataFrame:
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """For each set: its size, and how many of its shingles no other of the sets has."""
+    each = sets.select("id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", F.size("shingles").cast("long").alias("size")).join(own, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def may_link(a_size, a_own, b_size, b_own, percent: int):
+    """Whether two sets can have the similarity, by their sizes and their shingles that no other has.
+
+    These are in the union and not in the intersection.
+    """
+    a, b = a_size - a_own, b_size - b_own
+    return 100 * F.least(a, b) >= percent * (F.greatest(a, b) + a_own + b_own)
+
+
+def strays_against_members(rows: DataFrame, sets: DataFrame, bound: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join nodes (main, node, c, signature) of different components c under one main.
+
+    Strays, the nodes outside the main component, are queries against all nodes of their main, in
+    blocks of both. What is compared never leaves the task: of its links it gives those that join
+    what wasn't joined, so at most as many as it has strays.
+    """
+    stray = F.col("c") != F.col("main")
+    counts = rows.groupBy("main").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("bs"), F.greatest(F.lit(1), F.ceil(F.count_if(stray) / block)).alias("qs"))
+    full = rows.join(sets.withColumnRenamed("id", "node"), "node").join(counts, "main")
+    draw = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["main", "node", "c", "signature", "shingles"]
+    members = full.select(*fields, draw("bs").alias("b"), every("qs").alias("q"), F.lit(False).alias("query"))
+    queries = full.where(stray).select(*fields, every("bs").alias("b"), draw("qs").alias("q"), F.lit(True).alias("query"))
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_pylist(), table.column("c").to_pylist()
+        query = table.column("query").to_numpy()
+        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
+        lists = table.column("shingles").combine_chunks()
+        _, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        size = np.diff(at)
+        parent: dict = {c: c for c in comp}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        there = np.flatnonzero(~query)
+        flag = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
+        a, b = [], []
+        for i in np.flatnonzero(query).tolist():
+            able = there[(100 * np.minimum(size[there], size[i]) >= percent * np.maximum(size[there], size[i])) & ((sign[there] != sign[i]).sum(1) <= bound)]
+            own = token[at[i] : at[i + 1]]
+            flag[own] = True
+            for j in able.tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x == y:
+                    continue
+                shared = int(np.count_nonzero(flag[token[at[j] : at[j + 1]]]))
+                if 100 * shared >= percent * (int(size[i] + size[j]) - shared):
+                    parent[x] = y
+                    a.append(node[i]), b.append(node[j])
+            flag[own] = False
+        release()
+        kinds = table.schema.field("node").type
+        return pa.table([pa.array(a, kinds), pa.array(b, kinds)], ["a", "b"])
+
+    return members.unionByName(queries).groupBy("main", "b", "q").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than
     a shingle has one shingle. Null, empty and blank texts have none and are linked with nothing.
     Texts with one set are one node, so copies are never paired. Within a key, all are compared
-    with the smallest id first; only members that stay in other components than most of their key
-    are compared further. A component is named by its smallest id; rows that repeat an id share
+    with one hub first, but for those that their sizes and their own shingles rule out; members that
+    stay in other components than most of their key are then compared with all of it, in blocks. A component is named by its smallest id; rows that repeat an id share
     its verdict; rows without id are kept and linked with nothing. No pair, group or table is
     collected on the driver.
     """
@@ -154,36 +227,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = stored(keyed.join(hubs, "key"), "shared-keys")
     wanted = shared.select(F.col("node").alias("id")).distinct()
     sets = stored(full_sets(docs, wanted, words, id_col, text_col), "sets")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return checkpointed(confirmed(near(pairs, nodes, bound), sets, percent))
-
-    links = links_of(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    facts = own_shingles(sets).join(nodes, "id")
+
+    # A member that can't have the similarity with any set as large as the smallest of its key drops out.
+    rows = shared.select("key", "node").join(facts.withColumnRenamed("id", "node"), "node")
+    common = F.col("size") - F.col("own")
+    rows = rows.join(rows.groupBy("key").agg(F.min("size").alias("least")), "key")
+    rows = stored(rows.where(100 * common >= percent * (F.col("size") + F.greatest(F.col("least") - common, F.lit(0)))).drop("least"), "rows")
+    # The hub of a key is the member with the fewest shingles of its own.
+    hub = rows.groupBy("key").agg(F.min(F.struct("own", "node", "size", "signature")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    met = rows.join(hub, "key").where("node <> hub.node")
+    able = may_link(F.col("size"), F.col("own"), F.col("hub.size"), F.col("hub.own"), percent)
+    pairs = met.where(able).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("signature").alias("sa"), F.col("hub.signature").alias("sb"))
+    links = checkpointed(confirmed(near(pairs, bound), sets, percent))
     labels = components(links)
-    work = shared.where("node <> hub").select("key", "node")
-    budget = pairs_each * max(1, nodes.count())
-    while True:
-        # Members of a key that are not yet compared with one another, by component.
-        own = work.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
-        sizes = own.groupBy("key", "c").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = checkpointed(open_.select("key", F.col("most.c").alias("main"), (F.col("total") - F.col("most.n")).alias("strays"), "total"))
-        cost = open_.agg(F.sum(F.col("strays") * F.col("total")).alias("x")).first().x
-        if not cost:
-            break
-        rows = checkpointed(own.join(open_.select("key", "main"), "key"))
-        strays = rows.where("c <> main").select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-        if last := cost <= budget:
-            chosen = strays
-        else:
-            chosen = strays.groupBy("key").agg(F.min(F.struct("b", "cb")).alias("s")).select("key", "s.b", "s.cb")
-        pairs = rows.join(chosen, "key").where("c <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = links_of(pairs)
-        links = links.union(more)
-        labels = components(links)
-        if last:
-            break
-        work = checkpointed(rows.join(chosen.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
+
+    # Members of a key that are in other components than most of it may still have links.
+    now = met.drop("hub").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.c").alias("main"))
+    rest = now.join(main, "key").groupBy("main", "node").agg(F.min("c").alias("c"), F.min("signature").alias("signature"))
+    rest = checkpointed(rest)
+    if not rest.isEmpty():
+        more = checkpointed(strays_against_members(rest, sets, bound, percent, block))
+        labels = components(links.union(more))
 
     out = table.join(first, "digest", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "node", "id"))
