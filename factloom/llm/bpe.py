@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, slices
+from factloom.llm.common import binary_parts, slices, text_batches
 from factloom.llm.pretoken import pieces
 
 #: Pieces of a generation of the cache, two of which are kept at most, and the longest such piece.
@@ -144,7 +144,7 @@ def encode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
                     ["id", "ids", "offsets"],
                 )
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = text_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, offsets array<bigint>").withColumnRenamed("id", id_col)
 
 
@@ -168,5 +168,5 @@ def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
                     text_hex.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = text_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -39,6 +40,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where rows hold whole texts.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Have rows with whole texts go to Python in smaller batches than the default for short rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give memory that is free again back to the system; workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def binary_parts(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """A binary or string array as one buffer and ``n + 1`` offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

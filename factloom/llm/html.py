@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import text_batches
 from factloom.llm.html_labels import labelled_pages
 
 #: Elements that begin and end a block, that have no end tag, and whose content isn't shown.
@@ -172,6 +173,6 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
             texts = [main_text(x) if x else "" for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
-    rows = pages.select(F.col(f"`{html_col}`").alias("page html"), *[F.col(f"`{c}`") for c in keep])
+    rows = text_batches(pages).select(F.col(f"`{html_col}`").alias("page html"), *[F.col(f"`{c}`") for c in keep])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, f"{fields}text string, n_chars bigint")

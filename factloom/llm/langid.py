@@ -9,6 +9,7 @@ its texts, and a text has the language whose prototype is nearest by cosine.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, mix64, slices
+from factloom.llm.common import binary_parts, mix64, release, slices, text_batches
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -107,9 +108,9 @@ def bundles(data: memoryview, at: np.ndarray, dimensions: int):
         yield out, has[i:j]
 
 
-def in_runs(batch: pa.RecordBatch, column: int, dimensions: int):
-    """The bundles of a batch in runs: first row, vectors, whether there are letters."""
-    data, at = binary_parts(batch.column(column))
+def in_runs(texts: pa.Array, dimensions: int):
+    """The bundles of texts in runs: first row, vectors, whether there are letters."""
+    data, at = binary_parts(texts)
     for i, j in slices(at, CHUNK):
         for vectors, has in bundles(data, at[i : j + 1], dimensions):
             yield i, vectors, has
@@ -127,8 +128,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            release()
             langs = np.array(batch.column(1).to_pylist(), object)
-            for i, vectors, has in in_runs(batch, 0, dimensions):
+            for i, vectors, has in in_runs(batch.column(0), dimensions):
                 own = langs[i : i + len(vectors)]
                 vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 for lang in set(own[has]):
@@ -136,7 +138,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.rint(v * 2**20).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
 
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    rows = text_batches(labelled).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     parts = rows.mapInArrow(run, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("k", "v"))
     # Whole numbers, so that the sums don't depend on the order of the tasks.
     total = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("cells"))
@@ -157,19 +159,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     matrix = matrix.T.astype(np.float32)
     labels = np.array([*names, UNKNOWN], object)
 
-    def run(batches):
-        for batch in batches:
-            best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
-            for i, vectors, has in in_runs(batch, 0, dimensions) if names else ():
+    # Only the text goes to Python; the other columns wait in the JVM.
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            best, score = np.full(len(texts), len(names)), np.zeros(len(texts))
+            for i, vectors, has in in_runs(texts, dimensions) if names else ():
                 near = (vectors @ matrix) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 top = near.argmax(1)
                 best[i : i + len(top)] = np.where(has, top, len(names))
                 score[i : i + len(top)] = np.where(has, np.clip(near[np.arange(len(top)), top], 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+            release()
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text for id"), *[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    judged = text_batches(docs).select(*[F.col(f"`{c}`") for c in keep], judge(F.col(text_col).cast("binary")).alias("judged for id"))
+    return judged.select(*[F.col(f"`{c}`") for c in keep], F.col("`judged for id`.lang_pred"), F.col("`judged for id`.score"))
 
 
 def held_out(id_col: str = "doc_id"):

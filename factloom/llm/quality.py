@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed
+from factloom.llm.common import binary_parts, checkpointed, text_batches
 
 #: Rows that each tree sees, trees, and so at most TREES * TREE_ROWS rows to fit on.
 TREE_ROWS, TREES = 256, 100
@@ -72,7 +72,7 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = np.array(rows, np.int64).reshape(-1, len(STATISTICS) + len(EXTRA)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["id", *STATISTICS, *EXTRA])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in STATISTICS + EXTRA)).withColumnRenamed("id", id_col)
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts
+from factloom.llm.common import binary_parts, release, text_batches
 
 #: Bytes of a window and of an anchor.
 WINDOW, ANCHOR = 50, 24
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(1, -(-int(size) // batch_bytes))
-    rows = docs.select(
+    rows = text_batches(docs).select(
         F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col), F.col(text_col)), F.lit(batches)).alias("batch"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"),
         text.alias("text"),
@@ -426,10 +426,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"keep {i}" for i in range(len(keep))]
     number = lambda t: t.column("batch")[0].as_py()
 
-    anchors = rows.groupBy("batch").applyInArrow(lambda t: announce(t, batches, number(t)), "part bigint, batch bigint, blob binary")
-    shared = anchors.groupBy("part").applyInArrow(shared_anchors, "batch bigint, blob binary")
-    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, r: send_strands(t, r, batches, number(t)), SENT)
-    seen = sent.groupBy("part").applyInArrow(first_documents, "batch bigint, blob binary")
+    def tidy(f):
+        """The function, and what it has used given back."""
+
+        def run(*tables):
+            try:
+                return f(*tables)
+            finally:
+                release()
+
+        # Spark looks at the number of arguments.
+        return (lambda t, r: run(t, r)) if f.__code__.co_argcount == 2 else (lambda t: run(t))
+
+
+    anchors = rows.groupBy("batch").applyInArrow(tidy(lambda t: announce(t, batches, number(t))), "part bigint, batch bigint, blob binary")
+    shared = anchors.groupBy("part").applyInArrow(tidy(lambda t: shared_anchors(t)), "batch bigint, blob binary")
+    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, r: send_strands(t, r, batches, number(t))), SENT)
+    seen = sent.groupBy("part").applyInArrow(tidy(lambda t: first_documents(t)), "batch bigint, blob binary")
     fields = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(lambda t, r: remove(t, r, names, whole_characters), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_text string' if whole_characters else 'kept_bytes binary'}")
+    out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(tidy(lambda t, r: remove(t, r, names, whole_characters)), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_text string' if whole_characters else 'kept_bytes binary'}")
     return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", "n_spans", out.columns[-1])
