@@ -34,8 +34,9 @@ STRUCTURE = 0.5
 #: Bounds of a word's score, and the score under which a block is not content even inside the region.
 WORST, BEST, FOREIGN = -4.0, 4.0, -1.0
 
+# Quantifiers are possessive, so text that only looks like a tag costs no backtracking.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNSEEN})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|<[a-z][^<>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNSEEN})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|<[a-z][^<>]*+(?:>|\Z)",
     re.I | re.S,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

@@ -340,8 +340,8 @@ def brute_near(texts, words, percent):
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
 
 
-@pytest.mark.parametrize("pairs_each", [minhash.PAIRS_EACH, 0.02])
-def test_near_duplicates(spark, pairs_each):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
+def test_near_duplicates(spark, block):
     draw = random.Random(6)
     texts = [(i, t) for i, t, *_ in rows() if i is not None]
     for g in range(4):  # groups in which the copies differ more and more from one another
@@ -355,7 +355,7 @@ def test_near_duplicates(spark, pairs_each):
             texts.append((2000 - 100 * g - k, " ".join(own)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_near(texts, 3, 85)
-    got = minhash.near_duplicates(df, 3, 85, pairs_each=pairs_each).collect()
+    got = minhash.near_duplicates(df, 3, 85, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
