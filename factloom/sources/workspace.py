@@ -23,8 +23,8 @@ def scan(spark: SparkSession, root: str, most_bytes: int = FILE_BYTES, depth: in
     are hashed; without ``content`` only the listing is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    marker = F.concat(F.rtrim(F.lit(root.split(":", 1)[-1]), F.lit("/")), F.lit("/"))
-    path = F.regexp_replace(F.substring_index(F.col("path"), marker, -1), r"^/+", "")
+    base = root.split(":", 1)[-1].rstrip("/")
+    path = F.regexp_replace("path", rf"^.*?\Q{base}\E/+", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
     rows = rows.where(scannable(F.concat(F.lit("/"), F.col("path"))) & (F.col("size") <= most_bytes) & (F.size(F.split("path", "/")) <= depth)).withColumn("language", language_of(F.col("path")))
     return rows.withColumn("sha256", content_hash(F.col("content"))) if content else rows
