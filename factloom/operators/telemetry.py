@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,3 +241,54 @@ def progress_faults(messages: DataFrame) -> DataFrame:
 
 def timing(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("total_ms"), F.max("latency_ms").alias("max_ms"))
+
+
+def phases(trace: DataFrame, names: list[str]) -> DataFrame:
+    """A wide row per request (request_id, one column of milliseconds per phase) as one row per phase that was sampled."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("phase"), F.col(n).alias("ms")) for n in names]))
+    return trace.select("request_id", each.alias("p")).select("request_id", "p.*").where("ms IS NOT NULL")
+
+
+def reservoir(rows: DataFrame, keys: list[str], id_col: str, most: int = 256) -> DataFrame:
+    """Up to ``most`` rows of each key, the same in every run: those whose id has the smallest hashes."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col)
+    return rows.withColumn("place in reservoir", F.row_number().over(order)).where(F.col("place in reservoir") <= most).drop("place in reservoir")
+
+
+#: Fixed value: after this wait a request is taken as one priority higher.
+AGING_MS = 5000
+
+
+def schedule(requests: DataFrame, workers: int, caps: dict[str, int]) -> DataFrame:
+    """When requests (server, request_id, at_ms, takes_ms, priority, cost) start: lowest priority number first.
+
+    A request waits for a worker and for its cost class to be under its cap; each ``AGING_MS`` of
+    waiting raises it by one. Every start depends on those before it, so a server's log is simulated
+    in one task.
+    """
+
+    def simulate(rows: pd.DataFrame) -> pd.DataFrame:
+        todo = rows.sort_values(["at_ms", "request_id"]).to_dict("records")
+        waiting, running, out, now, k = [], [], [], 0, 0
+        busy: dict[str, int] = {}
+        while k < len(todo) or waiting or running:
+            while k < len(todo) and todo[k]["at_ms"] <= now:
+                waiting.append(todo[k])
+                k += 1
+            while running and running[0][0] <= now:
+                busy[heapq.heappop(running)[2]] -= 1
+            able = [r for r in waiting if busy.get(r["cost"], 0) < caps.get(r["cost"], workers)] if len(running) < workers else []
+            if able:
+                r = min(able, key=lambda r: (r["priority"] - (now - r["at_ms"]) // AGING_MS, r["at_ms"], r["request_id"]))
+                waiting.remove(r)
+                heapq.heappush(running, (now + r["takes_ms"], r["request_id"], r["cost"]))
+                busy[r["cost"]] = busy.get(r["cost"], 0) + 1
+                out.append((r["server"], r["request_id"], now))
+                continue
+            events = [r["at_ms"] for r in todo[k : k + 1]] + [r[0] for r in running[:1]]
+            if not events:  # what still waits is of a class that may not run
+                break
+            now = min(events)
+        return pd.DataFrame(out, columns=["server", "request_id", "start_ms"])
+
+    return requests.groupBy("server").applyInPandas(simulate, "server string, request_id long, start_ms long")

@@ -6,6 +6,7 @@ the driver, through Spark's own file system layer, so any store works.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
 import uuid
@@ -60,6 +61,19 @@ class FactStore:
     def _names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
 
+    @contextlib.contextmanager
+    def lease(self, name: str = "writer"):
+        """Hold a lock file while the block runs; one holder at a time, over all processes."""
+        path = self._path(f"{self.root}/.lease-{name}")
+        try:
+            self.fs.create(path, False).close()
+        except Exception as e:
+            raise StoreError(f"{name} is leased by another") from e
+        try:
+            yield
+        finally:
+            self.fs.delete(path, False)
+
     # ---- generations
 
     def history(self) -> list[int]:

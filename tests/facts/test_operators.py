@@ -153,3 +153,17 @@ def test_sets_and_text(spark):
     assert tuple(one) == ("token=[REDACTED] x=1", "upstream_bug", "interface", 1, "medium", '{"b":{"a":[{}]}}', True, False)
     with pytest.raises(Exception, match="unknown value"):
         spark.range(1).select(text.known_enum(F.lit("x"), ["y"])).collect()
+
+
+def test_schedule_phases_and_reservoir(spark):
+    rows = [("s", 1, 0, 10, 5, "large"), ("s", 2, 0, 10, 5, "large"), ("s", 3, 1, 10, 9, "tiny"), ("s", 4, 2, 10, 0, "tiny"), ("s", 5, 2, 10, 0, "large")]
+    requests = df(spark, rows, "server string, request_id long, at_ms long, takes_ms long, priority long, cost string")
+    got = {r.request_id: r.start_ms for r in telemetry.schedule(requests, 2, {"large": 1}).collect()}
+    assert got == {1: 0, 3: 1, 4: 10, 5: 11, 2: 21}
+    old = df(spark, [("s", 1, 0, 6000, 0, "a"), ("s", 2, 10, 10, 3, "a"), ("s", 3, 5900, 10, 2, "a")], requests.schema)
+    assert {r.request_id: r.start_ms for r in telemetry.schedule(old, 1, {}).collect()} == {1: 0, 2: 6000, 3: 6010}
+    trace = df(spark, [(1, 2.0, None), (2, 1.0, 3.0)], "request_id long, wait double, write double")
+    assert {tuple(r) for r in telemetry.phases(trace, ["wait", "write"]).collect()} == {(1, "wait", 2.0), (2, "wait", 1.0), (2, "write", 3.0)}
+    many = spark.range(1000).withColumn("k", F.col("id") % 2)
+    a, b = (telemetry.reservoir(x, ["k"], "id", 10) for x in (many, many.repartition(7)))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 20

@@ -38,6 +38,12 @@ def test_store(spark, tmp_path):
     assert "gen=77" in store.reclaim() and store.bytes_used(three) > 0
     for _ in range(3):
         last = store.write({"t": spark.range(1)})
+    with store.lease():
+        with pytest.raises(StoreError, match="leased"):
+            with store.lease():
+                pass
+    with store.lease():
+        pass
     assert store.prune(2) and store.history()[0] == last and len(store.history()) == 2
 
 
