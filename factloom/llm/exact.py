@@ -87,7 +87,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = stored(streamed_groups(log, batches), "groups")
 
     content = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
-    hits = content.join(groups.where("group_size > 1").select("digest"), "digest", "left_semi")
+    # Members of groups are found by their own id, so that a large group's texts are spread, and are
+    # compared in each task before they are shuffled by digest.
+    members = log.join(groups.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("row.id").alias("m"), F.col("digest").alias("d"))
+    hits = content.join(members, F.col("id").eqNullSafe(F.col("m")) & (F.col("digest") == F.col("d")), "left_semi")
     mixed = stored(hits.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "mixed")
     rows = log.join(groups, "digest")
     if not mixed.isEmpty():
