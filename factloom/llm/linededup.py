@@ -72,7 +72,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     halves = distinct.where("k0 IS NOT NULL").select("h1", "h2", F.explode(F.array(*[f"k{i}" for i in range(len(keys))])).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     able = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    lines = occ.select("h1", "h2", "line").join(able, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    # Copies meet inside each task first, so that a common line is sent once a task.
+    lines = occ.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(able, ["h1", "h2"], "left_semi")
     lines = checkpointed(lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("id", F.struct("h1", "h2")).select("id", "first", "line"))
 
     outer = checkpointed(lines.select("id", F.explode(outer_keys(F.col("line"))).alias("o")).select("id", "o.*"))
