@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.storage import fixed
+
 #: Levels that a recursion may go down.
 DEPTH = 64
 
@@ -22,7 +24,7 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         if front.isEmpty():
             break
         front = front.join(step, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        front = front.checkpoint() if front.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else front
+        front = fixed(front)
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.running import running_sum
+
 
 def micros(at: Column | str) -> Column:
     """Microseconds of a time, with or without a zone."""
@@ -157,8 +159,7 @@ def concurrency(requests: DataFrame, most: int) -> DataFrame:
     """Requests (request_id, at, latency_ms) with how many run when each starts, and whether the cap admits it."""
     start = micros("at")
     points = requests.select(start.alias("t"), F.lit(1).alias("d"), "request_id").union(requests.select((start + (F.col("latency_ms") * 1000).cast("long")).alias("t"), F.lit(-1).alias("d"), "request_id"))
-    order = Window.partitionBy().orderBy("t", "d", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumn("running", F.sum("d").over(order)).where("d = 1").select("request_id", F.col("running"), (F.col("running") <= most).alias("admitted"))
+    return running_sum(points, ["t", "d", "request_id"], F.col("d"), "running").where("d = 1").select("request_id", F.col("running"), (F.col("running") <= most).alias("admitted"))
 
 
 def answered(messages: DataFrame) -> DataFrame:
@@ -218,8 +219,10 @@ def backoff(attempt: Column, base_ms: int = 100, most_ms: int = 10_000) -> Colum
 
 def lru(entries: DataFrame, most_bytes: int, most_items: int) -> DataFrame:
     """Entries (key, bytes, last_used) that stay: the last used ones within both bounds."""
+    # Beyond the bound of items nothing stays, so only so many rows are ordered.
     order = Window.partitionBy().orderBy(F.desc("last_used"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.withColumn("sum_bytes", F.sum("bytes").over(order)).withColumn("place", F.count("*").over(order)).where((F.col("sum_bytes") <= most_bytes) & (F.col("place") <= most_items))
+    newest = entries.orderBy(F.desc("last_used"), "key").limit(most_items)
+    return newest.withColumn("sum_bytes", F.sum("bytes").over(order)).withColumn("place", F.count("*").over(order)).where(F.col("sum_bytes") <= most_bytes)
 
 
 def fifo(entries: DataFrame, most: int = 4096) -> DataFrame:

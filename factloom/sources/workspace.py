@@ -7,10 +7,11 @@ import os
 import re
 import shlex
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import content_hash, language_of, redacted, scannable
+from factloom.operators.running import running_sum
 
 #: Bounds of a scan.
 FILE_BYTES, TREE_DEPTH = 1 << 20, 16
@@ -32,8 +33,7 @@ def scan(spark: SparkSession, root: str, most_bytes: int = FILE_BYTES, depth: in
 
 def within_budget(files: DataFrame, most_bytes: int) -> DataFrame:
     """The files in the order of paths up to a budget of bytes."""
-    order = Window.partitionBy().orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= most_bytes).drop("upto")
+    return running_sum(files, ["path"], F.col("size"), "upto").where(F.col("upto") <= most_bytes).drop("upto")
 
 
 def compilation_database(spark: SparkSession, path: str) -> DataFrame:
