@@ -99,7 +99,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = checkpointed(near.select("id.h1", "id.h2", "near"))
 
     target = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("keep"))
-    out = occ.select("h1", "h2", "at").join(target, ["h1", "h2"])
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a common line's rows.
+    out = occ.select("h1", "h2", "at").join(stored(target, "line-targets"), ["h1", "h2"])
     return out.select(F.col("at.id").alias(id_col), F.col("at.line_no").cast("long").alias("line_no"), (F.col("at") == F.col("keep")).alias("kept"), F.col("keep.id").alias("keep_id"), F.col("keep.line_no").cast("long").alias("keep_line_no"))
 
 
