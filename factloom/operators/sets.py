@@ -44,3 +44,20 @@ def tools_by_path(tools: DataFrame, current: DataFrame) -> DataFrame:
     known = tools.groupBy("path").agg(F.collect_set("sha256").alias("hashes"))
     now = current.select("path", F.col("sha256").alias("now"))
     return known.join(now, "path", "left").withColumn("stable", F.coalesce((F.size("hashes") == 1) & (F.get("hashes", F.lit(0)) == F.col("now")), F.lit(False)))
+
+
+def valid_memo(entries: DataFrame, changed: DataFrame, revision: int) -> DataFrame:
+    """Memo entries (key, revision, deps) that stay: newer than ``revision`` and without a changed dependency."""
+    fresh = entries.where(F.col("revision") > revision)
+    return fresh.join(memo_dependents(entries, changed), "key", "left_anti")
+
+
+def current_diagnostics(diagnostics: DataFrame, documents: DataFrame) -> DataFrame:
+    """Diagnostics (uri, version, epoch, …) for the latest version and epoch of their document only."""
+    latest = documents.groupBy("uri").agg(F.max(F.struct("version", "epoch")).alias("now")).select("uri", "now.version", "now.epoch")
+    return diagnostics.join(latest, ["uri", "version", "epoch"], "left_semi")
+
+
+def overdue(requests: DataFrame, deadline_ms: float) -> DataFrame:
+    """Requests that took longer than allowed."""
+    return requests.where(F.col("latency_ms") > deadline_ms)

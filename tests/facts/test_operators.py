@@ -167,3 +167,13 @@ def test_schedule_phases_and_reservoir(spark):
     many = spark.range(1000).withColumn("k", F.col("id") % 2)
     a, b = (telemetry.reservoir(x, ["k"], "id", 10) for x in (many, many.repartition(7)))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 20
+
+
+def test_memo_and_diagnostics(spark):
+    entries = df(spark, [("a", 1, [("file", "x")]), ("b", 5, [("file", "x")]), ("c", 5, [("file", "y")])], "key string, revision long, deps array<struct<kind:string,id:string>>")
+    changed = df(spark, [("file", "x")], "kind string, id string")
+    assert [r.key for r in sets.valid_memo(entries, changed, 2).collect()] == ["c"]
+    docs = df(spark, [("u", 1, 9), ("u", 2, 1)], "uri string, version long, epoch long")
+    found = df(spark, [("u", 1, 9, "old"), ("u", 2, 1, "new"), ("v", 2, 1, "other")], "uri string, version long, epoch long, message string")
+    assert [r.message for r in sets.current_diagnostics(found, docs).collect()] == ["new"]
+    assert sets.overdue(df(spark, [(1.0,), (9.0,)], "latency_ms double"), 5).count() == 1
