@@ -22,7 +22,7 @@ from factloom.llm.common import binary_parts, mix64, release, slices, text_batch
 #: Length of the vectors.
 DIMENSIONS = 1024
 #: Bytes of text, and cells of the table of counts, that are handled at once.
-CHUNK, CELLS = 1 << 20, 1 << 22
+CHUNK, CELLS = 1 << 20, 1 << 21
 UNKNOWN = "und"
 
 
