@@ -1,4 +1,4 @@
-"""Closures over edges, in recursive SQL; each path is carried along, so cycles end and are seen."""
+"""Closures over edges, level by level or in recursive SQL; they go on until nothing new is reached."""
 
 from __future__ import annotations
 
@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from factloom.storage import fixed
 
-#: Levels that a recursion may go down.
-DEPTH = 64
+#: Levels after which what was seen is fixed again, so that plans don't grow with the depth.
+FIXED_LEVELS = 8
+#: As many levels as Spark can count; the path of each row ends the recursion before.
+NO_LEVEL = 2**31 - 1
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Nodes that can be reached (root, node, depth) over edges (src, dst), by the shortest way.
 
-    Frontiers are joined level by level and cut to new nodes, so each pair is reached once.
+    Frontiers are joined level by level and cut to new nodes, so each pair is reached once, and
+    the last frontier is empty whatever the depth.
     """
     step = edges.select("src", "dst").distinct()
     start = step.select(F.col("src").alias("root")).distinct() if roots is None else roots.select("root").distinct()
     front = start.join(step, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
     seen = front.withColumn("depth", F.lit(1))
-    for depth in range(2, DEPTH + 1):
-        if front.isEmpty():
-            break
+    parts, depth = int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+    while not front.isEmpty():
+        depth += 1
         front = front.join(step, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
         front = fixed(front)
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
+        if depth % FIXED_LEVELS == 0:
+            seen = fixed(seen.coalesce(parts))
     return seen
 
 
@@ -62,12 +67,12 @@ def is_descendant(processes: DataFrame, root: int) -> DataFrame:
 def reachable_sql(spark, edges_view: str, start: str) -> DataFrame:
     """As ``closure`` from one node, as a recursive query over a view (src, dst)."""
     return spark.sql(
-        f"""WITH RECURSIVE reach(node, depth, path) AS (
+        f"""WITH RECURSIVE reach(node, depth, path) MAX RECURSION LEVEL {NO_LEVEL} AS (
               SELECT cast(:start AS string), 0, array(cast(:start AS string))
               UNION ALL
               SELECT cast(e.dst AS string), r.depth + 1, array_append(r.path, cast(e.dst AS string))
               FROM reach r JOIN {edges_view} e ON cast(e.src AS string) = r.node
-              WHERE NOT array_contains(r.path, cast(e.dst AS string)) AND r.depth < {DEPTH}
+              WHERE NOT array_contains(r.path, cast(e.dst AS string))
             ) SELECT node, min(depth) AS depth FROM reach GROUP BY node""",
         args={"start": start},
     )

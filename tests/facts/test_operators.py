@@ -135,6 +135,20 @@ def test_graphs(spark):
     assert {r.node: r.depth for r in graph.reachable_sql(spark, "edges_of_test", "a").collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_graphs_deeper_than_any_bound(spark):
+    n = 70
+    ring = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(n)]  # its last node is no project
+    edges = df(spark, ring + chain, "src string, dst string")
+    configs = df(spark, [(s,) for s, _ in ring + chain], "config string")
+    got = {r.root: r for r in graph.reference_closure(configs, edges).collect()}
+    assert {r.status for r in got.values()} == {"unknown"}
+    assert all(got[f"c{i}"].reached == n - i and got[f"c{i}"].dangling for i in range(n))
+    assert all(got[f"r{i}"].reached == n and got[f"r{i}"].cyclic for i in range(n))
+    edges.createOrReplaceTempView("deep_edges_of_test")
+    assert {r.node: r.depth for r in graph.reachable_sql(spark, "deep_edges_of_test", "c0").collect()} == {f"c{i}": i for i in range(n + 1)}
+
+
 def test_conformance(spark):
     checks = df(spark, [("core", "Y0", 1.0, "done"), ("core", "Y0", 1.0, "failed"), ("core", "Y1", 2.0, "deferred"), ("core", "PERF", 1.0, "gate"), ("later", "m", 1.0, "deferred"), ("later", "m", 3.0, "done")], "domain string, category string, weight double, status string")
     got = {(r.domain, r.category): r.score for r in quality.conformance(checks).collect()}
