@@ -7,6 +7,7 @@ independently in random groups of documents.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -79,6 +80,54 @@ def ranks_of(vocabulary: bytes) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and (len(token) == 1 or i >= merges[0])}
 
 
+class Encoder:
+    """Ids of texts: added tokens are taken out first, as the library does, then come the pre-tokens.
+
+    Of added tokens that begin at one place the longest is taken, and what is between two is a text
+    of its own. Where one takes white space along, or asks for whole words or a normalised text,
+    a text with any goes through the library as it is.
+    """
+
+    def __init__(self, vocabulary: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.cache = Tokenizer.from_buffer(vocabulary), piece_cache(vocabulary)
+        added = json.loads(vocabulary).get("added_tokens") or []
+        self.added = {t["content"].encode(): np.array([self.tokenizer.token_to_id(t["content"])], "<u4").tobytes() for t in added}
+        self.plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+
+    def ordinary(self, data: memoryview | bytes, at: np.ndarray) -> list[bytes]:
+        """The ids, as bytes, of each text between the offsets ``at``, in which no added token is."""
+        parts, heads, _ = pieces(data, at)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, parts[a:b])) for a, b in zip(heads[:-1].tolist(), heads[1:].tolist())]
+
+    def mixed(self, text: bytes) -> bytes:
+        """The ids of a text with added tokens."""
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        spans = [m.span() for m in self.pattern.finditer(text)]
+        ids = self.ordinary(text, np.array([0, *(x for span in spans for x in span), len(text)]))
+        ids[1::2] = [self.added[text[a:b]] for a, b in spans]
+        return b"".join(ids)
+
+    def encode(self, data: memoryview, at: np.ndarray) -> list[bytes]:
+        """The ids, as bytes, of each text between the offsets ``at``."""
+        self.cache.trim()
+        ids = self.ordinary(data, at)
+        if self.pattern and self.pattern.search(data, int(at[0]), int(at[-1])):
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if self.pattern.search(data, a, b):
+                    ids[k] = self.mixed(bytes(data[a:b]))
+        return ids
+
+
+@lru_cache(2)
+def encoder(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
+
+
 @lru_cache(2)
 def piece_cache(vocabulary: bytes) -> PieceCache:
     """Ids of pre-tokens as the tokenizers library gives them.
@@ -89,7 +138,6 @@ def piece_cache(vocabulary: bytes) -> PieceCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(vocabulary)
-    tokenizer.encode_special_tokens = True
     ranks = ranks_of(vocabulary)
     if ranks is None:
         return PieceCache(lambda piece: tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids)
@@ -109,16 +157,13 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        cache = piece_cache(vocabulary.value)
-        get = cache.__getitem__
+        encode = encoder(vocabulary.value).encode
         for batch in batches:
             data, at = binary_parts(batch.column(1))
             counts, sums = [], []
             for i, j in slices(at, CHUNK):
-                cache.trim()
-                parts, heads, _ = pieces(data, at[i : j + 1])
-                for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                    ids = b"".join(map(get, parts[a:b])) + end
+                for ids in encode(data, at[i : j + 1]):
+                    ids += end
                     counts.append(len(ids) // 4)
                     sums.append([zlib.crc32(ids[k : k + step]) for k in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["id", "draw", "doc_tokens", "sums"])

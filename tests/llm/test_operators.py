@@ -142,6 +142,31 @@ def test_packing(spark):
     check_packing(small, [(i, t) for i, t, *_ in rows()], 16)
 
 
+def test_packing_takes_added_tokens_first(spark):
+    import json
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", f"don{end}'t  {end}\n y", "plain <|endof", "text|> plain", f"é😀{end}é", f"{prose(1, 2000)} {end} tail"]
+    # Adjacent texts in one buffer must not make up a token together, and other files have other kinds.
+    other = json.loads(bpe.read_bytes(VOCABULARY))
+    new = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    longer = other | {"added_tokens": [*other["added_tokens"], new | {"id": 50257, "content": end + "x"}, new | {"id": 50258, "content": "plain"}]}
+    odd = other | {"added_tokens": [*other["added_tokens"], new | {"id": 50257, "content": "y", "lstrip": True, "single_word": True}]}
+    raw = [t.encode() for t in texts + [f"{end}x{end}", "plainly", "a  y", "ay"]]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    for file in (other, longer, odd):
+        vocabulary = json.dumps(file).encode()
+        library = Tokenizer.from_buffer(vocabulary)
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.encoder(vocabulary).encode(memoryview(b"".join(raw)), at)]
+        assert got == [library.encode(r.decode(), add_special_tokens=False).ids for r in raw]
+    library = Tokenizer.from_file(VOCABULARY)
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    for p in pieces:
+        ids = np.array([*library.encode(texts[p.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert (p.doc_tokens, p.ids_crc32) == (len(ids), zlib.crc32(ids[p.start : p.start + p.length].tobytes()))
+    assert {p.doc_id for p in pieces} == set(range(len(texts)))
+
+
 def test_first_fit_decreasing():
     draw = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 300):
