@@ -25,6 +25,9 @@ from factloom.llm.html_labels import labelled_pages
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = "script|style|template|noscript|textarea|iframe|object|svg|math|canvas|audio|video|map"
+#: Of these, the ones that run to the end of the page without an end tag, and those that "/>" ends at once.
+TO_THE_END = {"script", "style", "template", "noscript", "textarea", "iframe"}
+FOREIGN_ELEMENTS = "svg|math"
 #: Elements that an opening block ends when they are still open, and that may stay open at their own next start.
 ENDED_BY_BLOCK = {"p"}
 ENDED_BY_SELF = {"li", "option", "dt", "dd", "td", "th", "tr"}
@@ -36,7 +39,7 @@ WORST, BEST, FOREIGN = -4.0, 4.0, -1.0
 
 # Quantifiers are possessive, so text that only looks like a tag costs no backtracking.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNSEEN})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|<[a-z][^<>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?:{FOREIGN_ELEMENTS})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>|<(?P<raw>{UNSEEN})(?=[\s/>])[^>]*+>|<(?P<tag>/?[a-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|<[a-z][^<>]*+(?:>|\Z)",
     re.I | re.S,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -44,6 +47,29 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 WORD = re.compile(r"[a-z]+")
 
 
+END_TAG = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN.split("|")}
+
+
+def tokens(page: str):
+    """Start and end of each tag, comment or unseen element of a page, and its match.
+
+    An unseen element without an end tag is its start tag alone, if browsers show what follows.
+    """
+    at, endless = 0, set()
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        if raw := (m["raw"] or "").lower():
+            # Once looked for in vain, an end tag isn't looked for again.
+            end = None if raw in endless else END_TAG[raw].search(page, at)
+            if end:
+                at = end.end()
+            elif raw in TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(raw)
+        yield m.start(), at, m
+
+
 class Block:
     __slots__ = ("parts", "words", "linked", "cues", "tags")
 
@@ -67,10 +93,8 @@ def blocks_of(page: str):
     stack: list[tuple[str, tuple[str, ...]]] = []
     tags: Counter = Counter()
     block, links, at = None, 0, 0
-    for m in [*TOKEN.finditer(page), None]:
-        text = page[at : m.start() if m else len(page)]
-        if m:
-            at = m.end()
+    for start, end, m in [*tokens(page), (len(page), len(page), None)]:
+        text, at = page[at:start], end
         if text and not text.isspace():
             if block is None:
                 block = Block(frozenset(c for _, cues in stack for c in cues), tags)

@@ -288,6 +288,27 @@ def test_main_text_of_a_page(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "between",
+    [
+        '<svg class="i"/>', "<svg/>", "<SVG viewBox='0 0 1 1' aria-label=\"a>b\" />", "<math/>", "<svg class=i></svg>", '<svg><path d="M0"/></svg>', "<map-legend>", "<video-player src=x>",
+        "<svg-icon></svg-icon>", "<map name=m>", "<video src=x>", "<svg><path d=x></path>", "<object data=x>", "<script>if (a</b) x</script>", "<style>p{}</style >",
+    ],
+)
+def test_unseen_elements_end_where_they_end(between):
+    words = "with as many words as a paragraph of an article has"
+    page = f"<article><h1>Title {words}</h1>{between}<p>one two {words}</p><p>three {words}</p></article>"
+    assert html.main_text(page) == f"Title {words}\none two {words}\nthree {words}"
+    twice = page.replace("<p>three", "<svg class=j></svg><p>three")
+    assert html.main_text(twice) == html.main_text(page) or "<svg>" in between
+
+
+def test_unseen_elements_without_an_end():
+    assert [len(list(html.blocks_of(f"<p>one</p><{name}><p>two</p>"))) for name in sorted(html.TO_THE_END)] == [1] * len(html.TO_THE_END)
+    # Each end tag is looked for once.
+    assert len(list(html.blocks_of("<map>" * 200_000 + "<p>two</p>"))) == 1
+
+
 # ---- 6: exact dedup
 
 
