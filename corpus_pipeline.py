@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.llm import exact, langid, minhash, packing, suffix
 from factloom.llm.common import stored
 
-#: Cosine under which a text is in none of the learned languages.
+#: Cosine under which a text is in none of the learned languages, where too few texts have a language to read it from.
 LEAST_SCORE = 0.05
 
 
@@ -27,14 +27,17 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Texts without letters, null texts and ones near no language go.
 
+    Near is what scores as the texts do that the languages were learned from, by length.
     Where no document has a language and a text, nothing can be learned, and all stay.
     """
-    prototypes = langid.train(docs.where(~langid.held_out()))
+    learned = docs.where(~langid.held_out())
+    prototypes = langid.train(learned)
     if not prototypes:
         return docs
+    least = langid.calibrate(learned, prototypes, LEAST_SCORE)
     plain, names = numbered(docs)
-    judged = langid.identify(plain, prototypes, text_col=names["text"], keep=list(names.values()))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").toDF(*names)
+    judged = langid.identify(plain, prototypes, text_col=names["text"], keep=list(names.values()), least=least)
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score").toDF(*names)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,10 @@ DIMENSIONS = 1024
 #: Bytes of text, and cells of the table of counts, that are handled at once.
 CHUNK, CELLS = 1 << 20, 1 << 21
 UNKNOWN = "und"
+#: Lengths (powers of two of letters) and steps of a score that the scores of labelled texts are counted by.
+SIZES, STEPS = 32, 1000
+#: Texts from which a bound is read, and the share of them that may lie under it.
+ENOUGH, UNDER = 100, 0.001
 
 
 @lru_cache(1)
@@ -49,7 +53,7 @@ def trigram_vectors(codes: np.ndarray, size: int, alphabet: np.ndarray, dimensio
 
 
 def bundles(data: memoryview, at: np.ndarray, dimensions: int):
-    """For runs of documents: the bundle of each, and whether it has a letter."""
+    """For runs of documents: the bundle of each, and how many letters it has."""
     lo = int(at[0])
     text = bytes(data[lo : int(at[-1])]).decode("utf-8")
     lower = text.lower()
@@ -76,7 +80,7 @@ def bundles(data: memoryview, at: np.ndarray, dimensions: int):
     keep[1:] |= code[:-1] > 0  # of a run of gaps only the first stays
     keep[ends - sizes] = True
     code, doc = code[keep], doc[keep]
-    has = np.bincount(doc, code > 0, n) > 0
+    has = np.bincount(doc, code > 0, n).astype(np.int64)
     if len(code) < 3:
         yield np.zeros((n, dimensions), np.float32), has
         return
@@ -109,7 +113,7 @@ def bundles(data: memoryview, at: np.ndarray, dimensions: int):
 
 
 def in_runs(texts: pa.Array, dimensions: int):
-    """The bundles of texts in runs: first row, vectors, whether there are letters."""
+    """The bundles of texts in runs: first row, vectors, numbers of letters."""
     data, at = binary_parts(texts)
     for i, j in slices(at, CHUNK):
         for vectors, has in bundles(data, at[i : j + 1], dimensions):
@@ -133,8 +137,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             for i, vectors, has in in_runs(batch.column(0), dimensions):
                 own = langs[i : i + len(vectors)]
                 vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                for lang in set(own[has]):
-                    sums[lang] = sums.get(lang, 0) + vectors[has & (own == lang)].sum(0, dtype=np.float64)
+                for lang in set(own[has > 0]):
+                    sums[lang] = sums.get(lang, 0) + vectors[(has > 0) & (own == lang)].sum(0, dtype=np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.rint(v * 2**20).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
 
@@ -145,12 +149,59 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {r.lang: np.array([c.v for c in r.cells], np.float64) / 2**20 for r in total.orderBy("lang").collect()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def sizes(letters: np.ndarray) -> np.ndarray:
+    """The power of two that numbers of letters reach."""
+    return np.clip(np.frexp(np.maximum(letters, 1))[1] - 1, 0, SIZES - 1)
+
+
+def calibrate(labelled: DataFrame, prototypes: dict[str, np.ndarray], otherwise: float, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """For each length, the score that all but UNDER of the texts which ``prototypes`` were learned from reach.
+
+    A text is held against the prototype of its language without itself. A length that few
+    texts have shares the bound of its neighbours; ``otherwise`` is the bound where there are
+    too few texts of all lengths. Only counts by length and score reach the driver.
+    """
+    names = sorted(prototypes)
+    number = {x: k for k, x in enumerate(names)}
+    matrix = np.stack([prototypes[x] for x in names]).T
+    square = (matrix**2).sum(0)
+
+    def run(batches):
+        counts = np.zeros((SIZES, STEPS + 1), np.int64)
+        for batch in batches:
+            own_of = np.array([number[x] for x in batch.column(1).to_pylist()])
+            for i, vectors, has in in_runs(batch.column(0), matrix.shape[0]):
+                there = np.flatnonzero(has)
+                own = own_of[i + there]
+                dots = (vectors[there] @ matrix) / np.maximum(np.linalg.norm(vectors[there], axis=1, keepdims=True), 1e-9)
+                near = dots / np.maximum(np.sqrt(square), 1e-9)
+                mine = dots[np.arange(len(there)), own]
+                near[np.arange(len(there)), own] = (mine - 1) / np.sqrt(np.maximum(square[own] - 2 * mine + 1, 1e-6))
+                np.add.at(counts, (sizes(has[there]), (np.clip(near.max(1, initial=0), 0, 1) * STEPS).astype(int)), 1)
+            release()
+        size, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[size, step])], ["size", "step", "n"])
+
+    rows = text_batches(labelled).where(F.col(lang_col).isin(names)).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    counts = np.zeros((SIZES, STEPS + 1), np.int64)
+    for r in rows.mapInArrow(run, "size int, step int, n bigint").groupBy("size", "step").agg(F.sum("n").alias("n")).collect():
+        counts[r.size, r.step] = r.n
+    out = np.full(SIZES, otherwise)
+    for size in range(SIZES):
+        reach = next((k for k in range(SIZES) if counts[max(0, size - k) : size + k + 1].sum() >= ENOUGH), None)
+        if reach is not None:
+            near = counts[max(0, size - reach) : size + reach + 1].sum(0)
+            out[size] = np.argmax(near.cumsum() > UNDER * near.sum()) / STEPS
+    return out
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, least: np.ndarray | None = None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to the columns ``keep`` (default: all but clashing ones).
 
     The score is the cosine with the nearest prototype, at least 0. Null texts, texts without a
     letter, and all texts where there is no prototype are ``und`` with score 0. Equal cosines go
-    to the name that sorts first. Texts are used whole; repeated rows get the same answer.
+    to the name that sorts first. Texts are used whole; repeated rows get the same answer. With
+    ``least`` (of ``calibrate``) texts that score less than the bound of their length are ``und`` too.
     """
     names = sorted(prototypes)
     keep = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -167,8 +218,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             for i, vectors, has in in_runs(texts, dimensions) if names else ():
                 near = (vectors @ matrix) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 top = near.argmax(1)
-                best[i : i + len(top)] = np.where(has, top, len(names))
-                score[i : i + len(top)] = np.where(has, np.clip(near[np.arange(len(top)), top], 0, 1), 0)
+                cosine = np.where(has, np.clip(near[np.arange(len(top)), top], 0, 1), 0)
+                known = (has > 0) & (cosine >= (0 if least is None else least[sizes(has)]))
+                best[i : i + len(top)] = np.where(known, top, len(names))
+                score[i : i + len(top)] = cosine
             yield pa.StructArray.from_arrays([pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
             release()
 

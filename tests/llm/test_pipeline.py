@@ -1,5 +1,7 @@
 """The stages on awkward tables, and the queries of this subpackage against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -32,6 +34,23 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert docs.count() > 0
 
 
+def test_texts_near_no_learned_language_go(spark, sf_dir):
+    draw = random.Random(5)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(2, 9)))
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "abcdefghijklmnopqrstuvwxyz"]
+    foreign = [" ".join(word(letters) for _ in range(n)) for letters in alphabets for n in (40, 200) for _ in range(50)]
+    foreign += ["suurin osa ihmisistä asuu kaupungeissa jotka ovat lähellä vettä ja he työskentelevät usein toimistossa tai kaupassa", "de meeste mensen in het land wonen in steden die aan het water liggen en zij werken vaak in een kantoor of in een winkel "
+                "maar op zondag gaan ze met hun kinderen naar het bos om er te wandelen of om bij vrienden koffie te drinken en over vroeger te praten "
+                "want toen was alles volgens de oudere mensen veel goedkoper dan nu en had iedereen nog tijd voor elkaar"]
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    added = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.by_language(spark, docs.unionByName(added), "").select("doc_id").collect()}
+    assert not [foreign[i - 10**9][:40] for i in kept if i >= 10**9]
+    short = docs.where("length(text) < 100").count()
+    assert short > 5 and len(kept) >= 0.995 * docs.count()
+    assert docs.where("length(text) < 100").where(~docs.doc_id.isin(list(kept))).count() <= 0.1 * short
+
+
 def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), "").count() == 0
