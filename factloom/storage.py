@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (local runs), a temporary folder."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir``; a temporary folder only where a local session names none.
+
+    On a cluster no machine's own folder will do, so a session without the setting is an error.
+    """
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+        current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
 
