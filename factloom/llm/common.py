@@ -3,51 +3,51 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.storage import fixed as checkpointed
+from factloom.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+__all__ = ["binary_parts", "checkpointed", "mix64", "release", "scratch", "shared_folder", "slices", "stored"]
 
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+#: Lists of the folders that were made since each open ``scratch`` began.
+_OPEN: list[list[str]] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` once into a Parquet table in the shared folder and read that."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch where rows hold whole texts.
-TEXT_ROWS = 2000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """Have rows with whole texts go to Python in smaller batches than the default for short rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    return df
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made inside are deleted at the end, but for those taken out of the list it gives."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def release() -> None:

@@ -37,7 +37,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+    return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256").drop("file", "number")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, mix64, release, slices, text_batches
+from factloom.llm.common import binary_parts, mix64, release, slices
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.rint(v * 2**20).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
 
-    rows = text_batches(labelled).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     parts = rows.mapInArrow(run, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("k", "v"))
     # Whole numbers, so that the sums don't depend on the order of the tasks.
     total = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("cells"))
@@ -182,7 +182,7 @@ def calibrate(labelled: DataFrame, prototypes: dict[str, np.ndarray], otherwise:
         size, step = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[size, step])], ["size", "step", "n"])
 
-    rows = text_batches(labelled).where(F.col(lang_col).isin(names)).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.where(F.col(lang_col).isin(names)).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     counts = np.zeros((SIZES, STEPS + 1), np.int64)
     for r in rows.mapInArrow(run, "size int, step int, n bigint").groupBy("size", "step").agg(F.sum("n").alias("n")).collect():
         counts[r.size, r.step] = r.n
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pa.StructArray.from_arrays([pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
             release()
 
-    judged = text_batches(docs).select(*[F.col(f"`{c}`") for c in keep], judge(F.col(text_col).cast("binary")).alias("judged for id"))
+    judged = docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(text_col).cast("binary")).alias("judged for id"))
     return judged.select(*[F.col(f"`{c}`") for c in keep], F.col("`judged for id`.lang_pred"), F.col("`judged for id`.score"))
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed, mix64, release, stored, text_batches
+from factloom.llm.common import binary_parts, checkpointed, mix64, release, stored
 from factloom.llm.graph import components
 
 #: Symbols of a signature, and the chance that a pair at the very threshold is further apart than the bound.
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
             release()
 
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, signature binary")
 
 

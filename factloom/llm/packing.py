@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import CHUNK, PieceCache, read_bytes
-from factloom.llm.common import binary_parts, release, slices, text_batches
+from factloom.llm.common import binary_parts, release, slices
 from factloom.llm.pretoken import pieces
 
 #: Tokens of a sequence, and documents of a group on average.
@@ -170,7 +170,7 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int
             release()
 
     text = F.col(text_col).cast("binary")
-    return text_batches(docs).select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit("packing"), F.col(id_col), text).alias("draw")).mapInArrow(run, f"id {kind}, draw bigint, doc_tokens bigint, sums array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit("packing"), F.col(id_col), text).alias("draw")).mapInArrow(run, f"id {kind}, draw bigint, doc_tokens bigint, sums array<bigint>")
 
 
 def pack(docs: DataFrame, vocabulary_path: str, sequence: int = SEQUENCE, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, release, text_batches
+from factloom.llm.common import binary_parts, release
 
 #: Bytes of a window and of an anchor.
 WINDOW, ANCHOR = 50, 24
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(1, -(-int(size) // batch_bytes))
-    rows = text_batches(docs).select(
+    rows = docs.select(
         F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col), F.col(text_col)), F.lit(batches)).alias("batch"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"),
         text.alias("text"),

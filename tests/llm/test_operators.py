@@ -335,6 +335,25 @@ def test_exact(spark, weak):
     assert exact.exact_dedup(empty(spark), **options).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_state_outlives_a_call(spark, tmp_path, weak):
+    """Two runs on one state: the second answers for its rows against those of both, and a repeated run changes nothing."""
+    from pyspark.sql import functions as F
+
+    options = {"digest": lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)} if weak else {}
+    first = [(i, t) for i, t, *_ in rows() if i is None or i != 2]
+    second = [(-5, rows()[0][1]), (50, "word"), (51, "new"), (52, "new"), (2, rows()[0][1])]
+    where = {"state": str(tmp_path / "state"), **options}
+    for name, part in (("a", first), ("b", second)):
+        spark.createDataFrame(part, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / name))
+    exact.exact_dedup(spark.read.parquet(str(tmp_path / "a")), run=0, **where)
+    for _ in range(2):
+        got = exact.exact_dedup(spark.read.parquet(str(tmp_path / "b")), run=1, **where).collect()
+        both = {(i, k, n) for i, k, n in brute_exact(first + second) if i in {str(i) for i, _ in second}}
+        assert {(str(r.doc_id), str(r.keep_id), r.group_size) for r in got} == both
+        assert {r.doc_id for r in got if r.kept} == {-5, 51}
+
+
 # ---- 7: language identification
 
 
