@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import exact, langid, minhash, packing, suffix
-from factloom.llm.common import stored
+from factloom.llm.common import scratch, stored
 
 #: Cosine under which a text is in none of the learned languages, where too few texts have a language to read it from.
 LEAST_SCORE = 0.05
@@ -41,13 +41,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest doc_id; of repeated rows one."""
-    verdicts = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept id"), F.col("digest").alias("kept digest"))
+    """Of documents with equal texts, the one with the smallest doc_id; of repeated rows one.
+
+    White space runs count as one space and null texts as empty; rows without doc_id come last.
+    """
     plain, names = numbered(docs)
-    own = plain.withColumn("own digest", exact.sha256(exact.normalised(names["text"])))
-    same = F.col(f"`{names['doc_id']}`").eqNullSafe(F.col("kept id")) & (F.col("own digest") == F.col("kept digest"))
-    left = own.join(verdicts, same, "left_semi").dropDuplicates([names["doc_id"], "own digest"])
-    return left.drop("own digest").toDF(*names)
+    return exact.without_copies(plain, names["doc_id"], names["text"]).toDF(*names)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces; what a stage put into the shared folder goes when the next one has its table."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            own = made.pop()
+            made += before
+            before = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
