@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a multi-index Hamming join (operator 8).
 
-A document's signature has SYMBOLS symbols of 16 bits, each the low bits of a
+A document's signature has SYMBOLS symbols of 32 bits, each the low bits of a
 minimum of hashed shingles. Two sets of similarity t differ in a symbol with
 probability 1 - t, so the number of differing symbols has a binomial bound r.
 The signature is split into r // 2 + 1 chunks: of two signatures at distance r
@@ -25,8 +25,8 @@ from factloom.llm.graph import components
 
 #: Symbols of a signature, and the chance that a pair at the very threshold is further apart than the bound.
 SYMBOLS, MISS = 48, 1e-6
-#: Sets that are held at once on either side when strays are compared with members.
-BLOCK = 1024
+#: Sets, and shingles in them, that are held at once on either side when strays are compared with members.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 MULTIPLIERS = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -57,7 +57,11 @@ def signature(shingles: np.ndarray, symbols: int = SYMBOLS) -> bytes:
     low = np.full(symbols, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
         low = np.minimum(low, (shingles[None, i : i + 4096] * MULTIPLIERS[:symbols, None]).min(1))
-    return mix64(low).astype("<u2").tobytes()
+    return mix64(low).astype("<u4").tobytes()
+
+
+def set_digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +75,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 s = shingle_set(bytes(data[a:b]), words)
                 n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(set_digest(s))
                 signatures.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
             release()
@@ -87,7 +91,7 @@ def key_columns(bound: int, symbols: int = SYMBOLS) -> list:
     keys = []
     for a, b in zip(edges, edges[1:]):
         for skip in range(a, b):
-            parts = [F.substring("signature", 2 * i + 1, 2 * (j - i)) for i, j in ((a, skip), (skip + 1, b)) if j > i]
+            parts = [F.substring("signature", 4 * i + 1, 4 * (j - i)) for i, j in ((a, skip), (skip + 1, b)) if j > i]
             keys.append(F.xxhash64(F.lit(skip), *parts))
     return keys
 
@@ -97,7 +101,7 @@ def near(pairs: DataFrame, bound: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= bound))
 
     return pairs.select("a", "b", "sa", "sb").dropDuplicates(["a", "b"]).mapInArrow(run, pairs.select("a", "b").schema)
@@ -120,18 +124,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """The whole shingle sets of the documents whose id is in ``wanted``."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """The whole shingle sets of the nodes in ``wanted`` (digest, id, node), as (id: the node, shingles)."""
 
     def run(batches):
         for batch in batches:
-            data, at = binary_parts(batch.column(1))
-            sets = [shingle_set(bytes(data[a:b]), words).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            data, at = binary_parts(batch.column("text"))
+            sets = [shingle_set(bytes(data[a:b]), words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            # An id may stand beside other texts too.
+            own = pa.array([set_digest(x) == d for x, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "shingles"]).filter(own)
             release()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>").dropDuplicates(["id"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id").select("node", "digest", "text")
+    return rows.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -152,14 +157,15 @@ def may_link(a_size, a_own, b_size, b_own, percent: int):
 
 
 def strays_against_members(rows: DataFrame, sets: DataFrame, bound: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that join nodes (main, node, c, signature) of different components c under one main.
+    """Links (a, b) that join nodes (main, node, c, size, signature) of different components c under one main.
 
     Strays, the nodes outside the main component, are queries against all nodes of their main, in
-    blocks of both. What is compared never leaves the task: of its links it gives those that join
+    blocks of both, bounded by sets and by shingles. What is compared never leaves the task: of its links it gives those that join
     what wasn't joined, so at most as many as it has strays.
     """
     stray = F.col("c") != F.col("main")
-    counts = rows.groupBy("main").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("bs"), F.greatest(F.lit(1), F.ceil(F.count_if(stray) / block)).alias("qs"))
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / block), F.ceil(F.sum(F.when(of, F.col("size"))) / BLOCK_SHINGLES))
+    counts = rows.groupBy("main").agg(blocks(F.lit(True)).alias("bs"), blocks(stray).alias("qs"))
     full = rows.join(sets.withColumnRenamed("id", "node"), "node").join(counts, "main")
     draw = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -171,7 +177,7 @@ def strays_against_members(rows: DataFrame, sets: DataFrame, bound: int, percent
     def compare(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_pylist(), table.column("c").to_pylist()
         query = table.column("query").to_numpy()
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
+        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(node), -1)
         lists = table.column("shingles").combine_chunks()
         _, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
@@ -210,27 +216,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than
-    a shingle has one shingle. Null, empty and blank texts have none and are linked with nothing.
-    Texts with one set are one node, so copies are never paired. Within a key, all are compared
-    with one hub first, but for those that their sizes and their own shingles rule out; members that
-    stay in other components than most of their key are then compared with all of it, in blocks. A component is named by its smallest id; rows that repeat an id share
-    its verdict; rows without id are kept and linked with nothing. No pair, group or table is
+    a shingle has one shingle. Null, empty and blank texts have none and are linked with nothing;
+    long texts are read whole; an empty table gives an empty result, and columns of any name may
+    stand beside id and text. Texts with one set are one node, so copies are never paired. Within a
+    key, all are compared with one hub first, but for those that their sizes and their own shingles
+    rule out; members that stay in other components than most of their key are then compared with
+    all of it, in blocks. A component is named by its smallest id; rows that repeat an id are nodes
+    by their own texts; rows without id are kept and linked with nothing. No pair, group or table is
     collected on the driver.
     """
     bound = distance_bound(percent)
     table = stored(sketches(docs, words, id_col, text_col), "sketches")
     members = table.where("id IS NOT NULL AND digest IS NOT NULL")
-    first = members.groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = checkpointed(members.join(first, (members.digest == first.digest) & (members.id == first.node), "left_semi").select("id", "signature").dropDuplicates(["id"]))
-    keyed = nodes.select(F.col("id").alias("node"), F.explode(F.array(*key_columns(bound))).alias("key"))
+    # A number for each distinct set; it is fixed because the table is stored.
+    distinct = members.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("signature").alias("signature"))
+    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", F.explode(F.array(*key_columns(bound))).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
     shared = stored(keyed.join(hubs, "key"), "shared-keys")
-    wanted = shared.select(F.col("node").alias("id")).distinct()
+    wanted = nodes.select("digest", "id", "node").join(shared.select("node").distinct(), "node", "left_semi")
     sets = stored(full_sets(docs, wanted, words, id_col, text_col), "sets")
-    facts = own_shingles(sets).join(nodes, "id")
+    facts = own_shingles(sets).withColumnRenamed("id", "node").join(nodes.select("node", "signature"), "node")
 
     # A member that can't have the similarity with any set as large as the smallest of its key drops out.
-    rows = shared.select("key", "node").join(facts.withColumnRenamed("id", "node"), "node")
+    rows = shared.select("key", "node").join(facts, "node")
     common = F.col("size") - F.col("own")
     rows = rows.join(rows.groupBy("key").agg(F.min("size").alias("least")), "key")
     rows = stored(rows.where(100 * common >= percent * (F.col("size") + F.greatest(F.col("least") - common, F.lit(0)))).drop("least"), "rows")
@@ -246,12 +255,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     now = met.drop("hub").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.c").alias("main"))
-    rest = now.join(main, "key").groupBy("main", "node").agg(F.min("c").alias("c"), F.min("signature").alias("signature"))
+    rest = now.join(main, "key").groupBy("main", "node").agg(F.min("c").alias("c"), F.min("size").alias("size"), F.any_value("signature").alias("signature"))
     rest = checkpointed(rest)
     if not rest.isEmpty():
         more = checkpointed(strays_against_members(rest, sets, bound, percent, block))
         labels = components(links.union(more))
 
-    out = table.join(first, "digest", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "node", "id"))
+    named = nodes.select("digest", "id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    least = named.groupBy("c").agg(F.min("id").alias("component"))
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a common text's rows.
+    verdicts = stored(named.join(least, "c").select("digest", "component"), "components")
+    out = table.join(verdicts, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))

@@ -433,6 +433,14 @@ def test_near_duplicates_on_awkward_tables(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts: each links by itself."""
+    a, b = prose(70, 60), prose(71, 60)
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, prose(72, 60))], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got[(7, 57)] == got[(8, 57)] == 5 and got[(9, 56)] == 9
+
+
 def test_keys_meet_within_the_bound():
     """All signatures within the distance share a key: chunk by chunk, one error each at most."""
     bound, k = minhash.distance_bound(85), minhash.SYMBOLS
