@@ -7,12 +7,16 @@ window alone, so equal windows have equal anchors. Runs of windows with one
 anchor are a *strand*. Batches of documents send the hashes of their anchors to
 parts (by hash); a part answers which anchors other documents have too. Only
 strands with such anchors are sent on, each distinct one once a batch. A part
-sorts their suffixes by deep-shallow sorting (multikey quicksort to a shallow
-depth, then blind tries), which brings equal windows together, and answers which
-windows were met in an earlier document. An anchor of very many strands is dealt
-out by its single windows instead, so no part grows with one common passage.
-
-The texts are shuffled once: the three passes over them share one exchange.
+orders them by deep-shallow sorting (multikey quicksort to a shallow depth, then
+blind tries): first the strands under each anchor, where copies become one
+class, then the suffixes of the classes that share an anchor. Equal windows are
+neighbours in that order; the part answers which were met in an earlier
+document. An anchor of very many strands is dealt out by its single windows
+instead, so no part grows with one common passage.
+
+The texts are shuffled once: the three passes over them share one exchange. What
+batches and parts send one another is a row for each pair that has something to
+say, so never more rows than anchors or strands.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, release
+from pyspark.sql.types import IntegralType
+
+from factloom.llm.common import binary_parts, release, stored
 
 #: Bytes of a window and of an anchor.
 WINDOW, ANCHOR = 50, 24
@@ -32,10 +38,10 @@ SPAN = WINDOW - ANCHOR + 1  # anchors in a window
 #: Bytes of text of a batch on average, and strands of one anchor from which it is dealt out by windows.
 BATCH_BYTES, HOT = 8 << 20, 4000
 #: Bytes that are hashed at once; positions in them take PLACE_BITS.
-PLACE_BITS = 20
+PLACE_BITS = 17
 PIECE = (1 << PLACE_BITS) - WINDOW
-#: Bytes to which multikey quicksort goes, in symbols of eight bytes.
-SHALLOW = 24
+#: Bytes of a symbol of multikey quicksort, and bytes to which it goes.
+SYMBOL, SHALLOW = 8, 24
 LOW48 = np.uint64((1 << 48) - 1)
 HOT_BIT = np.uint64(1 << 48)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -166,45 +172,86 @@ class BlindTrie:
                 yield node
 
 
-def deep_shallow(data: bytes, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their next ``depth`` bytes, and the number of each one's class.
+def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, fresh: np.ndarray, shallow: int) -> np.ndarray:
+    """The order of ``starts`` by their next ``shallow`` bytes, inside the parts that begin at ``fresh``.
 
-    Shallow: multikey quicksort by symbols of eight bytes; at each level all unresolved parts are
-    ordered side by side by their next symbol, and only parts of equal symbols go on. Deep: the
-    parts that agree to the shallow depth are put in order by blind tries.
+    Every open part is split in three at once: what is less than its pivot (the median of three),
+    what has the pivot's symbol, and what is greater. Only the middle one goes on to the next
+    symbol; a part is closed when it is a single string or agrees to the shallow depth. ``fresh``
+    is changed to where the closed parts begin.
     """
-    raw = np.frombuffer(data + bytes(8), np.uint8)
-    symbol = np.zeros(len(raw) - 8, np.uint64)
-    for k in range(8):
-        symbol |= raw[k : k + len(symbol)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.array(starts, np.int64)
-    n = len(order)
-    fresh = np.zeros(n, bool)  # where a part begins
+    n = len(starts)
+    order, depth = np.arange(n), np.zeros(n, np.int8)
+    here = np.arange(n)  # places of open parts, part by part
+    while True:
+        begins = fresh[here]
+        ends = np.append(here[1:] != here[:-1] + 1, True) if len(here) else begins
+        ends[:-1] |= begins[1:]
+        open_ = ~(begins & ends) & (depth[here] < shallow)
+        here, begins = here[open_], begins[open_]
+        if not len(here):
+            return order
+        heads = np.flatnonzero(begins)
+        size = np.diff(np.append(heads, len(here)))
+        part = np.repeat(np.arange(len(heads)), size)
+        key = symbols[starts[order[here]] + depth[here]]
+        one, two, three = key[heads], key[heads + size // 2], key[heads + size - 1]
+        pivot = np.maximum(np.minimum(one, two), np.minimum(np.maximum(one, two), three))[part]
+        less, same = key < pivot, key == pivot
+        to = np.empty(len(here), np.int64)
+        at = here[heads]
+        for which in (less, same, ~(less | same)):
+            count = np.cumsum(which)
+            before = count[heads] - which[heads]
+            total = count[heads + size - 1] - before
+            to[which] = (at[part] + count - before[part] - 1)[which]
+            fresh[at[total > 0]] = True
+            at = at + total
+        order[to], depth[to] = order[here], depth[here] + np.where(same, SYMBOL, 0).astype(np.int8)
+
+
+def sorted_classes(data: bytes, starts: np.ndarray, fresh: np.ndarray, depth: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of ``starts`` in the order of their next ``depth`` bytes, and the number of each one's class.
+
+    Strings are compared inside the parts that begin at ``fresh``; ``depth`` is one number in a part.
+    """
+    symbols = np.ndarray((max(0, len(data) - SYMBOL + 1),), ">u8", data, strides=(1,)) if len(data) >= SYMBOL else np.zeros(0, ">u8")
+    fresh = fresh.copy()
     fresh[:1] = True
-    for level in range(0, shallow, 8):
-        part = np.cumsum(fresh)
-        size = np.bincount(part)
-        open_ = np.flatnonzero(size[part] > 1)
-        if not len(open_):
-            break
-        key, own = symbol[order[open_] + level], part[open_]
-        by = np.lexsort((key, own))
-        order[open_] = order[open_][by]
-        key, own = key[by], own[by]
-        fresh[open_[1:][(own[1:] == own[:-1]) & (key[1:] != key[:-1])]] = True
-    bounds = np.append(np.flatnonzero(fresh), n)
-    for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
-        lo, hi = int(bounds[i]), int(bounds[i + 1])
-        trie = BlindTrie(data, shallow, depth)
-        for at in order[lo:hi].tolist():
-            trie.insert(at)
+    order = multikey_quicksort(symbols, starts, fresh, shallow)
+    bounds = np.append(np.flatnonzero(fresh), len(order))
+    size = np.diff(bounds)
+    many = size > 1
+    for lo, hi in zip(bounds[:-1][many].tolist(), bounds[1:][many].tolist()):
+        rows = order[lo:hi].tolist()
+        places = starts[order[lo:hi]].tolist()
+        owner: dict[int, list[int]] = {}
+        trie = BlindTrie(data, shallow, int(depth[rows[0]]))
+        for row, at in zip(rows, places):
+            if at in owner:  # one place given twice
+                owner[at].append(row)
+            else:
+                owner[at] = [row]
+                trie.insert(at)
         for leaf in trie.leaves():
-            order[lo : lo + len(leaf)] = leaf
             fresh[lo] = True
-            lo += len(leaf)
+            for at in leaf:
+                order[lo : lo + len(owner[at])] = owner[at]
+                lo += len(owner[at])
     return order, np.cumsum(fresh) - 1
 
 
+def deep_shallow(data: bytes, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of their next ``depth`` bytes, and the number of each one's class.
+
+    Shallow: multikey quicksort by symbols of eight bytes. Deep: the parts that agree to the
+    shallow depth are put in order by blind tries.
+    """
+    starts = np.array(starts, np.int64)
+    order, kind = sorted_classes(data, starts, np.zeros(len(starts), bool), np.full(len(starts), depth), shallow)
+    return starts[order], kind
+
+
 # ---- the four passes
 
 PACKED = np.dtype([("h", "<u8"), ("text", "<u8"), ("least", "<i8"), ("mask", "<u4")])
@@ -317,28 +364,33 @@ def first_documents(table: pa.Table) -> pa.Table:
     batch = np.repeat(table.column("batch").to_numpy(), [len(x) for x in table.column("sizes").to_pylist()])
     data = b"".join(map(zstandard.decompress, table.column("texts").to_pylist()))
     at = np.concatenate(([0], np.cumsum(size + WINDOW - 1)))
-    # Strands that several batches sent are one text.
-    number: dict[bytes, int] = {}
-    cut = at.tolist()
-    text = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(cut, cut[1:])), np.int64, len(h))
-    least = np.full(len(number), np.iinfo(np.int64).max)
+    anchor = h & LOW48
+    # All strands under an anchor are sorted; those of several batches that are one text become one class.
+    by = np.lexsort((size, anchor))
+    fresh = np.append(True, (anchor[by][1:] != anchor[by][:-1]) | (size[by][1:] != size[by][:-1]))[: len(by)]
+    order, kind = sorted_classes(data, at[:-1][by], fresh, size[by] + WINDOW - 1)
+    text = np.zeros(len(h), np.int64)
+    text[by[order]] = kind
+    classes = int(kind[-1]) + 1 if len(kind) else 0
+    least = np.full(classes, np.iinfo(np.int64).max)
     np.minimum.at(least, text, rank)
-    sample = np.zeros(len(number), np.int64)
+    sample = np.zeros(classes, np.int64)
     sample[text[::-1]] = np.arange(len(h))[::-1]
-    # Windows are equal only under equal anchors: a text that is alone under its anchor needs no sorting.
-    _, group, members = np.unique(h[sample] & LOW48, return_inverse=True, return_counts=True)
-    alone = members[group] == 1
+    # Windows are equal only under equal anchors, so where an anchor has several classes their suffixes
+    # are sorted too; the windows of one strand are all different.
     windows = size[sample]
     begin = np.cumsum(windows) - windows
     earliest = np.repeat(least, windows)
-    rest = np.flatnonzero(~alone)
+    _, group, members = np.unique(anchor[sample], return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(members[group] > 1)
+    rest = rest[np.argsort(group[rest], kind="stable")]
     if len(rest):
         count = windows[rest]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         starts, slots = np.repeat(at[sample[rest]], count) + step, np.repeat(begin[rest], count) + step
-        order, kind = deep_shallow(data, starts)
-        by = np.argsort(starts)
-        slot = slots[by[np.searchsorted(starts, order, sorter=by)]]
+        own = np.repeat(group[rest], count)
+        order, kind = sorted_classes(data, starts, np.append(True, own[1:] != own[:-1]), np.full(len(starts), WINDOW))
+        slot = slots[order]
         best = np.full(int(kind[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, kind, earliest[slot])
         earliest[slot] = best[kind]
@@ -349,6 +401,7 @@ def first_documents(table: pa.Table) -> pa.Table:
     keep = np.flatnonzero((mask > 0) | several)
     out = np.zeros(len(keep), PACKED)
     out["h"], out["least"], out["mask"] = h[keep], rank[keep], mask[keep]
+    cut = at.tolist()
     out["text"] = [xxhash.xxh3_64_intdigest(data[cut[i] : cut[i + 1]]) for i in keep.tolist()]
     answers = by_part(batch[keep].astype(np.uint64), 0, out)
     return pa.table([answers.column("part"), answers.column("blob")], ["batch", "blob"])
@@ -389,19 +442,23 @@ def remove(table: pa.Table, reply: pa.Table, keep: list[str], whole_characters:
             hits = first[some[(mask[some] >> np.uint64(bit)) & np.uint64(1) > 0]] + bit
             np.add.at(cover, hits, 1)
             np.add.at(cover, hits + WINDOW, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+    del cover
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     heads = at[:-1][np.diff(at) > 0]
     begins[heads] = gone[heads]
-    total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
-    removed = total(gone)
+    edges = at.tolist()
+    total = lambda x: np.array([np.count_nonzero(x[a:b]) for a, b in zip(edges, edges[1:])], np.int64)
+    removed, spans = total(gone), total(begins)
+    del begins
     left = raw[~gone].tobytes()
+    del gone
     edges = np.concatenate(([0], np.cumsum(np.diff(at) - removed))).tolist()
     kept = [left[a:b] for a, b in zip(edges, edges[1:])]
     if whole_characters:
         kept = [x.decode("utf-8", "ignore") for x in kept]
-    return pa.table([*[table.column(c) for c in keep], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(total(begins).astype(np.int64)), pa.array(kept, pa.string() if whole_characters else pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept_text" if whole_characters else "kept_bytes"])
+    return pa.table([*[table.column(c) for c in keep], pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string() if whole_characters else pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept_text" if whole_characters else "kept_bytes"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, batch_bytes: int = BATCH_BYTES, whole_characters: bool = False) -> DataFrame:
@@ -410,19 +467,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows out, one per row of ``docs``: the columns ``keep`` (default: the id), n_bytes, n_removed,
     n_spans (maximal removed runs) and kept_bytes (the remaining bytes), or with
     ``whole_characters`` kept_text (the same without parts of characters). Texts are UTF-8 bytes, null
-    is empty, matches don't cross documents, and strings are judged on the texts as they came in.
-    A null id is larger than every other; rows with one id don't remove from one another.
+    is empty, long ones are read whole, matches don't cross documents, and strings are judged on the
+    texts as they came in. Ids of any type that can be ordered will do. A null id is larger than
+    every other; rows with one id, repeated or not, don't remove from one another. An empty table
+    gives an empty result; columns of any name may stand beside id and text.
     """
     keep = keep if keep is not None else [id_col]
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    batches = max(1, -(-int(size) // batch_bytes))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    last = F.max(F.col(id_col).cast("long") if whole else F.lit(0).cast("long"))
+    size, most = docs.agg(F.sum(F.octet_length(text_col)), last).first()
+    batches = max(1, -(-int(size or 0) // batch_bytes))
     rows = docs.select(
-        F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col), F.col(text_col)), F.lit(batches)).alias("batch"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"),
+        # Rows that repeat an id and a text are dealt out too, by the partition they are read in.
+        F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(batches)).alias("batch"),
+        F.col(id_col).alias("id"),
         text.alias("text"),
         *[F.col(f"`{c}`").alias(f"keep {i}") for i, c in enumerate(keep)],
     )
+    if whole and (most is None or most < NO_ID):
+        rank = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
+    else:
+        # Ranks in the order of the ids: rows are ordered over all partitions, and numbered in it.
+        ranks = stored(docs.select(F.col(id_col).alias("ranked")).where("ranked IS NOT NULL").distinct().orderBy("ranked").withColumn("number", F.monotonically_increasing_id()), "ranks")
+        rows, rank = rows.join(ranks, F.col("id") == F.col("ranked"), "left"), F.coalesce("number", F.lit(NO_ID))
+    rows = rows.select("batch", rank.alias("rank"), "text", *[f"keep {i}" for i in range(len(keep))])
     names = [f"keep {i}" for i in range(len(keep))]
     number = lambda t: t.column("batch")[0].as_py()
 

@@ -235,6 +235,17 @@ def test_repeats_on_other_tables(spark):
     assert (r.n_removed, r.kept_text) == (80, "")
 
 
+@pytest.mark.parametrize("of", [lambda i: f"{i:05d}", lambda i: suffix.NO_ID if i == 1000 else i])
+def test_repeats_by_other_ids(spark, of):
+    """Ids of another type, and the largest there is beside a null one."""
+    texts = [(i, t) for i, t, *_ in rows() if i is not None] + [(1000, rows()[0][1]), (None, rows()[0][1])]
+    kind = "string" if isinstance(of(1), str) else "long"
+    df = spark.createDataFrame([(None if i is None else of(i), t) for i, t in texts], f"doc_id {kind}, text string")
+    got = suffix.remove_repeats(df, batch_bytes=5000).collect()
+    back = {of(i): i for i, _ in texts if i is not None}
+    assert sorted((-1 if r.doc_id is None else back[r.doc_id], r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in got) == brute_repeats(texts)
+
+
 def test_strands_of_long_documents(monkeypatch):
     raw = np.frombuffer(prose(5, 800).encode(), np.uint8)
     whole = suffix.strands(raw, np.array([0, len(raw)]))
