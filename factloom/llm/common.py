@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.storage import fixed as checkpointed
 from factloom.storage import shared_folder
 
-__all__ = ["binary_parts", "checkpointed", "mix64", "release", "scratch", "shared_folder", "slices", "stored"]
+__all__ = ["binary_parts", "checkpointed", "mix64", "release", "scratch", "shared_folder", "slices", "small_batches", "stored"]
 
 #: Lists of the folders that were made since each open ``scratch`` began.
 _OPEN: list[list[str]] = []
@@ -50,6 +50,22 @@ def scratch(spark: SparkSession):
             place.getFileSystem(conf).delete(place, True)
 
 
+#: Bytes of an Arrow batch where rows hold whole texts and the result is made at once.
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, rows go to Python in smaller batches than the session says; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def release() -> None:
     """Give memory that is free again back to the system; workers live on and serve other stages."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from factloom.llm.common import binary_parts, mix64, release, slices
 #: Length of the vectors.
 DIMENSIONS = 1024
 #: Bytes of text, and cells of the table of counts, that are handled at once.
-CHUNK, CELLS = 1 << 20, 1 << 21
+CHUNK, CELLS = 1 << 19, 1 << 20
 UNKNOWN = "und"
 #: Lengths (powers of two of letters) and steps of a score that the scores of labelled texts are counted by.
 SIZES, STEPS = 32, 1000

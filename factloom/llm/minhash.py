@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed, mix64, release, stored
+from factloom.llm.common import binary_parts, checkpointed, mix64, release, small_batches, stored
 from factloom.llm.graph import components
 
 #: Symbols of a signature, and the chance that a pair at the very threshold is further apart than the bound.
@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     collected on the driver.
     """
     bound = distance_bound(percent)
-    table = stored(sketches(docs, words, id_col, text_col), "sketches")
+    with small_batches(docs.sparkSession):
+        table = stored(sketches(docs, words, id_col, text_col), "sketches")
     members = table.where("id IS NOT NULL AND digest IS NOT NULL")
     # A number for each distinct set; it is fixed because the table is stored.
     distinct = members.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("signature").alias("signature"))
@@ -235,7 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
     shared = stored(keyed.join(hubs, "key"), "shared-keys")
     wanted = nodes.select("digest", "id", "node").join(shared.select("node").distinct(), "node", "left_semi")
-    sets = stored(full_sets(docs, wanted, words, id_col, text_col), "sets")
+    with small_batches(docs.sparkSession):
+        sets = stored(full_sets(docs, wanted, words, id_col, text_col), "sets")
     facts = own_shingles(sets).withColumnRenamed("id", "node").join(nodes.select("node", "signature"), "node")
 
     # A member that can't have the similarity with any set as large as the smallest of its key drops out.

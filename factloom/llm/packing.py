@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import CHUNK, PieceCache, read_bytes
-from factloom.llm.common import binary_parts, release, slices
+from factloom.llm.common import binary_parts, release, slices, small_batches, stored
 from factloom.llm.pretoken import pieces
 
 #: Tokens of a sequence, and documents of a group on average.
@@ -89,11 +89,12 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_buffer(vocabulary), piece_cache(vocabulary)
-        added = json.loads(vocabulary).get("added_tokens") or []
-        self.added = {t["content"].encode(): np.array([self.tokenizer.token_to_id(t["content"])], "<u4").tobytes() for t in added}
+        self.cache = piece_cache(vocabulary)
+        file = json.loads(vocabulary)
+        added, vocab = file.get("added_tokens") or [], file["model"]["vocab"]
+        # An added token that the vocabulary has too keeps the vocabulary's id, as in the library.
+        self.added = {t["content"].encode(): np.array([vocab.get(t["content"], t["id"])], "<u4").tobytes() for t in added}
+        self.vocabulary = vocabulary
         self.plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
 
@@ -106,7 +107,7 @@ class Encoder:
     def mixed(self, text: bytes) -> bytes:
         """The ids of a text with added tokens."""
         if not self.plain:
-            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(library(self.vocabulary).encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
         spans = [m.span() for m in self.pattern.finditer(text)]
         ids = self.ordinary(text, np.array([0, *(x for span in spans for x in span), len(text)]))
         ids[1::2] = [self.added[text[a:b]] for a, b in spans]
@@ -123,6 +124,14 @@ class Encoder:
         return ids
 
 
+@lru_cache(2)
+def library(vocabulary: bytes):
+    """The tokenizers library's own encoder; made only where it is needed, as it takes memory."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_buffer(vocabulary)
+
+
 @lru_cache(2)
 def encoder(vocabulary: bytes) -> Encoder:
     return Encoder(vocabulary)
@@ -135,12 +144,9 @@ def piece_cache(vocabulary: bytes) -> PieceCache:
     Where merge order and id order agree, the rank merger of tiktoken makes the same ids of a
     single pre-token in a fraction of the time; other files go through the library itself.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_buffer(vocabulary)
     ranks = ranks_of(vocabulary)
     if ranks is None:
-        return PieceCache(lambda piece: tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids)
+        return PieceCache(lambda piece: library(vocabulary).encode(piece.decode("utf-8"), add_special_tokens=False).ids)
     import tiktoken
 
     return PieceCache(tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
@@ -170,21 +176,25 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int
             release()
 
     text = F.col(text_col).cast("binary")
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit("packing"), F.col(id_col), text).alias("draw")).mapInArrow(run, f"id {kind}, draw bigint, doc_tokens bigint, sums array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit("packing"), F.col(id_col), text, F.spark_partition_id()).alias("draw")).mapInArrow(run, f"id {kind}, draw bigint, doc_tokens bigint, sums array<bigint>")
 
 
 def pack(docs: DataFrame, vocabulary_path: str, sequence: int = SEQUENCE, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``sequence`` tokens.
 
     Every document is its ids and then ``end_id``; null and empty texts are the end id alone.
-    A document's group is drawn by a hash, so groups are alike in size whatever the order, the
-    source or the number of documents, and only sizes and checksums are shuffled. Ties in size
+    Long texts are read whole; an empty table gives an empty result, and columns of any name may
+    stand beside id and text. A document's group is drawn by a hash of its id, its text and the
+    partition it is read in, so groups are alike in size whatever the source or the number of
+    documents, and repeated rows are dealt out too; only sizes and checksums are shuffled. Ties in size
     keep the order of (draw, id, piece). Rows out, one per piece: id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset.
     """
-    groups = max(1, round(docs.count() / group_documents))
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = cut_pieces(docs, vocabulary_path, sequence, end_id, id_col, text_col)
+    # Stored, so that a lost executor costs no second pass of the tokenizer.
+    with small_batches(docs.sparkSession):
+        cut = stored(cut_pieces(docs, vocabulary_path, sequence, end_id, id_col, text_col), "cut")
+    groups = max(1, round(cut.count() / group_documents))
     # A further hash, as Spark deals rows out by a hash of the group too.
     cut = cut.withColumn("bin_group", F.pmod(F.col("draw"), F.lit(groups)))
 

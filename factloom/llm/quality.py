@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed
+from factloom.llm.common import binary_parts, checkpointed, small_batches
 
 #: Rows that each tree sees, trees, and so at most TREES * TREE_ROWS rows to fit on.
 TREE_ROWS, TREES = 256, 100
@@ -195,7 +195,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     labels of an id the lowest counts; null labels don't. Without labelled rows of both kinds
     nothing but the base rules rejects.
     """
-    stats = checkpointed(rule_statistics(docs, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        stats = checkpointed(rule_statistics(docs, id_col, text_col))
     label = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col)).agg(F.min("quality").alias("quality"))
     known = stats.where(~base_failed()).join(label, id_col)
     most = trees * tree_rows

@@ -40,6 +40,8 @@ BATCH_BYTES, HOT = 8 << 20, 4000
 #: Bytes that are hashed at once; positions in them take PLACE_BITS.
 PLACE_BITS = 17
 PIECE = (1 << PLACE_BITS) - WINDOW
+#: Strands that are hashed or answered at once, and windows that are sorted at once (whole anchors).
+STEP, SORTED = 1 << 15, 1 << 19
 #: Bytes of a symbol of multikey quicksort, and bytes to which it goes.
 SYMBOL, SHALLOW = 8, 24
 LOW48 = np.uint64((1 << 48) - 1)
@@ -307,7 +309,9 @@ def selected(raw: bytes, at: np.ndarray, rank: np.ndarray, first: np.ndarray, la
         first, last, h, hot = first[row] + step, np.where(hot[row], first[row] + step, last[row]), h[row], hot[row]
     own = rank[np.searchsorted(at, first, "right") - 1]
     ends = last + WINDOW
-    text = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends.tolist())), np.uint64, len(first))
+    text = np.empty(len(first), np.uint64)
+    for k in range(0, len(first), STEP):
+        text[k : k + STEP] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first[k : k + STEP].tolist(), ends[k : k + STEP].tolist())]
     return first, last - first + 1, own, h | np.where(hot, HOT_BIT, np.uint64(0)), text
 
 
@@ -384,20 +388,27 @@ def first_documents(table: pa.Table) -> pa.Table:
     _, group, members = np.unique(anchor[sample], return_inverse=True, return_counts=True)
     rest = np.flatnonzero(members[group] > 1)
     rest = rest[np.argsort(group[rest], kind="stable")]
-    if len(rest):
-        count = windows[rest]
+    heads = np.flatnonzero(np.append(True, group[rest][1:] != group[rest][:-1]))[: len(rest)]
+    before = np.append(0, np.cumsum(windows[rest]))
+    cuts = heads[np.unique(np.searchsorted(before[heads], np.arange(0, before[-1], SORTED), "right") - 1)] if len(rest) else heads
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rest)]):
+        own = rest[i:j]
+        count = windows[own]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        starts, slots = np.repeat(at[sample[rest]], count) + step, np.repeat(begin[rest], count) + step
-        own = np.repeat(group[rest], count)
-        order, kind = sorted_classes(data, starts, np.append(True, own[1:] != own[:-1]), np.full(len(starts), WINDOW))
+        starts, slots = np.repeat(at[sample[own]], count) + step, np.repeat(begin[own], count) + step
+        part = np.repeat(group[own], count)
+        order, kind = sorted_classes(data, starts, np.append(True, part[1:] != part[:-1]), np.full(len(starts), WINDOW))
         slot = slots[order]
         best = np.full(int(kind[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, kind, earliest[slot])
         earliest[slot] = best[kind]
-    row = np.repeat(np.arange(len(h)), size)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    seen = earliest[begin[text[row]] + step] < rank[row]
-    mask = np.bincount(row, seen * 2.0**step, len(h)).astype(np.uint32)
+    mask = np.zeros(len(h), np.uint32)
+    for i in range(0, len(h), STEP):
+        count = size[i : i + STEP]
+        row = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        seen = earliest[begin[text[i : i + STEP]][row] + step] < rank[i : i + STEP][row]
+        mask[i : i + STEP] = np.bincount(row, seen * 2.0**step, len(count)).astype(np.uint32)
     keep = np.flatnonzero((mask > 0) | several)
     out = np.zeros(len(keep), PACKED)
     out["h"], out["least"], out["mask"] = h[keep], rank[keep], mask[keep]
@@ -442,7 +453,7 @@ def remove(table: pa.Table, reply: pa.Table, keep: list[str], whole_characters:
             hits = first[some[(mask[some] >> np.uint64(bit)) & np.uint64(1) > 0]] + bit
             np.add.at(cover, hits, 1)
             np.add.at(cover, hits + WINDOW, -1)
-    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+    gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
     del cover
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
