@@ -5,18 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, slices
+from factloom.llm.common import binary_parts, kept, make_room, slices
 from factloom.llm.pretoken import pieces
 
 #: Pieces of a generation of the cache, two of which are kept at most, and the longest such piece.
-CACHED_PIECES, CACHED_BYTES = 200_000, 64
+CACHED_PIECES, CACHED_BYTES = 50_000, 64
 #: Bytes of text that are handled at once.
 CHUNK = 1 << 20
 
@@ -114,7 +113,7 @@ class Codec:
         return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
-@lru_cache(2)
+@kept("bpe", 2)
 def codec(data: bytes) -> Codec:
     return Codec(parse_ranks(data))
 
@@ -134,6 +133,7 @@ def encode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        make_room("bpe")
         own = codec(ranks.value)
         for batch in batches:
             data, at = binary_parts(batch.column(1))
@@ -157,6 +157,7 @@ def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        make_room("bpe")
         own = codec(ranks.value)
         for batch in batches:
             data, at = binary_parts(batch.column(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.storage import fixed as checkpointed
 from factloom.storage import shared_folder
 
-__all__ = ["binary_parts", "checkpointed", "mix64", "release", "scratch", "shared_folder", "slices", "small_batches", "stored"]
+__all__ = ["binary_parts", "checkpointed", "kept", "make_room", "mix64", "release", "scratch", "shared_folder", "slices", "small_batches", "stored"]
 
 #: Lists of the folders that were made since each open ``scratch`` began.
 _OPEN: list[list[str]] = []
@@ -66,6 +67,30 @@ def small_batches(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: The functions whose results a worker keeps from task to task, by operator.
+_KEPT: dict[str, list] = {}
+
+
+def kept(operator: str, size: int):
+    """As ``lru_cache``; what is kept goes when a worker begins to serve another operator."""
+
+    def wrap(f):
+        f = lru_cache(size)(f)
+        _KEPT.setdefault(operator, []).append(f)
+        return f
+
+    return wrap
+
+
+def make_room(operator: str) -> None:
+    """To be called where a task of ``operator`` begins: workers serve one operator after another."""
+    for name, functions in _KEPT.items():
+        if name != operator:
+            for f in functions:
+                f.cache_clear()
+    release()
+
+
 def release() -> None:
     """Give memory that is free again back to the system; workers live on and serve other stages."""
     pa.default_memory_pool().release_unused()

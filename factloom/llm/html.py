@@ -11,13 +11,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import kept, make_room
 from factloom.llm.html_labels import labelled_pages
 
 #: Elements that begin and end a block, that have no end tag, and whose content isn't shown.
@@ -158,7 +158,7 @@ class Weights:
         return sum(self.cue.get(c, 0.0) for c in block.cues) + linked * self.cue["linked"]
 
 
-@lru_cache(1)
+@kept("html", 1)
 def weights() -> Weights:
     return Weights(labelled_pages())
 
@@ -193,6 +193,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     keep = keep if keep is not None else [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches):
+        make_room("html")
         for batch in batches:
             texts = [main_text(x) if x else "" for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, mix64, release, slices
+from factloom.llm.common import binary_parts, kept, make_room, mix64, release, slices
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -30,13 +29,13 @@ SIZES, STEPS = 32, 1000
 ENOUGH, UNDER = 100, 0.001
 
 
-@lru_cache(1)
+@kept("langid", 1)
 def letters() -> np.ndarray:
     """Whether a code point is a letter (general category L)."""
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
 
 
-@lru_cache(4096)
+@kept("langid", 4096)
 def letter_vector(code: int, dimensions: int) -> np.ndarray:
     """A letter's random signs; 0 is the gap between words. They depend on the code point alone."""
     seed = mix64(np.array([code + 1], np.uint64))[0]
@@ -130,6 +129,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """
 
     def run(batches):
+        make_room("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             release()
@@ -167,6 +167,7 @@ def calibrate(labelled: DataFrame, prototypes: dict[str, np.ndarray], otherwise:
     square = (matrix**2).sum(0)
 
     def run(batches):
+        make_room("langid")
         counts = np.zeros((SIZES, STEPS + 1), np.int64)
         for batch in batches:
             own_of = np.array([number[x] for x in batch.column(1).to_pylist()])
@@ -213,6 +214,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     # Only the text goes to Python; the other columns wait in the JVM.
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make_room("langid")
         for texts in batches:
             best, score = np.full(len(texts), len(names)), np.zeros(len(texts))
             for i, vectors, has in in_runs(texts, dimensions) if names else ():

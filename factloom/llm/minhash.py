@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binary_parts, checkpointed, mix64, release, small_batches, stored
+from factloom.llm.common import binary_parts, checkpointed, make_room, mix64, release, small_batches, stored
 from factloom.llm.graph import components
 
 #: Symbols of a signature, and the chance that a pair at the very threshold is further apart than the bound.
@@ -69,6 +69,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        make_room("minhash")
         for batch in batches:
             data, at = binary_parts(batch.column(1))
             n, digests, signatures = [], [], []
@@ -127,6 +128,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     """The whole shingle sets of the nodes in ``wanted`` (digest, id, node), as (id: the node, shingles)."""
 
     def run(batches):
+        make_room("minhash")
         for batch in batches:
             data, at = binary_parts(batch.column("text"))
             sets = [shingle_set(bytes(data[a:b]), words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import CHUNK, PieceCache, read_bytes
-from factloom.llm.common import binary_parts, release, slices, small_batches, stored
+from factloom.llm.common import binary_parts, kept, make_room, release, slices, small_batches, stored
 from factloom.llm.pretoken import pieces
 
 #: Tokens of a sequence, and documents of a group on average.
@@ -124,7 +123,7 @@ class Encoder:
         return ids
 
 
-@lru_cache(2)
+@kept("packing", 2)
 def library(vocabulary: bytes):
     """The tokenizers library's own encoder; made only where it is needed, as it takes memory."""
     from tokenizers import Tokenizer
@@ -132,12 +131,12 @@ def library(vocabulary: bytes):
     return Tokenizer.from_buffer(vocabulary)
 
 
-@lru_cache(2)
+@kept("packing", 2)
 def encoder(vocabulary: bytes) -> Encoder:
     return Encoder(vocabulary)
 
 
-@lru_cache(2)
+@kept("packing", 2)
 def piece_cache(vocabulary: bytes) -> PieceCache:
     """Ids of pre-tokens as the tokenizers library gives them.
 
@@ -163,6 +162,7 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        make_room("packing")
         encode = encoder(vocabulary.value).encode
         for batch in batches:
             data, at = binary_parts(batch.column(1))

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import IntegralType
 
-from factloom.llm.common import binary_parts, release, stored
+from factloom.llm.common import binary_parts, make_room, release, stored
 
 #: Bytes of a window and of an anchor.
 WINDOW, ANCHOR = 50, 24
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
-#: Bytes of text of a batch on average, and strands of one anchor from which it is dealt out by windows.
-BATCH_BYTES, HOT = 8 << 20, 4000
+#: Bytes of text of a batch on average, batches to a part, and strands of one anchor from which it is dealt out by windows.
+BATCH_BYTES, PART_BATCHES, HOT = 4 << 20, 2, 4000
 #: Bytes that are hashed at once; positions in them take PLACE_BITS.
 PLACE_BITS = 17
 PIECE = (1 << PLACE_BITS) - WINDOW
@@ -488,7 +488,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = isinstance(docs.schema[id_col].dataType, IntegralType)
     last = F.max(F.col(id_col).cast("long") if whole else F.lit(0).cast("long"))
     size, most = docs.agg(F.sum(F.octet_length(text_col)), last).first()
-    batches = max(1, -(-int(size or 0) // batch_bytes))
+    batches, parts = (max(1, -(-int(size or 0) // n)) for n in (batch_bytes, PART_BATCHES * batch_bytes))
     rows = docs.select(
         # Rows that repeat an id and a text are dealt out too, by the partition they are read in.
         F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(batches)).alias("batch"),
@@ -510,6 +510,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """The function, and what it has used given back."""
 
         def run(*tables):
+            make_room("suffix")
             try:
                 return f(*tables)
             finally:
@@ -519,9 +520,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return (lambda t, r: run(t, r)) if f.__code__.co_argcount == 2 else (lambda t: run(t))
 
 
-    anchors = rows.groupBy("batch").applyInArrow(tidy(lambda t: announce(t, batches, number(t))), "part bigint, batch bigint, blob binary")
+    anchors = rows.groupBy("batch").applyInArrow(tidy(lambda t: announce(t, parts, number(t))), "part bigint, batch bigint, blob binary")
     shared = anchors.groupBy("part").applyInArrow(tidy(lambda t: shared_anchors(t)), "batch bigint, blob binary")
-    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, r: send_strands(t, r, batches, number(t))), SENT)
+    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, r: send_strands(t, r, parts, number(t))), SENT)
     seen = sent.groupBy("part").applyInArrow(tidy(lambda t: first_documents(t)), "batch bigint, blob binary")
     fields = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(tidy(lambda t, r: remove(t, r, names, whole_characters)), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_text string' if whole_characters else 'kept_bytes binary'}")
