@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
+    return {"op2_line_dedup": linededup.ORACLE_SQL, "op4_suffix_dedup": suffix.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}

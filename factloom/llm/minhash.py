@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met = rows.join(hub, "key").where("node <> hub.node")
     able = may_link(F.col("size"), F.col("own"), F.col("hub.size"), F.col("hub.own"), percent)
     pairs = met.where(able).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("signature").alias("sa"), F.col("hub.signature").alias("sb"))
-    links = checkpointed(confirmed(near(pairs, bound), sets, percent))
+    with small_batches(docs.sparkSession):
+        links = checkpointed(confirmed(near(pairs, bound), sets, percent))
     labels = components(links)
 
     # Members of a key that are in other components than most of it may still have links.
@@ -272,3 +273,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = table.join(verdicts, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+
+
+#: Exact pairs by a join on shared shingles, for small tables: it has a row for every pair that shares one.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], chr(10)) AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""

@@ -527,3 +527,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(tidy(lambda t, r: remove(t, r, names, whole_characters)), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_text string' if whole_characters else 'kept_bytes binary'}")
     return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", "n_spans", out.columns[-1])
+
+
+#: For small tables: it has a row for every window. Bytes are pairs of hexadecimal digits.
+ORACLE_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS window_bytes
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {WINDOW - 1})) AS i FROM t WHERE length(h) >= {2 * WINDOW})
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY window_bytes) AS first FROM w) WHERE first < doc_id
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM hits))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER o, 0) AS lo, a AS hi FROM runs WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h) // 2) - lo)), '' ORDER BY lo) AS k FROM gaps JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(r.n, 0) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*) AS spans FROM runs GROUP BY doc_id) r USING (doc_id)
+"""
