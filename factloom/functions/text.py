@@ -16,7 +16,8 @@ def utf8_width(s: Column) -> Column:
 
 def utf16_width(s: Column) -> Column:
     """UTF-16 units: code points, and one more for each outside the basic plane."""
-    return F.floor(F.octet_length(F.encode(s, "UTF-16BE")) / 2)
+    # Plain ASCII, told by its bytes, needs no encoding.
+    return F.when(F.octet_length(s) == F.char_length(s), F.char_length(s)).otherwise(F.floor(F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int"))
 
 
 def utf32_width(s: Column) -> Column:

@@ -27,6 +27,18 @@ def references(occurrences: DataFrame, targets: DataFrame, include_declaration:
     return locations(with_role(occurrences, "references", include_declaration), targets)
 
 
+def reference_summary(occurrences: DataFrame, targets: DataFrame, include_declaration: bool = False) -> DataFrame:
+    """For each query its number of places and documents, its least line and the sum of its columns.
+
+    Places (each of them one row) are put together once for each symbol, before the queries are
+    joined, so many queries for one common symbol cost a row each.
+    """
+    rows = with_role(occurrences, "references", include_declaration)
+    by_document = rows.groupBy(*KEY, "uri").agg(F.count("*").alias("n"), F.min("line").alias("least"), F.sum("start_char").alias("s"))
+    by = by_document.groupBy(*KEY).agg(F.sum("n").alias("places"), F.count("*").alias("documents"), F.min("least").alias("least_line"), F.sum("s").alias("starts"))
+    return targets.select("query_id", *KEY).distinct().join(by, KEY)
+
+
 def best_definitions(occurrences: DataFrame) -> DataFrame:
     """The defining place of each symbol: a definition before a declaration, then the smallest place."""
     rank = F.when(F.col("role") == "definition", 0).when(F.col("role") == "declaration", 1)

@@ -11,10 +11,11 @@ from factloom.operators.facts import coverage_faults, declared_twice, unresolved
 
 
 def violations(**tables: DataFrame) -> DataFrame:
-    """One row per gate: how many violations it has."""
+    """One row per gate: how many violations it has; rows that stand for several say so in ``weight``."""
     out = None
     for name, table in tables.items():
-        row = table.agg(F.count("*").alias("violations")).select(F.lit(name).alias("gate"), "violations")
+        many = F.coalesce(F.sum("weight"), F.lit(0)) if "weight" in table.columns else F.count("*")
+        row = table.agg(many.cast("long").alias("violations")).select(F.lit(name).alias("gate"), "violations")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -34,7 +35,8 @@ def envelope(answer: DataFrame, gates: DataFrame) -> DataFrame:
 
 def generation_gates(scopes: DataFrame, symbols: DataFrame, occurrences: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
     """What must hold before a generation is published."""
-    references = occurrences.where("role = 'reference'").select("scope_id", "symbol_id")
+    references = occurrences.where("role = 'reference'").groupBy("scope_id", "symbol_id").agg(F.count("*").alias("weight"))
+    origins = occurrences.groupBy("scope_id", "uri", "source_hash").agg(F.count("*").alias("weight"))
     current = files.select("uri", F.col("sha256").alias("source_hash"))
     return violations(
         repeated_scope=scopes.groupBy("scope_id").agg(F.count("*").alias("n")).where("n > 1"),
@@ -42,8 +44,8 @@ def generation_gates(scopes: DataFrame, symbols: DataFrame, occurrences: DataFra
         coverage_state=coverage.where(~F.col("state").isin(schema.COVERAGE_STATES)),
         declared_twice=declared_twice(symbols),
         unresolved=unresolved(references, symbols, coverage).where("is_error"),
-        unknown_scope=occurrences.join(scopes, "scope_id", "left_anti"),
-        source_hash=occurrences.join(current, ["uri", "source_hash"], "left_anti"),
+        unknown_scope=origins.join(scopes, "scope_id", "left_anti"),
+        source_hash=origins.join(current, ["uri", "source_hash"], "left_anti"),
     )
 
 

@@ -23,11 +23,14 @@ def covering(queries: DataFrame, ranges: DataFrame) -> DataFrame:
     Ends are exclusive. A query without a range has one row with null range columns.
     """
     blocks = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / BLOCK), F.floor(F.col("end_line") / BLOCK))))
-    q = queries.withColumn("block", F.floor(F.col("line") / BLOCK))
+    place = ["query_id", "uri", "line", "char"]
+    q = queries.select(place).distinct().withColumn("block", F.floor(F.col("line") / BLOCK))
     at = _key(F.col("q.line"), F.col("q.char"))
     inside = (_key(F.col("r.start_line"), F.col("r.start_char")) <= at) & (at < _key(F.col("r.end_line"), F.col("r.end_char")))
     same = (F.col("q.uri") == F.col("r.uri")) & (F.col("q.block") == F.col("r.block"))
-    return q.alias("q").join(blocks.alias("r"), same & inside, "left").select("q.query_id", "q.uri", "q.line", "q.char", *[F.col(f"r.{c}") for c in ("symbol_id", "start_line", "start_char", "end_line", "end_char")])
+    # An inner join first: where the queries are few, Spark sends them to the ranges instead of sorting these.
+    hits = blocks.alias("r").join(q.alias("q"), same & inside).select(*[F.col(f"q.{c}") for c in place], *[F.col(f"r.{c}") for c in ("symbol_id", "start_line", "start_char", "end_line", "end_char")])
+    return queries.select(place).join(hits, place, "left")
 
 
 def narrowest(queries: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from factloom import schema
 from factloom.functions import positions, text, uri
 from factloom.operators import diff, facts, filters, gates, graph, intervals, quality, sets, telemetry
 from factloom.sources import interop, tables
+from factloom.storage import fixed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEARCH, PART_SEARCH = "tion", "a"
@@ -26,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files_of(spark, d):
-    return tables.files(load(spark, d, "documents"))
+    return tables.files(tables.spread(load(spark, d, "documents"), "doc_id"))
 
 
 def occurrences_of(spark, d):
@@ -34,8 +35,7 @@ def occurrences_of(spark, d):
 
 
 def with_roles_of(spark, d):
-    occ = occurrences_of(spark, d)
-    return tables.with_roles(occ, tables.definitions(occ))
+    return tables.with_roles(occurrences_of(spark, d))
 
 
 def log_of(spark, d):
@@ -143,14 +143,14 @@ def symbol_facts(spark, d):
 
 @query
 def workspace_symbols(spark, d):
-    definitions = tables.definitions(occurrences_of(spark, d))
+    definitions = fixed(tables.definitions(occurrences_of(spark, d)))  # read twice
     places = definitions.select("scope_id", "symbol_id", *facts.LOCATION)
     return facts.workspace_symbols(tables.symbols(definitions), places, SEARCH)
 
 
 @query
 def overlay_symbols(spark, d):
-    definitions = tables.definitions(occurrences_of(spark, d))
+    definitions = fixed(tables.definitions(occurrences_of(spark, d)))  # read twice
     return facts.overlay_symbols(tables.symbols(definitions), definitions.select("scope_id", "symbol_id", *facts.LOCATION), SEARCH).select("scope_id", "id", "name", *facts.LOCATION)
 
 
@@ -162,7 +162,7 @@ def symbol_search_parts(spark, d):
 
 def _starts(spark, d):
     """A query at the first place of each document, and the words as ranges."""
-    occ = with_roles_of(spark, d)
+    occ = occurrences_of(spark, d)
     queries = files_of(spark, d).select(F.col("doc_id").alias("query_id"), "uri", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("char"))
     ranges = occ.select("uri", F.concat_ws("|", "scope_id", "symbol_id").alias("symbol_id"), F.col("line").alias("start_line"), "start_char", F.col("line").alias("end_line"), "end_char")
     return occ, queries, ranges
@@ -177,13 +177,12 @@ def _targets(spark, d):
 @query
 def definition_at(spark, d):
     occ, targets = _targets(spark, d)
-    return facts.locations(filters.with_role(occ, "definition"), targets).select("query_id", "symbol_id", *facts.LOCATION)
+    return facts.locations(tables.definitions(occ).withColumn("role", F.lit("definition")), targets).select("query_id", "symbol_id", *facts.LOCATION)
 
 
 def _reference_counts(spark, d, declarations):
     occ, targets = _targets(spark, d)
-    rows = facts.references(occ, targets, declarations)
-    return rows.groupBy("query_id").agg(F.count("*").alias("places"), F.count_distinct("uri").alias("documents"), F.min("line").alias("least_line"), F.sum("start_char").alias("starts"))
+    return facts.reference_summary(tables.with_roles(occ), targets, declarations).drop("scope_id", "symbol_id")
 
 
 @query
@@ -306,13 +305,13 @@ def pinned_tools_division(spark, d):
 
 @query
 def call_edges(spark, d):
-    edges = tables.call_edges(occurrences_of(spark, d))
+    edges = tables.call_edges(files_of(spark, d))
     return edges.groupBy("source_uri").agg(F.count("*").alias("calls"), F.count_distinct("to").alias("callees"), F.sum("start_char").alias("starts"))
 
 
 @query
 def caller_counts(spark, d):
-    edges = tables.call_edges(occurrences_of(spark, d))
+    edges = tables.call_edges(files_of(spark, d))
     return edges.groupBy("scope_id", "to").agg(F.count("*").alias("calls"), F.count_distinct("from").alias("callers"))
 
 
@@ -352,7 +351,7 @@ def interface_implementations(spark, d):
 
 @query
 def loss_counts(spark, d):
-    calls = tables.call_edges(occurrences_of(spark, d)).select("kind")
+    calls = tables.call_edges(files_of(spark, d)).select("kind")
     modules = _modules(spark, d).select(F.lit("module").alias("kind"))
     imports = load(spark, d, "lineitem").select(F.lit("import").alias("kind"))
     return quality.loss_counts(calls.unionAll(modules).unionAll(imports))
@@ -377,7 +376,7 @@ def generation_gates(spark, d):
     occ = occurrences_of(spark, d)
     definitions = tables.definitions(occ)
     scopes, coverage = _coverage(spark, d)
-    return gates.generation_gates(scopes, tables.symbols(definitions).where("uses > 1"), tables.with_roles(occ, definitions), coverage, files)
+    return gates.generation_gates(scopes, tables.symbols(definitions).where("uses > 1"), tables.with_roles(occ), coverage, files)
 
 
 # ---- quality

@@ -13,6 +13,19 @@ from factloom.functions.positions import LINE_END
 from factloom.functions.text import content_hash, exported, utf16_width
 
 
+#: Words of a line that are placed together.
+WORDS = 64
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, dealt out by its keys where its files give fewer tasks than there are cores.
+
+    Only a table of a few row groups is shuffled by this; a large one is read by many tasks as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return documents.select(
@@ -32,14 +45,35 @@ def line_rows(file_rows: DataFrame) -> DataFrame:
     return file_rows.select("doc_id", "uri", "scope_id", "language", "sha256", lines).withColumn("line", F.col("line").cast("long"))
 
 
-def occurrences(file_rows: DataFrame) -> DataFrame:
-    """Words of lines, split at single spaces; columns count UTF-16 units.
+def words(file_rows: DataFrame) -> DataFrame:
+    """Words of lines, split at single spaces, with where they start and end in UTF-16 units and ``next``, the word after.
 
-    A word's start is the width of the line before it, so rows need no order.
+    A word's start is the width of what is before it. Lines are cut into runs of WORDS words, and
+    widths are taken inside a run, so that long lines cost no more a word than short ones. All
+    comes from the line's own row: nothing is shuffled.
     """
-    words = line_rows(file_rows).select("*", F.posexplode(F.split("line_text", " ", -1)).alias("pos", "token")).where("token <> ''")
-    before = F.expr("CASE WHEN pos = 0 THEN 0 ELSE octet_length(encode(substring_index(line_text, ' ', pos), 'UTF-16BE')) div 2 + 1 END")
-    return words.select("doc_id", "uri", "scope_id", "language", F.lower("token").alias("symbol_id"), "token", "line", before.cast("long").alias("start_char"), (before + utf16_width(F.col("token"))).cast("long").alias("end_char"), F.col("sha256").alias("source_hash"))
+    parts = F.split("line_text", " ", -1)
+    ws = F.filter(F.transform(parts, lambda w, p: F.struct(p.alias("pos"), w.alias("token"))), lambda x: x["token"] != "")
+    lines = line_rows(file_rows).withColumn("parts", parts).withColumn("ws", ws).where(F.size("ws") > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / WORDS)), lambda i: F.struct(F.slice("ws", (i * WORDS + 1).cast("int"), F.lit(WORDS)).alias("own"), F.get("ws", ((i + 1) * WORDS).cast("int")).alias("after")))
+    fixed = ["doc_id", "uri", "scope_id", "language", "sha256", "line"]
+    lines = lines.select(*fixed, "line_text", "parts", F.explode(runs).alias("run"))
+    first, last = F.col("run.own")[0]["pos"], F.element_at("run.own", -1)["pos"]
+    # The words of the run as one text, and what is before it.
+    run_text = F.array_join(F.slice("parts", first + 1, last - first + 1), " ")
+    base = F.when(first == 0, F.lit(0)).otherwise(utf16_width(F.call_function("substring_index", F.col("line_text"), F.lit(" "), first)) + 1)
+    lines = lines.select(*fixed, run_text.alias("run_text"), base.alias("base"), first.alias("first"), F.col("run.own").alias("own"), F.col("run.after").alias("after"))
+    each = lines.select(*fixed, "run_text", "base", "first", "after", "own", F.posexplode("own").alias("k", "w"))
+    inside = F.col("w.pos") - F.col("first")
+    start = F.col("base") + F.when(inside == 0, F.lit(0)).otherwise(utf16_width(F.call_function("substring_index", F.col("run_text"), F.lit(" "), inside)) + 1)
+    following = F.coalesce(F.get("own", F.col("k") + 1), F.col("after"))
+    each = each.select(*fixed, "w", start.cast("long").alias("start_char"), following.alias("next"))
+    return each.withColumn("end_char", (F.col("start_char") + utf16_width(F.col("w.token"))).cast("long"))
+
+
+def occurrences(file_rows: DataFrame) -> DataFrame:
+    """Words of lines as occurrences of symbols; columns count UTF-16 units."""
+    return words(file_rows).select("doc_id", "uri", "scope_id", "language", F.lower("w.token").alias("symbol_id"), F.col("w.token").alias("token"), "line", "start_char", "end_char", F.col("sha256").alias("source_hash"))
 
 
 def place(*names: str) -> Column:
@@ -52,8 +86,18 @@ def definitions(occurrence_rows: DataFrame) -> DataFrame:
     return occurrence_rows.groupBy("scope_id", "symbol_id").agg(first, F.count("*").alias("uses")).select("scope_id", "symbol_id", "d.*", "uses")
 
 
-def with_roles(occurrence_rows: DataFrame, definition_rows: DataFrame) -> DataFrame:
+def first_places(occurrence_rows: DataFrame) -> DataFrame:
+    """As ``definitions``, but the place alone: numbers within a document are put together first, by hash."""
+    packed = F.min(F.col("line") * 2**32 + F.col("start_char")).alias("p")
+    by_document = occurrence_rows.groupBy("scope_id", "symbol_id", "doc_id").agg(packed)
+    first = F.min(F.struct("doc_id", "p")).alias("d")
+    out = by_document.groupBy("scope_id", "symbol_id").agg(first)
+    return out.select("scope_id", "symbol_id", "d.doc_id", F.shiftright("d.p", 32).alias("line"), F.col("d.p").bitwiseAND(F.lit(2**32 - 1)).alias("start_char"))
+
+
+def with_roles(occurrence_rows: DataFrame, definition_rows: DataFrame | None = None) -> DataFrame:
     """Occurrences with ``role``: definition for the first of a symbol, reference for the others."""
+    definition_rows = first_places(occurrence_rows) if definition_rows is None else definition_rows
     d = definition_rows.select("scope_id", "symbol_id", place().alias("defined_at"))
     return occurrence_rows.join(d, ["scope_id", "symbol_id"]).withColumn("role", F.when(place() == F.col("defined_at"), "definition").otherwise("reference")).drop("defined_at")
 
@@ -65,11 +109,10 @@ def symbols(definition_rows: DataFrame) -> DataFrame:
     return definition_rows.select("scope_id", F.col("symbol_id").alias("id"), name.alias("name"), kind.alias("kind"), "language", F.concat(kind, F.lit(" "), name).alias("signature"), "uses")
 
 
-def call_edges(occurrence_rows: DataFrame) -> DataFrame:
-    """A word calls the next one of its line. Both are found in the line's own array."""
-    return occurrence_rows.groupBy("scope_id", "uri", "source_hash", "line").agg(F.sort_array(F.collect_list(F.struct("start_char", "symbol_id", "end_char"))).alias("ws")).where(F.size("ws") > 1).select(
-        "scope_id", "uri", "line", "source_hash", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.struct(F.element_at("ws", i).alias("a"), F.element_at("ws", i + 1).alias("b")))).alias("e")
-    ).select("scope_id", F.col("e.a.symbol_id").alias("from"), F.col("e.b.symbol_id").alias("to"), F.lit("call").alias("kind"), F.col("uri").alias("source_uri"), "line", F.col("e.a.start_char").alias("start_char"), F.col("e.b.end_char").alias("end_char"), "source_hash")
+def call_edges(file_rows: DataFrame) -> DataFrame:
+    """A word calls the next one of its line. Both are found in the line's own array, before it is exploded."""
+    end = F.col("end_char") + F.col("next.pos") - F.col("w.pos") + utf16_width(F.col("next.token"))
+    return words(file_rows).where("next IS NOT NULL").select("scope_id", F.lower("w.token").alias("from"), F.lower("next.token").alias("to"), F.lit("call").alias("kind"), F.col("uri").alias("source_uri"), "line", "start_char", end.cast("long").alias("end_char"), F.col("sha256").alias("source_hash"))
 
 
 def request_log(events: DataFrame) -> DataFrame:
