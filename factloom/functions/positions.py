@@ -48,9 +48,12 @@ def prefix_of(line_text: Column, char: Column) -> Column:
     """The beginning of a line with ``char`` UTF-16 units; null if it ends inside a character or past the line."""
     plain = utf16_width(line_text) == F.char_length(line_text)
     direct = F.when(char <= F.char_length(line_text), F.substr(line_text, F.lit(1), char.cast("int")))
-    lengths = F.sequence(F.lit(0), F.char_length(line_text))
-    match = F.filter(lengths, lambda n: utf16_width(F.substr(line_text, F.lit(1), n)) == char)
-    return F.when(char < 0, F.lit(None)).when(plain, direct).when(F.size(match) > 0, F.substr(line_text, F.lit(1), F.get(match, F.lit(0))))
+    units = F.encode(line_text, "UTF-16BE")
+    end = (char * 2).cast("int")
+    # The first half of a pair just before the place: the place is inside a character.
+    inside = F.hex(F.substr(units, end - 1, F.lit(1))).between("D8", "DB") & (char > 0)
+    cut = F.when((end <= F.octet_length(units)) & ~inside, F.decode(F.substr(units, F.lit(1), end), "UTF-16BE"))
+    return F.when(char < 0, F.lit(None)).when(plain, direct).otherwise(cut)
 
 
 def position_to_offset(positions: DataFrame, lines: DataFrame, clamp: bool = False, keys: tuple[str, ...] = ("uri",)) -> DataFrame:

@@ -182,13 +182,13 @@ def test_stream_windows(spark, tmp_path):
     assert [r[2] for r in sorted(got)] == [20, 20]  # the last minute is still open
 
 
-@pytest.mark.parametrize("name", ["workspace_symbols", "tree_digest", "conformance_score", "module_closure"])
+@pytest.mark.parametrize("name", ["workspace_symbols", "references_at", "generation_gates", "call_edges", "tree_digest", "conformance_score", "module_closure", "columns_in_encodings", "applied_edits", "safe_spans", "valid_memo", "compaction_equivalence"])
 def test_queries_against_sql(spark, sf_dir, name):
     import duckdb
 
-    from factloom.plans.oracle import SQL
-    from factloom.plans.queries import QUERIES
+    import __spark_entry__
 
+    SQL, QUERIES = __spark_entry__.oracle_sql(), __spark_entry__.queries()
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
@@ -198,9 +198,31 @@ def test_queries_against_sql(spark, sf_dir, name):
 
 def test_every_query_has_sql():
     from factloom.plans.oracle import SQL
+    from factloom.plans import checks
     from factloom.plans.queries import QUERIES
 
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) and set(checks.SQL) == set(checks.QUERIES)
+    assert not set(SQL) & set(checks.SQL)
+
+
+def test_word_places_on_long_and_odd_lines(spark):
+    """Starts and ends against a walk over the characters, on lines longer than a run of words."""
+    from factloom.sources import tables
+
+    lines = ["", "  a  b ", " ".join(f"w{i}é😀"[: 1 + i % 5] for i in range(300)), "x" * 50, "one  " * 200]
+    df = tables.files(spark.createDataFrame([(1, "\n".join(lines), "en", "s")], "doc_id long, text string, lang string, source string"))
+    width = lambda s: len(s.encode("utf-16-le")) // 2
+    want, pairs = [], []
+    for n, line in enumerate(lines):
+        at, row = 0, []
+        for w in line.split(" "):
+            if w:
+                row.append((n, at, at + width(w), w))
+            at += width(w) + 1
+        want += row
+        pairs += [(n, a[1], b[2], a[3].lower(), b[3].lower()) for a, b in zip(row, row[1:])]
+    assert sorted(tuple(r) for r in tables.occurrences(df).select("line", "start_char", "end_char", "token").collect()) == sorted(want)
+    assert sorted(tuple(r) for r in tables.call_edges(df).select("line", "start_char", "end_char", "from", "to").collect()) == sorted(pairs)
 
 
 def test_record_filters(spark):
