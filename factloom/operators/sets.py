@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.uri import contained
+from factloom.functions.uri import canonical
 
 
 def union_distinct(*parts: DataFrame) -> DataFrame:
@@ -27,10 +27,16 @@ def missing_facts(required: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def files_outside(files: DataFrame, nested_roots: DataFrame) -> DataFrame:
-    """Files (uri) that are in none of the nested projects (root); there are few roots, so they are broadcast up to a bound."""
-    roots = nested_roots.select("root").distinct()
-    small = roots.limit(10_001).count() <= 10_000
-    return files.join(F.broadcast(roots) if small else roots, contained(F.col("uri"), F.col("root")), "left_anti")
+    """Files (uri) that are in none of the nested projects (root).
+
+    A root that holds a file is one of the beginnings of the file's path, so they meet by equality.
+    """
+    roots = nested_roots.select(F.rtrim(canonical(F.col("root")), F.lit("/")).alias("beginning")).distinct()
+    parts = F.split(canonical(F.col("uri")), "/", -1)
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    able = files.select("uri").where(~canonical(F.col("uri")).rlike(r"/\.\.(/|$)"))
+    held = able.select("uri", F.explode(beginnings).alias("beginning")).join(roots, "beginning", "left_semi").select("uri").distinct()
+    return files.join(held, "uri", "left_anti")
 
 
 def memo_dependents(keys: DataFrame, changed: DataFrame) -> DataFrame:

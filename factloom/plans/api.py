@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import exported
+from factloom.functions.text import build_context_id, exported
 from factloom.operators import facts, filters, gates, intervals
 
 
@@ -100,6 +100,16 @@ class Workspace:
         return getattr(self, tool)(**arguments)
 
 
+#: What made the facts, as their provenance names it.
+EXTRACTOR = "words-1"
+
+
+def generation_checks(t: dict[str, DataFrame]) -> DataFrame:
+    """The gates of a whole generation, its provenance among them."""
+    context = gates.violations(build_context=gates.wrong_build_context(t["scopes"], t["provenance"]))
+    return gates.generation_gates(t["scopes"], t["symbols"], t["occurrences"], t["coverage"], t["files"]).unionByName(context)
+
+
 def reindex(store, documents: DataFrame) -> int:
     """Build facts from documents, check them and publish a generation; a failed gate leaves the last one."""
     from factloom import schema
@@ -111,7 +121,10 @@ def reindex(store, documents: DataFrame) -> int:
     with_roles = tables.with_roles(occ, definitions)
     symbols = tables.symbols(definitions).withColumn("id", F.concat_ws("/", "scope_id", "id"))
     occurrences = with_roles.withColumn("symbol_id", F.concat_ws("/", "scope_id", "symbol_id"))
-    scopes = files.select("scope_id").distinct()
+    canonical = F.concat_ws("|", F.lit(EXTRACTOR), "scope_id")
+    scopes = files.select("scope_id").distinct().withColumn("language", F.lit("text")).withColumn("canonical", canonical)
+    scopes = scopes.withColumn("build_context", build_context_id(F.col("language"), F.col("canonical")))
+    provenance = scopes.select("scope_id", "build_context", F.lit(EXTRACTOR).alias("extractor"))
     coverage = scopes.select("scope_id", F.explode(F.array(*map(F.lit, schema.FACT_KINDS))).alias("fact")).withColumn("state", F.when(F.col("fact").isin("symbol", "definition", "reference"), "complete").otherwise("unavailable"))
-    relations = {"files": files.drop("text"), "symbols": symbols, "occurrences": occurrences, "scopes": scopes, "coverage": coverage}
-    return store.write(relations, lambda t: gates.generation_gates(t["scopes"], t["symbols"], t["occurrences"], t["coverage"], t["files"]))
+    relations = {"files": files.drop("text"), "symbols": symbols, "occurrences": occurrences, "scopes": scopes, "coverage": coverage, "provenance": provenance}
+    return store.write(relations, generation_checks)

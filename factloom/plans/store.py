@@ -1,4 +1,10 @@
-"""Versioned generations of fact tables with a manifest that is published at once.
+"""Versioned generations of fact tables. A generation is there as soon as its manifest is.
+
+A manifest is written beside its place and renamed to it, once, and never changed;
+the newest one names the current generation, so there is no moment at which a
+reader finds none, and a crash leaves the last generation as it was. Writers take
+turns by a lease, readers may hold one on the generation they read; both end by
+themselves when their holder is lost.
 
 Data is written by Spark; only the manifest, a few lines of JSON, is handled by
 the driver, through Spark's own file system layer, so any store works.
@@ -18,6 +24,8 @@ from pyspark.sql import functions as F
 from factloom.schema import BATCH_BYTES
 
 DEPTH = 3
+#: Seconds after which a lease ends whose holder didn't give it back.
+LEASE_SECONDS = 6 * 3600
 
 
 class StoreError(Exception):
@@ -25,7 +33,7 @@ class StoreError(Exception):
 
 
 class FactStore:
-    """Generations under ``root``: data in ``gen=N``, one manifest each, and ``CURRENT`` naming the last."""
+    """Generations under ``root``: data in ``gen=N`` and one manifest each; the newest is the current one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -47,32 +55,63 @@ class FactStore:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
+        """Write beside the target, then rename to it; a target that is there is an error."""
         temporary, target = self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
         out = self.fs.create(temporary, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        self.fs.delete(target, False)
-        if not self.fs.rename(temporary, target):
+        if self.fs.exists(target) or not self.fs.rename(temporary, target):
+            self.fs.delete(temporary, False)
             raise StoreError(f"{name} could not be published")
 
     def _names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
 
+    def _expired(self, name: str) -> bool:
+        """Whether a lease file is over; one without a time in it is held until it is made again."""
+        try:
+            text = self._read(name)
+            return text is None or json.loads(text)["until"] < time.time()
+        except ValueError:
+            return False
+
     @contextlib.contextmanager
-    def lease(self, name: str = "writer"):
-        """Hold a lock file while the block runs; one holder at a time, over all processes."""
-        path = self._path(f"{self.root}/.lease-{name}")
+    def lease(self, name: str = "writer", seconds: float = LEASE_SECONDS):
+        """Hold a lease file while the block runs; one holder at a time, over all processes.
+
+        A lease whose time is over is taken out of the way by a rename, which only one of those
+        who wait can do.
+        """
+        file, holder = f".lease-{name}", uuid.uuid4().hex
         try:
-            self.fs.create(path, False).close()
-        except Exception as e:
-            raise StoreError(f"{name} is leased by another") from e
+            self._write(file, json.dumps({"holder": holder, "until": time.time() + seconds}))
+        except StoreError as e:
+            old = self._path(f"{self.root}/.over-{holder}")
+            if not (self._expired(file) and self.fs.rename(self._path(f"{self.root}/{file}"), old)):
+                raise StoreError(f"{name} is leased by another") from e
+            self.fs.delete(old, False)
+            self._write(file, json.dumps({"holder": holder, "until": time.time() + seconds}))
         try:
             yield
         finally:
-            self.fs.delete(path, False)
+            own = self._read(file)
+            if own and json.loads(own)["holder"] == holder:
+                self.fs.delete(self._path(f"{self.root}/{file}"), False)
+
+    @contextlib.contextmanager
+    def reading(self, number: int | None = None, seconds: float = LEASE_SECONDS):
+        """The number of a generation that isn't pruned while the block runs."""
+        number = self.current() if number is None else number
+        with self.lease(f"reader-{number}-{uuid.uuid4().hex}", seconds):
+            self.manifest(number)
+            yield number
+
+    def _read_now(self) -> set[int]:
+        """Generations with a reader."""
+        names = [n for n in self._names() if n.startswith(".lease-reader-")]
+        return {int(n.split("-")[2]) for n in names if not self._expired(n)}
 
     # ---- generations
 
@@ -81,8 +120,7 @@ class FactStore:
         return sorted((int(n[9:-5]) for n in self._names() if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
 
     def current(self) -> int | None:
-        text = self._read("CURRENT")
-        return int(text) if text else None
+        return next(iter(self.history()), None)
 
     def _next(self) -> int:
         """One more than any number that was ever used; numbers never go back."""
@@ -92,9 +130,13 @@ class FactStore:
     def write(self, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None, records_per_file: int = 0) -> int:
         """Stage tables, check them as they were written, and publish them as a new generation.
 
-        If a gate fails the staged data goes and the last generation stays.
+        The writer holds the lease from the choice of its number on. If a gate fails the staged
+        data goes and the last generation stays.
         """
-        number = self._next()
+        with self.lease():
+            return self._staged(self._next(), tables, gates, records_per_file)
+
+    def _staged(self, number: int, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None, records_per_file: int) -> int:
         place = f"{self.root}/gen={number}"
         try:
             for name, table in tables.items():
@@ -106,7 +148,6 @@ class FactStore:
                 raise StoreError(f"gates failed: {sorted(r.gate for r in broken)}")
             manifest = {"generation": number, "at": int(time.time()), "tables": {n: self._summary(t) for n, t in staged.items()}}
             self._write(f"manifest-{number}.json", json.dumps(manifest, sort_keys=True))
-            self._write("CURRENT", str(number))
         except BaseException:
             self.fs.delete(self._path(place), True)
             raise
@@ -124,6 +165,17 @@ class FactStore:
             raise StoreError(f"no manifest of generation {number}")
         return json.loads(text)
 
+    def generation(self, number: int | None = None, gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None) -> dict[str, DataFrame]:
+        """All tables of a generation, read strictly: each is what was published, and no gate fails."""
+        number = self.current() if number is None else number
+        if number is None:
+            raise StoreError("nothing is published")
+        tables = {name: self.read(name, number, verify=True) for name in self.manifest(number)["tables"]}
+        broken = gates(tables).where("violations > 0").collect() if gates else []
+        if broken:
+            raise StoreError(f"gates failed: {sorted(r.gate for r in broken)}")
+        return tables
+
     def read(self, name: str, number: int | None = None, verify: bool = False) -> DataFrame:
         """A table of a generation, the current one by default. The number is pinned when this is called."""
         number = self.current() if number is None else number
@@ -149,15 +201,14 @@ class FactStore:
         """Make the newest generation that verifies in full the current one; broken ones are set aside."""
         for number in self.history():
             if self.verified(number):
-                self._write("CURRENT", str(number))
                 return number
             self.quarantine(number)
-        self.fs.delete(self._path(f"{self.root}/CURRENT"), False)
         return None
 
     def quarantine(self, number: int) -> None:
-        self.fs.rename(self._path(f"{self.root}/gen={number}"), self._path(f"{self.root}/quarantine={number}"))
+        """Take a generation back: its manifest goes first, so that no reader begins on it."""
         self.fs.delete(self._path(f"{self.root}/manifest-{number}.json"), False)
+        self.fs.rename(self._path(f"{self.root}/gen={number}"), self._path(f"{self.root}/quarantine={number}"))
 
     def reclaim(self, quarantine_share: float = 0.25) -> list[str]:
         """Delete staged data without a manifest, and the oldest quarantined data beyond its share of all bytes."""
@@ -174,8 +225,9 @@ class FactStore:
         return sorted(gone)
 
     def prune(self, depth: int = DEPTH) -> list[int]:
-        """Keep the newest generations and the current one."""
-        gone = [n for n in self.history()[depth:] if n != self.current()]
+        """Keep the newest generations, and those with readers."""
+        held = self._read_now()
+        gone = [n for n in self.history()[max(1, depth) :] if n not in held]
         for n in gone:
             self.fs.delete(self._path(f"{self.root}/manifest-{n}.json"), False)
             self.fs.delete(self._path(f"{self.root}/gen={n}"), True)
@@ -200,6 +252,5 @@ class FactStore:
         after = self.write(tables)
         if self.manifest(after)["tables"] != before:
             self.quarantine(after)
-            self._write("CURRENT", str(number))
             raise StoreError("compaction changed the records")
         return after

@@ -47,9 +47,32 @@ def test_store(spark, tmp_path):
     assert store.prune(2) and store.history()[0] == last and len(store.history()) == 2
 
 
+def test_store_between_steps(spark, tmp_path, monkeypatch):
+    """A crash before the manifest, two writers, an expired lease, and a reader of an old generation."""
+    store, other = (FactStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one = store.write({"t": spark.range(5)})
+    with monkeypatch.context() as m:
+        m.setattr(store, "_write", lambda name, text: (_ for _ in ()).throw(KeyboardInterrupt()) if name.startswith("manifest") else FactStore._write(store, name, text))
+        with pytest.raises(KeyboardInterrupt):
+            store.write({"t": spark.range(9)})
+    assert other.current() == one and other.read("t").count() == 5
+    with store.lease():
+        with pytest.raises(StoreError, match="leased"):
+            other.write({"t": spark.range(2)})
+    with store.lease(seconds=-1):
+        two = other.write({"t": spark.range(2)})
+    assert store.current() == two and [r.id for r in other.generation()["t"].orderBy("id").collect()] == [0, 1]
+    with other.reading(one):
+        assert store.prune(1) == []
+    assert store.prune(1) == [one] and store.history() == [two]
+    with pytest.raises(StoreError):
+        store._write(f"manifest-{two}.json", "{}")
+
+
 def test_reindex_and_facade(spark, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"))
     api.reindex(store, documents(spark))
+    assert store.generation(gates=api.generation_checks)["provenance"].count() == 2
     read = store.read
     files = tables.files(documents(spark))
     w = api.Workspace(files, read("symbols"), read("occurrences"), read("coverage"), read("scopes"))
