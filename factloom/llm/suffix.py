@@ -118,8 +118,16 @@ def batch_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), at, table.column("rank").to_numpy()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Byte by byte of all values: sorted hashes and small numbers are compressed far better so."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+
+
 def blobs(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+    """The values of all rows that ``planes`` made."""
+    dtype = np.dtype(dtype)
+    rows = [np.frombuffer(x, np.uint8).reshape(dtype.itemsize, -1).T for x in column.to_pylist()]
+    return np.concatenate([np.zeros((0, dtype.itemsize), np.uint8), *rows]).reshape(-1).view(dtype)
 
 
 # ---- deep-shallow sorting
@@ -279,7 +287,7 @@ def by_part(part: np.ndarray, batch: int, values: np.ndarray) -> pa.Table:
     order = np.argsort(part, kind="stable")
     part, values = part[order].astype(np.int64), values[order]
     heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    rows = [values[a:b].tobytes() for a, b in zip(heads.tolist(), np.append(heads[1:], len(part)).tolist())]
+    rows = [planes(values[a:b]) for a, b in zip(heads.tolist(), np.append(heads[1:], len(part)).tolist())]
     return pa.table([pa.array(part[heads]), pa.array(np.full(len(heads), batch, np.int64)), pa.array(rows, pa.binary())], ["part", "batch", "blob"])
 
 
@@ -354,7 +362,7 @@ def send_strands(table: pa.Table, reply: pa.Table, parts: int, batch: int) -> pa
     for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(part)).tolist()):
         own_rows = heads[a:b]
         texts = b"".join([data[s : s + n + WINDOW - 1] for s, n in zip(first[own_rows].tolist(), size[own_rows].tolist())])
-        rows.append((int(part[a]), batch, np.where(several[a:b], h[own_rows] | np.uint64(1 << 63), h[own_rows]).tobytes(), zstandard.compress(texts, 3), size[own_rows].astype(np.uint8).tobytes(), least[a:b].tobytes()))
+        rows.append((int(part[a]), batch, planes(np.where(several[a:b], h[own_rows] | np.uint64(1 << 63), h[own_rows])), zstandard.compress(texts, 3), size[own_rows].astype(np.uint8).tobytes(), planes(least[a:b])))
     columns = list(zip(*rows)) or [[]] * 6
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["part", "batch", "h", "texts", "sizes", "ranks"])
