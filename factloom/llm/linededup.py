@@ -83,14 +83,15 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     variants = checkpointed(spots.select("id", "first", "more", F.length("line").alias("n"), F.explode(without).alias("v")))
     # One character changed: both lines agree without it. All lines under such a key are one edit
     # apart, so each is only held against the earliest.
-    changed = variants.where("more = 0").select(F.xxhash64(F.lit("changed"), "n", "v.i", "v.rest").alias("key"), "id", "first").distinct()
+    # The length and the place stand beside the hash, so only variants that could be equal share a key.
+    changed = variants.where("more = 0").select("n", "v.i", "v.rest", "id", "first").distinct()
     # One character more: the variant is the other line.
-    longer = variants.where("more = 1").select(F.xxhash64(F.lit("longer"), F.col("n") - 1, "v.rest").alias("key"), "id", "first")
-    whole = lines.select(F.xxhash64(F.lit("longer"), F.length("line"), F.xxhash64("line")).alias("key"), "id", "first")
+    longer = variants.where("more = 1").select((F.col("n") - 1).alias("n"), "v.rest", "id", "first")
+    whole = lines.select(F.length("line").alias("n"), F.xxhash64("line").alias("rest"), "id", "first")
 
-    leader = changed.groupBy("key").agg(F.min(F.struct("first", "id")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    one = changed.join(leader, "key").where("lead.id <> id").select("id", F.col("lead.id").alias("other"))
-    both = longer.distinct().join(whole.select("key", F.col("id").alias("w"), F.col("first").alias("wf")), "key")
+    leader = changed.groupBy("n", "i", "rest").agg(F.min(F.struct("first", "id")).alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
+    one = changed.join(leader, ["n", "i", "rest"]).where("lead.id <> id").select("id", F.col("lead.id").alias("other"))
+    both = longer.distinct().join(whole.select("n", "rest", F.col("id").alias("w"), F.col("first").alias("wf")), ["n", "rest"])
     two = both.select(F.when(F.col("wf") < F.col("first"), F.col("id")).otherwise(F.col("w")).alias("id"), F.when(F.col("wf") < F.col("first"), F.col("w")).otherwise(F.col("id")).alias("other"))
 
     pairs = one.union(two).distinct()
