@@ -23,7 +23,7 @@ from factloom.llm.html_labels import labelled_pages
 #: Elements that begin and end a block, that have no end tag, and whose content isn't shown.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script|style|template|noscript|textarea|iframe|object|svg|math|canvas|audio|video|map"
+UNSEEN = "script|style|template|noscript|textarea|iframe|object|svg|canvas|audio|video|map"
 #: Of these, the ones that run to the end of the page without an end tag, and those that "/>" ends at once.
 TO_THE_END = {"script", "style", "template", "noscript", "textarea", "iframe"}
 FOREIGN_ELEMENTS = "svg|math"

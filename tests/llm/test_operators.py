@@ -314,6 +314,12 @@ def test_unseen_elements_end_where_they_end(between):
     assert html.main_text(twice) == html.main_text(page) or "<svg>" in between
 
 
+def test_formulas_stay_in_their_sentence():
+    words = "with as many words as a paragraph of an article has"
+    page = f"<article><h1>Title {words}</h1><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is the value {words}</p><p>three {words}</p></article>"
+    assert html.main_text(page) == f"Title {words}\nwhere x=2 is the value {words}\nthree {words}"
+
+
 def test_unseen_elements_without_an_end():
     assert [len(list(html.blocks_of(f"<p>one</p><{name}><p>two</p>"))) for name in sorted(html.TO_THE_END)] == [1] * len(html.TO_THE_END)
     # Each end tag is looked for once.
