@@ -43,7 +43,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = langid.train(docs.where(~langid.held_out()))
-    return langid.identify(docs, prototypes, keep=["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, prototypes, keep=["doc_id"]).select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = spark.createDataFrame([(chat.PROBE_ID, 0, "user", chat.PROBE_TEXT), (chat.PROBE_ID, 1, "assistant", chat.PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    probe = spark.range(2).select(F.lit(chat.PROBE_ID).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE_TEXT).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.read_back(chat.format_chat(turns))
 
