@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom import schema
 from factloom.functions.text import build_context_id
 from factloom.operators.facts import coverage_faults, declared_twice, unresolved
+from factloom.storage import fixed
 
 
 def violations(**tables: DataFrame) -> DataFrame:
@@ -35,8 +36,10 @@ def envelope(answer: DataFrame, gates: DataFrame) -> DataFrame:
 
 def generation_gates(scopes: DataFrame, symbols: DataFrame, occurrences: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
     """What must hold before a generation is published."""
-    references = occurrences.where("role = 'reference'").groupBy("scope_id", "symbol_id").agg(F.count("*").alias("weight"))
-    origins = occurrences.groupBy("scope_id", "uri", "source_hash").agg(F.count("*").alias("weight"))
+    # The occurrences are gone through once; what the gates ask of them is read from the counts.
+    counts = fixed(occurrences.groupBy("scope_id", "symbol_id", "uri", "source_hash").agg(F.count_if(F.col("role") == "reference").alias("references"), F.count("*").alias("n")))
+    references = counts.where("references > 0").groupBy("scope_id", "symbol_id").agg(F.sum("references").alias("weight"))
+    origins = counts.groupBy("scope_id", "uri", "source_hash").agg(F.sum("n").alias("weight"))
     current = files.select("uri", F.col("sha256").alias("source_hash"))
     return violations(
         repeated_scope=scopes.groupBy("scope_id").agg(F.count("*").alias("n")).where("n > 1"),

@@ -182,7 +182,9 @@ def definition_at(spark, d):
 
 def _reference_counts(spark, d, declarations):
     occ, targets = _targets(spark, d)
-    return facts.reference_summary(tables.with_roles(occ), targets, declarations).drop("scope_id", "symbol_id")
+    targets = fixed(targets)  # read by both joins
+    asked = occ.join(targets.select(*facts.KEY).distinct(), facts.KEY, "left_semi")
+    return facts.reference_summary(tables.with_roles(asked), targets, declarations).drop("scope_id", "symbol_id")
 
 
 @query
@@ -374,9 +376,9 @@ def record_violations(spark, d):
 def generation_gates(spark, d):
     files = files_of(spark, d)
     occ = occurrences_of(spark, d)
-    definitions = tables.definitions(occ)
+    definitions = fixed(tables.definitions(occ))  # read by three gates
     scopes, coverage = _coverage(spark, d)
-    return gates.generation_gates(scopes, tables.symbols(definitions).where("uses > 1"), tables.with_roles(occ), coverage, files)
+    return gates.generation_gates(scopes, tables.symbols(definitions).where("uses > 1"), tables.with_roles(occ, definitions), coverage, files)
 
 
 # ---- quality
