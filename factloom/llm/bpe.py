@@ -15,7 +15,7 @@ from factloom.llm.common import binary_parts, kept, make_room, slices
 from factloom.llm.pretoken import pieces
 
 #: Pieces of a generation of the cache, two of which are kept at most, and the longest such piece.
-CACHED_PIECES, CACHED_BYTES = 50_000, 64
+CACHED_PIECES, CACHED_BYTES = 200_000, 64
 #: Bytes of text that are handled at once.
 CHUNK = 1 << 20
 
@@ -71,9 +71,9 @@ class PieceCache(dict):
     occur again return. So frequent pieces stay, and memory is bounded.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int | None = None):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.most = encode, {}, most
 
     def __missing__(self, piece: bytes) -> bytes:
         out = self.older.get(piece)
@@ -84,7 +84,7 @@ class PieceCache(dict):
         return out
 
     def trim(self) -> None:
-        if len(self) > CACHED_PIECES:
+        if len(self) > (self.most or CACHED_PIECES):
             self.older = dict(self)
             self.clear()
 

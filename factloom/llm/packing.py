@@ -21,6 +21,8 @@ from factloom.llm.pretoken import pieces
 
 #: Tokens of a sequence, and documents of a group on average.
 SEQUENCE, GROUP_DOCUMENTS = 1024, 4096
+#: Pieces that a worker remembers in each of two generations; here another is soon merged.
+KEPT_PIECES = 100_000
 #: Bits of a sequence_id that number the sequences of one group.
 GROUP_BITS = 36
 
@@ -145,10 +147,10 @@ def piece_cache(vocabulary: bytes) -> PieceCache:
     """
     ranks = ranks_of(vocabulary)
     if ranks is None:
-        return PieceCache(lambda piece: library(vocabulary).encode(piece.decode("utf-8"), add_special_tokens=False).ids)
+        return PieceCache(lambda piece: library(vocabulary).encode(piece.decode("utf-8"), add_special_tokens=False).ids, KEPT_PIECES)
     import tiktoken
 
-    return PieceCache(tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
+    return PieceCache(tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, KEPT_PIECES)
 
 
 def cut_pieces(docs: DataFrame, vocabulary_path: str, sequence: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
