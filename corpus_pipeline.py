@@ -86,7 +86,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can express neither the prototypes nor the tokens; tests hold the stages against brute force.
+#: SQL can express neither the prototypes nor the tokens; tests hold each operator against brute force, and what the stages decide on a small table.
 ORACLE_SQL = None
 
 
