@@ -225,3 +225,51 @@ def scip_range(values: Column) -> Column:
     three = F.size(values) == 3
     at = lambda i: F.element_at(values, i).cast("long")
     return F.struct(at(1).alias("start_line"), at(2).alias("start_char"), F.when(three, at(1)).otherwise(at(3)).alias("end_line"), F.when(three, at(3)).otherwise(at(4)).alias("end_char"))
+
+
+#: SCIP's numbers of the kinds of symbols that facts have, kinds that it has no number of its own for, families of languages.
+SCIP_KINDS = {"class": 7, "constant": 8, "function": 17, "interface": 21, "method": 26, "variable": 61}
+SCIP_ALIASES = {"struct": "class", "field": "variable"}
+SCIP_FAMILIES = {"c": "c-family", "c++": "c-family", "cpp": "c-family", "go": "go", "javascript": "ts-js-family", "javascriptreact": "ts-js-family", "python": "python", "rust": "rust", "typescript": "ts-js-family", "typescriptreact": "ts-js-family"}
+
+
+def _mapped(value: Column, table: dict) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
+
+
+def scip_kind(kind: Column) -> Column:
+    """SCIP's number of a kind of symbol; 0, unspecified, where it has none."""
+    return F.coalesce(_mapped(F.lower(kind), {**SCIP_KINDS, **{k: SCIP_KINDS[v] for k, v in SCIP_ALIASES.items()}}), F.lit(0))
+
+
+def kind_of_scip(number: Column) -> Column:
+    """The kind of symbol that a number of SCIP stands for; empty where facts have none."""
+    return F.coalesce(_mapped(number.cast("int"), {v: k for k, v in SCIP_KINDS.items()}), F.lit(""))
+
+
+def language_family(language: Column) -> Column:
+    """The family whose languages share symbols in SCIP; empty for others."""
+    return F.coalesce(_mapped(F.lower(F.trim(language)), SCIP_FAMILIES), F.lit(""))
+
+
+def import_line_removable(line: Column) -> Column:
+    """Whether a line holds one quoted import path at its end and nothing that a removal would break."""
+    code = F.substring_index(line, "//", 1)
+    return F.coalesce(~line.rlike("[;{}]") & code.rlike(r"""(?U)(^|\s)["`]\S*\s*$"""), F.lit(False))
+
+
+def compiler_position(raw: Column) -> Column:
+    """``file:line:column`` as a struct with both from 1; null where it isn't that."""
+    part = lambda i: F.regexp_extract(raw, r"(?s)^(.+):([+-]?[0-9]+):([+-]?[0-9]+)$", i)
+    line, column = part(2).try_cast("long"), part(3).try_cast("long")
+    return F.when((line >= 1) & (column >= 1), F.struct(part(1).alias("file"), line.alias("line"), column.alias("column")))
+
+
+def is_identifier(s: Column) -> Column:
+    """A letter or underscore, then letters, decimal digits and underscores."""
+    return F.coalesce(s.rlike(r"^[_\p{L}][_\p{L}\p{Nd}]*\z"), F.lit(False))
+
+
+def selection_end(end: Column, line: Column, char: Column, name: Column, width=utf16_width) -> Column:
+    """Where a symbol's selection ends: ``end`` (line, char) where it is known, else past the name."""
+    return F.coalesce(end, F.struct(line.alias("line"), (char + width(name)).alias("char")))

@@ -12,6 +12,20 @@ LOCATION = ("uri", "line", "start_char", "end_char")
 KEY = ["scope_id", "symbol_id"]
 
 
+#: Orders of stored occurrences: by place inside a document, by place inside a symbol; of scopes.
+URI_ORDER = ["uri", "line", "start_char", "end_line", "end_char", "scope_id", "symbol_id", "role"]
+SYMBOL_ORDER = ["symbol_id", "uri", "line", "start_char", "end_line", "end_char", "role", "scope_id"]
+SCOPE_ORDER = ["language", "root_uri", "scope_id"]
+
+
+def index(occurrences: DataFrame, order: list[str]) -> DataFrame:
+    """Occurrences dealt out by ranges of the order and sorted inside each; written as Parquet, a look-up
+    reads the files whose statistics hold the key. Ranges go by the whole order, so a common key spans several.
+    Ranges of one line have no ``end_line``."""
+    have = [c for c in order if c in occurrences.columns]
+    return occurrences.repartitionByRange(*have).sortWithinPartitions(*have)
+
+
 def locations(occurrences: DataFrame, targets: DataFrame) -> DataFrame:
     """Occurrences of the target symbols (query_id, scope_id, symbol_id), once each."""
     return occurrences.join(targets, KEY).select("query_id", *KEY, *LOCATION, "role").dropDuplicates(["query_id", *LOCATION])

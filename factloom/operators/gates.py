@@ -34,6 +34,16 @@ def envelope(answer: DataFrame, gates: DataFrame) -> DataFrame:
     return good.unionByName(refused)
 
 
+def rechecked(answer: DataFrame, changed: DataFrame) -> DataFrame:
+    """An enveloped answer after a second look: if anything changed meanwhile, one row that says unknown."""
+    moved = changed.limit(1).agg((F.count("*") > 0).alias("moved"))
+    rest = [c for c in answer.columns if c not in ("status", "completeness", "reason")]
+    good = answer.join(F.broadcast(moved), ~F.col("moved"), "inner").drop("moved")
+    empty = [F.lit(None).cast(answer.schema[c].dataType).alias(c) for c in rest]
+    refused = moved.where("moved").select(F.lit("unknown").alias("status"), F.lit("unknown").alias("completeness"), F.lit("changed_meanwhile").alias("reason"), *empty)
+    return good.unionByName(refused)
+
+
 def generation_gates(scopes: DataFrame, symbols: DataFrame, occurrences: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
     """What must hold before a generation is published."""
     # The occurrences are gone through once; what the gates ask of them is read from the counts.

@@ -82,22 +82,34 @@ def trends(windows: DataFrame, limit: float, size: int = TREND_WINDOWS) -> DataF
     return ranked.select("x", "y", F.when(F.col("k") > 0, middle).alias("slope"), F.size("ps").alias("windows"), span.alias("span")).withColumn("growth", F.col("slope") * F.col("span")).withColumn("trips", F.coalesce((F.col("windows") == size) & (F.col("growth") >= limit), F.lit(False)))
 
 
-def gaps(ticks: DataFrame, keys: list[str], most_seconds: float = 10) -> DataFrame:
-    """Ticks (at, id) that go back in time or come later than allowed after the one before."""
+def gaps(ticks: DataFrame, keys: list[str], most_seconds: float = 10, steady: str | None = None, most_drift: float = 20) -> DataFrame:
+    """Ticks (at, id) that go back in time or come later than allowed after the one before.
+
+    ``steady`` names microseconds of a clock that stands still while a machine sleeps; a wall clock
+    that ran further ahead of it than ``most_drift`` seconds is a gap as well.
+    """
     order = Window.partitionBy(*keys).orderBy("id")
-    seconds = micros("at") - micros(F.lag("at").over(order))
-    return ticks.withColumn("gap_us", seconds).where((F.col("gap_us") < 0) | (F.col("gap_us") > most_seconds * 1e6))
+    gap = micros("at") - micros(F.lag("at").over(order))
+    found = (F.col("gap_us") < 0) | (F.col("gap_us") > most_seconds * 1e6)
+    if steady is None:
+        return ticks.withColumn("gap_us", gap).where(found)
+    rows = ticks.withColumn("gap_us", gap).withColumn("drift_us", gap - (F.col(steady) - F.lag(steady).over(order)))
+    return rows.where(found | (F.col("drift_us") > most_drift * 1e6))
 
 
-def stalls(progress: DataFrame, keys: list[str], most_seconds: float = 120, settle_seconds: float = 120) -> DataFrame:
-    """Rows (at, id, done) at which the count hasn't grown for too long, once the key was active long enough."""
+def stalls(progress: DataFrame, keys: list[str], most_seconds: float = 120, settle_seconds: float = 120, maintenance: str | None = None) -> DataFrame:
+    """Rows (at, id, done) at which the count hasn't grown for too long, once the key was active long enough.
+
+    Where ``maintenance`` is true no growth is due: the clock starts anew, and no such row is a stall.
+    """
     order = Window.partitionBy(*keys).orderBy("at", "id")
     grew = F.col("done") > F.coalesce(F.lag("done").over(order), F.lit(-1))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = progress.withColumn("grew_at", F.when(grew, F.col("at")))
+    due = F.lit(True) if maintenance is None else ~F.coalesce(F.col(maintenance), F.lit(False))
+    rows = progress.withColumn("grew_at", F.when(grew | ~due, F.col("at")))
     rows = rows.withColumn("last_growth", F.max("grew_at").over(upto)).withColumn("since", F.min("at").over(upto))
     us = lambda a, b: micros(a) - micros(b)
-    return rows.where((us("at", "last_growth") > most_seconds * 1e6) & (us("at", "since") > settle_seconds * 1e6)).drop("grew_at", "since")
+    return rows.where((us("at", "last_growth") > most_seconds * 1e6) & (us("at", "since") >= settle_seconds * 1e6)).drop("grew_at", "since")
 
 
 def continuous(windows: DataFrame) -> DataFrame:
@@ -162,6 +174,69 @@ def concurrency(requests: DataFrame, most: int) -> DataFrame:
     return running_sum(points, ["t", "d", "request_id"], F.col("d"), "running").where("d = 1").select("request_id", F.col("running"), (F.col("running") <= most).alias("admitted"))
 
 
+def admission(requests: DataFrame, lane: list[str], in_flight: int = 256, queued: int = 64) -> DataFrame:
+    """Requests (request_id, at, waits_ms, latency_ms) with what runs and what waits in their lane when each comes.
+
+    One waits from ``at`` for ``waits_ms`` in its lane (class and priority), and counts as in flight
+    until ``latency_ms`` after ``at``. ``status`` says which bound it would have met: ``in_flight``
+    first, then ``queue``, else ``admitted``.
+    """
+    us = lambda c: (F.col(c).cast("double") * 1000).cast("long")
+    start = micros("at")
+
+    def running(ends: Column, within: list, out: str) -> DataFrame:
+        ids = [F.struct(*within).alias("lane"), "request_id"]
+        points = requests.select(*ids, start.alias("t"), F.lit(1).alias("d")).union(requests.select(*ids, ends.alias("t"), F.lit(-1).alias("d")))
+        total = running_sum(points, ["lane", "t", "d", "request_id"], F.col("d"), out)
+        return total.where("d = 1").select("request_id", out)
+
+    # Sums go on from lane to lane, but a lane that has ended adds nothing: every start has its end.
+    both = running(start + us("latency_ms"), [F.lit(0).alias("all")], "running").join(running(start + us("waits_ms"), lane, "waiting"), "request_id")
+    status = F.when(F.col("running") > in_flight, "in_flight").when(F.col("waiting") > queued, "queue").otherwise("admitted")
+    return requests.select("request_id", *lane).join(both, "request_id").withColumn("status", status)
+
+
+def memo_outcomes(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """What each request (request_id, at, takes_ms, outcome) of a memo key does: compute, join or hit; and by whom it is answered.
+
+    ``outcome`` is what a computation begun by the request would come to: ok and stable failures are
+    remembered, anything else (transient) is forgotten when it ends. Requests that come while one
+    computes join it. Computations depend on one another, so a key's requests are gone through in
+    order; one that stays makes the rest of the key hits.
+    """
+    have = [c for c in requests.columns if c in keys]
+    fields = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in have)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start", "request_id"])
+        did, by, until, leader, stays = [], [], None, None, False
+        for start, takes, request, outcome in zip(rows.start, rows.takes, rows.request_id, rows.outcome):
+            if until is not None and start < until:
+                did.append("join")
+            elif stays:
+                did.append("hit")
+            else:
+                did.append("compute")
+                until, leader, stays = start + takes, request, outcome in ("ok", "stable")
+            by.append(leader)
+        return rows[[*have, "request_id"]].assign(did=did, answered_by=by)
+
+    rows = requests.select(*have, "request_id", micros("at").alias("start"), (F.col("takes_ms").cast("double") * 1000).cast("long").alias("takes"), "outcome")
+    return rows.groupBy(*have).applyInPandas(run, f"{fields}, request_id long, did string, answered_by long")
+
+
+def committed(staged: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
+    """Staged rows (seq) with the ``commit_seq`` that sends them on: the first of their request after them.
+
+    What no commit follows is left out. The order on the other side is (commit_seq, seq).
+    """
+    cols = staged.columns
+    last = F.min("own commit").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(0, Window.unboundedFollowing))
+    both = staged.withColumn("own commit", F.lit(None).cast("long")).unionByName(commits.select(*keys, "seq", F.col("seq").alias("own commit")), allowMissingColumns=True)
+    rows = both.withColumn("commit_seq", last).where("`own commit` IS NULL AND commit_seq IS NOT NULL")
+    return rows.select(*cols, "commit_seq")
+
+
 def answered(messages: DataFrame) -> DataFrame:
     """Requests and responses of sessions (session, seq, dir, request_id) matched in log order, with faults.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import build_context_id, exported
 from factloom.operators import facts, filters, gates, intervals
+from factloom.storage import fixed
 
 
 @dataclass
@@ -39,6 +40,12 @@ class Workspace:
             coverage=facts.coverage_gaps(target.select("scope_id").where("scope_id IS NOT NULL"), self.coverage, needed),
         )
 
+    def verified(self, ask, files_now) -> DataFrame:
+        """``ask(self)``, run once and then held against the files that ``files_now()`` gives afterwards."""
+        answer = fixed(ask(self))
+        print_of = lambda files: files.select("uri", F.col("sha256").alias("fingerprint"))
+        return gates.rechecked(answer, gates.fingerprint_changed(print_of(self.files), print_of(files_now()), ["uri"]))
+
     def definition(self, uri: str, line: int, char: int, strict: bool = False) -> DataFrame:
         target = self._target(uri, line, char, strict)
         rows = facts.locations(filters.with_role(self.occurrences, "definition"), target.where("status = 'exact'"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schema
@@ -13,7 +13,7 @@ from factloom.operators import diff, facts, filters, gates, intervals, sets, tel
 from factloom.plans import oracle
 from factloom.plans.queries import _targets, files_of, load, log_of, occurrences_of, replay_zip_compare, versions, with_roles_of
 from factloom.plans.store import FactStore
-from factloom.sources import tables
+from factloom.sources import tables, workspace
 from factloom.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +341,148 @@ def scanned_paths(spark, d):
     return load(spark, d, "documents").select("doc_id", text.inside(path, F.lit("src/a/")).alias("inside"), text.scannable(file).alias("scannable"))
 
 
+# ---- SCIP's names, compiler output, selections, orders
+
+
+@query("""SELECT p_partkey AS id, [21, 7, 7, 17, 26, 61, 61, 0, 8][p_partkey % 9 + 1] AS number, ['interface', 'class', 'class', 'function', 'method', 'variable', 'variable', '', 'constant'][p_partkey % 9 + 1] AS back,
+    ['c-family', 'c-family', 'ts-js-family', 'ts-js-family', 'go', 'python', 'rust', '', 'c-family', 'ts-js-family', ''][p_partkey % 11 + 1] AS family FROM part""")
+def scip_names(spark, d):
+    kind = pick(["Interface", "class", "STRUCT", "function", "method", "variable", "Field", "module", "constant"], F.col("p_partkey"))
+    language = pick([" C ", "c++", "TypeScript", "javascriptreact", "Go", "python", "rust", "java", "cpp", "javascript", ""], F.col("p_partkey"))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.scip_kind(kind).alias("number"), text.kind_of_scip(text.scip_kind(kind)).alias("back"), text.language_family(language).alias("family"))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 10 IN (0, 1, 5, 7, 9) AS removable FROM part")
+def import_lines(spark, d):
+    lines = ['import "fmt"', '\tf "fmt" // why', '"a"; b', "", "// c", "x `y`", "import (", '  "z"  ', 'x "a" y', '"http://h"']
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.import_line_removable(pick(lines, F.col("p_partkey"))).alias("removable"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 3 AND p_size % 5 > 0 AND p_partkey > 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'a/b.go' WHEN 1 THEN 'C:/x.go' ELSE p_name END END AS file,
+    CASE WHEN p_partkey % 4 <> 3 AND p_size % 5 > 0 AND p_partkey > 0 THEN p_partkey END AS line, CASE WHEN p_partkey % 4 <> 3 AND p_size % 5 > 0 AND p_partkey > 0 THEN (p_size % 5)::BIGINT END AS "column" FROM part""")
+def compiler_positions(spark, d):
+    end = F.concat(F.lit(":"), F.col("p_partkey").cast("string"), F.lit(":"), (F.col("p_size") % 5).cast("string"))
+    raw = F.concat(F.element_at(F.array(F.lit("a/b.go"), F.lit("C:/x.go"), F.col("p_name"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")), end)
+    at = text.compiler_position(raw)
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), at["file"].alias("file"), at["line"].alias("line"), at["column"].alias("column"))
+
+
+@query(f"""WITH {oracle.OCC} SELECT uri, count(*) AS n, count(*) FILTER (regexp_matches(token, '^[_\\p{{L}}][_\\p{{L}}\\p{{Nd}}]*$')) AS identifiers,
+    CAST(sum(CASE WHEN line % 2 = 0 THEN end_char + 1 ELSE end_char END) AS BIGINT) AS ends FROM occ GROUP BY uri""")
+def selection_ends(spark, d):
+    known = F.when(F.col("line") % 2 == 0, F.struct(F.col("line"), (F.col("end_char") + 1).alias("char")))
+    rows = occurrences_of(spark, d).withColumn("e", text.selection_end(known, F.col("line"), F.col("start_char"), F.col("token")))
+    return rows.groupBy("uri").agg(F.count("*").alias("n"), F.count_if(text.is_identifier(F.col("token"))).alias("identifiers"), F.sum("e.char").cast("long").alias("ends"))
+
+
+@query(f"WITH {oracle.OCC} SELECT uri, count(*) AS n, CAST(count(*) - 1 AS BIGINT) AS ordered FROM occ GROUP BY uri")
+def index_by_document(spark, d):
+    """The stored order by place: of the pairs of neighbours inside a document, how many are in order (all)."""
+    return _neighbours(occurrences_of(spark, d), facts.URI_ORDER, "uri")
+
+
+@query(f"WITH {oracle.OCC} SELECT symbol_id, count(*) AS n, CAST(count(*) - 1 AS BIGINT) AS ordered FROM occ GROUP BY symbol_id")
+def index_by_symbol(spark, d):
+    return _neighbours(occurrences_of(spark, d), facts.SYMBOL_ORDER, "symbol_id")
+
+
+def _neighbours(occurrences: DataFrame, order: list[str], key: str) -> DataFrame:
+    """Rows of a key, and pairs of rows that follow one another in the files of the index and ascend."""
+    import uuid
+
+    have = [c for c in order if c in occurrences.columns]
+    path = f"{shared_folder(occurrences.sparkSession).rstrip('/')}/index-{uuid.uuid4().hex}"
+    facts.index(occurrences.select(*have), order).write.parquet(path)
+    stored = occurrences.sparkSession.read.parquet(path)
+    file = stored.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = Window.partitionBy("file").orderBy("row")
+    rows = file.withColumn("own", F.struct(*have)).withColumn("last", F.lag("own").over(before))
+    by = rows.groupBy(key, "file").agg(F.count("*").alias("n"), F.count_if((F.col(f"last.{key}") == F.col(key)) & (F.col("last") < F.col("own"))).alias("within"), F.min("own").alias("first"), F.max("own").alias("end"))
+    # A key that goes on in another file: its last row there must come before the first one here.
+    across = Window.partitionBy(key).orderBy("first")
+    by = by.withColumn("follows", (F.lag("end").over(across) < F.col("first")).cast("int"))
+    return by.groupBy(key).agg(F.sum("n").alias("n"), (F.sum("within") + F.coalesce(F.sum("follows"), F.lit(0))).cast("long").alias("ordered"))
+
+
+# ---- clocks, lanes, memos, stages
+
+
+@query("""WITH g AS (SELECT user_id, event_id AS id, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us, (event_id - lag(event_id) OVER w) * 60000000 AS steady FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, id, gap_us, gap_us - steady AS drift_us FROM g WHERE gap_us < 0 OR gap_us > 172800000000 OR gap_us - steady > 7200000000""")
+def clock_drift(spark, d):
+    ticks = load(spark, d, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_id") * 60_000_000).alias("steady"))
+    return telemetry.gaps(ticks, ["user_id"], 2 * 24 * 3600, "steady", 2 * 3600).select("user_id", "id", "gap_us", "drift_us")
+
+
+@query("""WITH p AS (SELECT user_id, ts, event_id, floor(value / 10) AS done, event_type = 'error' AS paused FROM events),
+    r AS (SELECT *, CASE WHEN done > coalesce(lag(done) OVER w, -1) OR paused THEN ts END AS grew FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    x AS (SELECT *, max(grew) OVER w AS last_growth, min(ts) OVER w AS since FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT user_id, event_id AS id, last_growth FROM x WHERE epoch_us(ts) - epoch_us(last_growth) > 86400000000 AND epoch_us(ts) - epoch_us(since) >= 86400000000""")
+def stalls_outside_maintenance(spark, d):
+    rows = load(spark, d, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"), F.floor(F.col("value") / 10).alias("done"), (F.col("event_type") == "error").alias("paused"))
+    return telemetry.stalls(rows, ["user_id"], 86_400, 86_400, "paused").select("user_id", "id", "last_growth")
+
+
+@query(f"""WITH {oracle.LOG}, r AS (SELECT request_id, client % 3 AS lane, epoch_us("at") AS s, epoch_us("at") + 14400000000 AS e, epoch_us("at") + 3600000000 AS q FROM log),
+    p AS (SELECT request_id, lane, s AS t, 1 AS a, 0 AS b, 1 AS d FROM r UNION ALL SELECT request_id, lane, e, -1, 0, -1 FROM r UNION ALL SELECT request_id, lane, s, 0, 1, 1 FROM r UNION ALL SELECT request_id, lane, q, 0, -1, -1 FROM r),
+    x AS (SELECT request_id, a, b, CAST(sum(a) OVER (ORDER BY t, d, request_id, b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, CAST(sum(b) OVER (PARTITION BY lane ORDER BY t, d, request_id, a ROWS UNBOUNDED PRECEDING) AS BIGINT) AS waiting FROM p),
+    y AS (SELECT request_id, max(running) FILTER (a = 1) AS running, max(waiting) FILTER (b = 1) AS waiting FROM x GROUP BY request_id)
+    SELECT *, CASE WHEN running > 12 THEN 'in_flight' WHEN waiting > 2 THEN 'queue' ELSE 'admitted' END AS status FROM y""")
+def admission_lanes(spark, d):
+    rows = log_of(spark, d).select("request_id", "at", (F.col("client") % 3).alias("lane"), F.lit(14_400_000).alias("latency_ms"), F.lit(3_600_000).alias("waits_ms"))
+    return telemetry.admission(rows, ["lane"], 12, 2).drop("lane")
+
+
+@query(f"""WITH RECURSIVE {oracle.LOG}, r AS (SELECT request_id, client, epoch_us("at") AS t, CASE method WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'stable' ELSE 'transient' END AS outcome, row_number() OVER (PARTITION BY client ORDER BY "at", request_id) AS i FROM log),
+    l AS (SELECT client, i, request_id, 'compute' AS did, request_id AS answered_by, t + 259200000000 AS until, outcome <> 'transient' AS stays FROM r WHERE i = 1
+      UNION ALL SELECT r.client, r.i, r.request_id, CASE WHEN r.t < l.until THEN 'join' WHEN l.stays THEN 'hit' ELSE 'compute' END, CASE WHEN r.t < l.until OR l.stays THEN l.answered_by ELSE r.request_id END,
+        CASE WHEN r.t < l.until OR l.stays THEN l.until ELSE r.t + 259200000000 END, CASE WHEN r.t < l.until OR l.stays THEN l.stays ELSE r.outcome <> 'transient' END FROM l JOIN r ON r.client = l.client AND r.i = l.i + 1)
+    SELECT client, request_id, did, answered_by FROM l""")
+def memo_outcomes(spark, d):
+    outcome = F.when(F.col("method") == "purchase", "ok").when(F.col("method") == "error", "stable").otherwise("transient")
+    rows = log_of(spark, d).select("client", "request_id", "at", F.lit(259_200_000).alias("takes_ms"), outcome.alias("outcome"))
+    return telemetry.memo_outcomes(rows, ["client"])
+
+
+@query("""SELECT user_id, event_id AS seq, commit_seq FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS commit_seq FROM events)
+    WHERE event_type <> 'purchase' AND commit_seq IS NOT NULL""")
+def committed_evidence(spark, d):
+    rows = load(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    return telemetry.committed(rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'"), ["user_id"]).drop("event_type")
+
+
+# ---- projects
+
+
+@query("""WITH f AS (SELECT DISTINCT 'r' || n_regionkey || '/n' || n_nationkey AS folder, n_nationkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    s AS (SELECT 'python-config:' || folder || '/pyrightconfig.json' AS scope_id, folder AS root, 'pyrightconfig.json' AS config, CASE WHEN k % 2 = 0 THEN 'stubs' ELSE 'none' END AS stub_path, CASE WHEN k % 2 = 0 THEN 'venv' ELSE '' END AS unsupported FROM f WHERE k % 3 = 0
+      UNION ALL SELECT 'python-config:' || folder || '/pyproject.toml', folder, 'pyproject.toml', 'none', 'pyproject.toml' FROM f WHERE k % 2 = 0 AND k % 3 <> 0)
+    SELECT * FROM s UNION ALL SELECT 'python-default:', '', '<default>', 'none', '' WHERE (SELECT count(*) FROM f WHERE k % 2 <> 0 AND k % 3 <> 0) > 0""")
+def python_scopes(spark, d):
+    """A folder a nation: configured in JSON, in TOML, in both or not at all; a file a customer."""
+    nation = load(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("folder"), F.col("n_nationkey").alias("k"))
+    customers = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k")).join(F.broadcast(nation), "k")
+    sources = customers.select(F.concat("folder", F.lit("/c"), "c_custkey", F.lit(".py")).alias("path"), F.lit(None).cast("string").alias("text"))
+    used = customers.select("folder", "k").distinct()
+    json = used.where("k % 3 = 0").select(F.concat("folder", F.lit("/pyrightconfig.json")), F.when(F.col("k") % 2 == 0, '{"stubPath": "stubs", // where\n "venv": "x", "strict": ["a"],}').otherwise('{"pythonVersion": "3.12"}'))
+    toml = used.where("k % 2 = 0").select(F.concat("folder", F.lit("/pyproject.toml")), F.lit("[tool]"))
+    return workspace.python_scopes(sources.union(json).union(toml)).select("scope_id", "root", "config", "stub_path", F.array_join("unsupported", ",").alias("unsupported"))
+
+
+@query("""SELECT '/w' || n_nationkey AS root, CASE WHEN n_nationkey % 5 < 3 THEN 'pkg' || n_nationkey END AS name, CASE n_nationkey % 5 WHEN 0 THEN 'a/Cargo.toml' WHEN 1 THEN NULL WHEN 2 THEN 'a/Cargo.toml' END AS manifest,
+    CASE WHEN n_nationkey % 5 = 0 THEN 'src/lib.rs' END AS src, [NULL, 'outside', 'incomplete', 'no_members', 'undecodable'][n_nationkey % 5 + 1] AS fault FROM nation""")
+def cargo_members(spark, d):
+    """One workspace a nation: whole, with a member outside, with one without version, without members, not JSON."""
+    key = F.col("n_nationkey")
+    member = lambda manifest, version, src: F.concat(F.lit('{"workspace_members": ["i"], "packages": [{"id": "other", "name": "o"}, {"id": "i", "name": "pkg'), key, F.lit(f'", "version": "{version}", "manifest_path": "'), manifest, F.lit('", "targets": ['), src, F.lit("]}]}"))
+    home = F.concat(F.lit("/w"), key.cast("string"))
+    target = F.concat(F.lit('{"name": "t", "kind": ["lib"], "src_path": "'), home, F.lit('/src/lib.rs"}'))
+    own = F.concat(home, F.lit("/a/Cargo.toml"))
+    texts = F.array(member(own, "1.0", target), member(F.concat(home, F.lit("1/Cargo.toml")), "1.0", F.lit("")), member(own, "", F.lit("")), F.lit('{"workspace_members": [], "packages": []}'), F.lit("[tool"))
+    rows = load(spark, d, "nation").select(home.alias("root"), F.element_at(texts, (key % 5 + 1).cast("int")).alias("text"))
+    return workspace.cargo_packages(rows).select("root", "name", "manifest", "src", "fault")
+
+
 # ---- the store
 
 

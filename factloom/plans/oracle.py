@@ -177,7 +177,7 @@ SQL: dict[str, str] = {
     "gap_detection": """WITH g AS (SELECT user_id, event_id AS id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) AS gap_us FROM events) SELECT * FROM g WHERE gap_us < 0 OR gap_us > 86400000000""",
     "progress_stalls": """WITH p AS (SELECT user_id, ts, event_id, floor(value / 10) AS done FROM events), r AS (SELECT *, CASE WHEN done > coalesce(lag(done) OVER w, -1) THEN ts END AS grew FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         x AS (SELECT *, max(grew) OVER w AS last_growth, min(ts) OVER w AS since FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-        SELECT user_id, event_id AS id, last_growth FROM x WHERE epoch_us(ts) - epoch_us(last_growth) > 86400000000 AND epoch_us(ts) - epoch_us(since) > 86400000000""",
+        SELECT user_id, event_id AS id, last_growth FROM x WHERE epoch_us(ts) - epoch_us(last_growth) > 86400000000 AND epoch_us(ts) - epoch_us(since) >= 86400000000""",
     "cost_class_caps": """WITH m AS (SELECT user_id % 9 AS workers, event_type FROM events), t(event_type, method, cost, priority, share) AS (VALUES ('click', 'textDocument/hover', 'tiny', 'P1-hover', 1.0), ('purchase', 'textDocument/rename', 'medium', 'P1-references', 0.75),
         ('error', 'workspace/symbol', 'large', 'P5-maintenance', 0.5), ('signup', 'server/reindex', 'very_large', 'P5-maintenance', 0.25), ('view', 'textDocument/definition', 'small', 'P1-definition', 1.0))
         SELECT method, cost, priority, workers, count(*) AS n, CAST(greatest(1, floor(greatest(workers, 1) * share)) AS BIGINT) AS cap FROM m JOIN t USING (event_type) GROUP BY method, cost, priority, workers, share""",

@@ -191,3 +191,40 @@ def test_memo_and_diagnostics(spark):
     found = df(spark, [("u", 1, 9, "old"), ("u", 2, 1, "new"), ("v", 2, 1, "other")], "uri string, version long, epoch long, message string")
     assert [r.message for r in sets.current_diagnostics(found, docs).collect()] == ["new"]
     assert sets.overdue(df(spark, [(1.0,), (9.0,)], "latency_ms double"), 5).count() == 1
+
+
+def test_names_lines_and_positions(spark):
+    rows = df(spark, [("a b.go:3:1",), ("a:b:12:+4",), ("x:0:1",), ("x:1",), (":1:2",), ("x:99999999999999999999:1",), ("",), (None,)], "raw string")
+    got = [r.p and (r.p.file, r.p.line, r.p.column) for r in rows.select(text.compiler_position(F.col("raw")).alias("p")).collect()]
+    assert got == [("a b.go", 3, 1), ("a:b", 12, 4), None, None, None, None, None, None]
+    lines = [(' "a"', True), ("`a` // b", True), ('"a" // {', False), ('"a" b', False), ("", False), (None, False), ('import "a"\t', True)]
+    assert [r.x for r in df(spark, lines, "line string, want boolean").select(text.import_line_removable(F.col("line")).alias("x")).collect()] == [w for _, w in lines]
+    names = [("_a1", True), ("é9", True), ("9a", False), ("a-b", False), ("", False), (None, False), ("a\n", False)]
+    assert [r.x for r in df(spark, names, "s string, want boolean").select(text.is_identifier(F.col("s")).alias("x")).collect()] == [w for _, w in names]
+    r = df(spark, [(None, " Rust", "😀a")], "k string, l string, n string").select(text.scip_kind(F.col("k")).alias("k"), text.kind_of_scip(F.lit(99)).alias("b"), text.language_family(F.col("l")).alias("f"), text.selection_end(F.lit(None), F.lit(4), F.lit(2), F.col("n")).alias("e")).first()
+    assert (r.k, r.b, r.f, tuple(r.e)) == (0, "", "rust", (4, 5))
+
+
+def test_clocks_lanes_and_memos(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    ticks = df(spark, [("a", 1, at(0), 0), ("a", 2, at(5), 5_000_000), ("a", 3, at(35), 6_000_000), ("a", 4, at(30), 7_000_000)], "k string, id long, at string, mono long").withColumn("at", F.col("at").cast("timestamp"))
+    assert {r.id for r in telemetry.gaps(ticks, ["k"], 40, "mono", 20).collect()} == {3, 4}
+    work = df(spark, [("a", i, at(i * 10), d, m) for i, (d, m) in enumerate([(1, False), (1, False), (1, True), (1, False), (1, False), (1, None)])], "k string, id long, at string, done long, m boolean").withColumn("at", F.col("at").cast("timestamp"))
+    assert {r.id for r in telemetry.stalls(work, ["k"], 15, 10).collect()} == {2, 3, 4, 5}
+    assert {r.id for r in telemetry.stalls(work, ["k"], 15, 10, "m").collect()} == {4, 5}
+    asks = df(spark, [(i, at(s), 1000 * w, 1000 * w, "x") for i, (s, w) in enumerate([(0, 0), (1, 30), (2, 30), (3, 30), (40, 5)])], "request_id long, at string, latency_ms int, waits_ms int, lane string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.request_id: (r.running, r.waiting, r.status) for r in telemetry.admission(asks, ["lane"], 2, 1).collect()}
+    assert got == {0: (0, 0, "admitted"), 1: (1, 1, "admitted"), 2: (2, 2, "queue"), 3: (3, 3, "in_flight"), 4: (1, 1, "admitted")}
+    memo = df(spark, [("k", i, at(s), 3000, o) for i, (s, o) in enumerate([(0, "transient"), (2, "ok"), (3, "stable"), (5, "ok"), (6, "ok"), (9, "transient")])], "key string, request_id long, at string, takes_ms int, outcome string").withColumn("at", F.col("at").cast("timestamp"))
+    assert {r.request_id: (r.did, r.answered_by) for r in telemetry.memo_outcomes(memo, ["key"]).collect()} == {0: ("compute", 0), 1: ("join", 0), 2: ("compute", 2), 3: ("join", 2), 4: ("hit", 2), 5: ("hit", 2)}
+    staged = df(spark, [("r", 1, "a"), ("r", 3, "b"), ("r", 6, "lost"), ("s", 2, "lost")], "request string, seq long, what string")
+    done = telemetry.committed(staged, df(spark, [("r", 2), ("r", 5)], "request string, seq long"), ["request"]).collect()
+    assert {(r.what, r.commit_seq) for r in done} == {("a", 2), ("b", 5)}
+
+
+def test_a_second_look(spark):
+    answer = gates.envelope(df(spark, [("u", 1)], "uri string, line long"), gates.violations(a=df(spark, [], "x long")))
+    same = gates.rechecked(answer, df(spark, [], "uri string")).collect()
+    assert [(r.status, r.line) for r in same] == [("exact", 1)]
+    moved = gates.rechecked(answer, df(spark, [("u",), ("v",)], "uri string")).collect()
+    assert [(r.status, r.reason, r.line) for r in moved] == [("unknown", "changed_meanwhile", None)]
