@@ -1,38 +1,176 @@
 """Near-duplicate lines by a deletion-neighbourhood join (operator 2), in DataFrame functions only.
 
-Two lines within one edit of a character either become equal when each loses the
-character at one place (a substitution), or one is the other without a character.
-All variants with one deletion are therefore emitted as hashed keys, lines meet
+Two lines are near when the shorter has 16 characters or more and one edit of a
+character makes them equal, or when it has 32 or more and two edits do. Then both
+become equal when each loses a few characters: a changed one is lost on both sides,
+a further one on one side. All such variants are emitted as hashed keys, lines meet
 under equal keys, the edit distance is verified, and the earliest line is kept.
 
-Variants are only made where a line can have a partner. With one edit, either
-the first or the second half of the shorter line is found unchanged at the same
-end of the other, so lines whose halves are unique drop out before. Of the rest,
-all but one of SEGMENTS parts must agree, so characters are left out only inside
-a part outside which another line is equal. This loses nothing.
+Variants are only made where a line can have a partner, which loses nothing:
+
+* Of two lines within two edits the first third, the last third or the middle is found
+  unchanged in both, up to one place aside; lines that share none drop out before.
+* A line is cut into four parts by the length of the shorter line. Both edits lie in one
+  part, or one in each of two. Lines meet under hashes of all the rest.
+* Where one part is left open, it is cut into four again, until it has few characters;
+  then all variants of it are made.
+* Where two parts are left open, there is one edit in each: variants of the first are made,
+  and variants of the second only for those of the first that another line has as well.
+
+What an edit is and where it lies goes into the key, so that all lines that meet under a key
+are near one another and each is only held against the earliest: groups are never paired.
+Lines of less than 32 characters take the same way for one edit, with sixteen parts.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import checkpointed, stored
 
-#: Code points of a line from which one edit counts as the same line; shorter ones must be equal.
-LEAST_CHARS = 16
-#: Edits that the neighbourhood covers, and parts of a line in one of which an edit lies.
-EDITS, SEGMENTS = 1, 16
+#: Code points of a line from which one edit, and from which two, count as the same line; shorter ones must be equal.
+LEAST_CHARS, TWO_EDITS_FROM = 16, 32
+#: Parts of a line in one of which a single edit lies; parts of an open stretch for two edits, and its greatest length that isn't cut again.
+SEGMENTS, PARTS, LEAF = 16, 4, 24
+
+#: What two edits in two open parts are: the change of place after the first and after both, and
+#: what the shorter line (or the one whose second part is longer) and the other lose on the left
+#: and on the right: ``P`` a character at a named place, ``D`` any one character, ``W`` nothing.
+KINDS = {"changed, changed": (0, 0, "PP", "PP"), "more, changed": (1, 1, "WP", "DP"), "changed, more": (0, 1, "PW", "PD"), "more, more": (1, 2, "WW", "DD"), "more, less": (1, 0, "WD", "DW")}
+
 
+def third_keys(line: Column, least: int = LEAST_CHARS) -> Column:
+    """Hashes of the thirds of a line by classes of length; lines within two edits share one.
 
-def half_keys(line: Column) -> list[Column]:
-    """Hashes of both halves of a line, as a line of its length and as one with a character more."""
+    Classes are quarters of powers of two, and a line is also in those of lines one or two shorter.
+    With ``base`` the least length of a class, an edit in the first and one in the last third leave
+    the middle whole, at most one place aside.
+    """
     n = F.length(line)
-    out = []
-    for t in (n, n - 1):
-        half = F.floor(t / 2).cast("int")
-        out += [F.xxhash64(F.lit("first"), t, F.substr(line, F.lit(1), half)), F.xxhash64(F.lit("second"), t, F.right(line, t - half))]
-    return out
+    of = lambda m: F.floor(4 * F.log2(F.greatest(m, F.lit(least)) / F.lit(float(least)))).cast("int")
+
+    def keys(c: Column) -> Column:
+        base = F.floor(F.lit(float(least)) * F.pow(F.lit(2.0), c / 4)).cast("int")
+        third = F.floor(base / 3).cast("int")
+        middle = lambda s: F.substr(line, third + 1 + s, base - 2 * third - 1)
+        return F.array(F.xxhash64(F.lit("first"), c, F.substr(line, F.lit(1), third)), F.xxhash64(F.lit("last"), c, F.right(line, third)), *[F.xxhash64(F.lit("middle"), c, middle(s)) for s in (0, 1)])
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.array(of(n), of(n - 1), of(n - 2))), keys)))
+
+
+def cut(s: Column, lo: Column, hi: Column) -> Column:
+    """The characters from ``lo`` up to ``hi``, from 0."""
+    return F.substr(s, lo + 1, hi - lo)
+
+
+def without(s: Column, *places: Column) -> Column:
+    """``s`` without the characters at ascending places, from 0."""
+    ends = [*places, F.length(s)]
+    starts = [F.lit(0), *[p + 1 for p in places]]
+    return F.concat(*[cut(s, a, b) for a, b in zip(starts, ends)])
+
+
+def _open(lines: DataFrame, least: int) -> DataFrame:
+    """Every line as one of its length and as one with one or two characters more: id, first, ctx, e, c."""
+    rows = lines.select("id", "first", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("e"), F.col("line").alias("c"))
+    return rows.where(F.length("c") - F.col("e") >= least).withColumn("ctx", F.xxhash64(F.lit("frame"), F.length("c") - F.col("e")))
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From open stretches: those with one part open, and those with two, where another line agrees on the rest."""
+    c, e = F.col("c"), F.col("e")
+    f = F.length("c") - e
+    bound = lambda i: F.floor(f * i / PARTS).cast("int")
+    # What can be open, as literals: parts, changes of place, kind. One part only: both edits in it.
+    spots = [(i, i, 0, more, "one") for i in range(PARTS) for more in (0, 1, 2)] + [(i, j, v[0], v[1], k) for k, v in KINDS.items() for i, j in combinations(range(PARTS), 2)]
+    spots = F.from_json(F.lit(json.dumps([dict(zip("ijsmk", x)) for x in spots])), "array<struct<i:int,j:int,s:int,m:int,k:string>>")
+
+    def key(o: Column) -> Column:
+        i, j, s = o["i"], o["j"], o["s"]
+        middle = F.when(i == j, F.lit("")).otherwise(cut(c, bound(i + 1) + s, F.greatest(bound(i + 1), bound(j)) + s))
+        hashed = F.xxhash64("ctx", i, j, cut(c, F.lit(0), bound(i)), middle, cut(c, bound(j + 1) + o["m"], F.length(c)))
+        return F.struct(i.alias("i"), j.alias("j"), s.alias("s"), o["k"].alias("kind"), hashed.alias("key"))
+
+    met = checkpointed(rows.select("id", "ctx", "e", F.explode(F.transform(F.filter(spots, lambda o: o["m"] == e), key)).alias("o")).select("id", "ctx", "e", "o.*"))
+    base = (F.col("e") == 0) & F.col("kind").isin("one", "changed, changed")
+    shared = met.groupBy("key").agg(F.count("*").alias("n"), F.max(base.cast("int")).alias("based")).where("n > 1 AND based = 1").select("key")
+    back = checkpointed(met.join(shared, "key", "left_semi").join(rows, ["id", "ctx", "e"]))
+    lo, mid, hi = bound(F.col("i")), bound(F.col("i") + 1), bound(F.col("j"))
+    inner = back.where("kind = 'one'").select("id", "first", F.col("key").alias("ctx"), "e", cut(c, lo, mid + e).alias("c"))
+    left, right = cut(c, lo, mid + F.col("s")), cut(c, hi + F.col("s"), bound(F.col("j") + 1) + e)
+    return inner, back.where("kind <> 'one'").select("id", "first", "key", "kind", left.alias("l"), right.alias("r"))
+
+
+def _lost(s: Column, mode: Column) -> Column:
+    """What is left of ``s`` by mode: structs of a place (-1: any) and a hash."""
+    at = lambda place, text: F.struct(place.cast("int").alias("x"), F.xxhash64(text).alias("h"))
+    each = F.sequence(F.lit(0), F.length(s) - 1)
+    named = F.transform(each, lambda x: at(x, without(s, x)))
+    some = F.array_distinct(F.transform(each, lambda x: at(F.lit(-1), without(s, x))))
+    return F.when(mode == "W", F.array(at(F.lit(-1), s))).when(F.length(s) == 0, F.array().cast("array<struct<x:int,h:bigint>>")).when(mode == "P", named).otherwise(some)
+
+
+def _two_parts(rows: DataFrame) -> DataFrame:
+    """Variants with an edit in each of two open parts: id, first, side, and the columns of their key."""
+    sides = [F.struct(F.lit(k).alias("t"), F.lit(0).alias("side"), F.lit(v[2][0]).alias("ml"), F.lit(v[2][1]).alias("mr")) for k, v in KINDS.items()]
+    other = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(1).alias("side"), F.lit(v[3][0]).alias("ml"), F.lit(v[3][1]).alias("mr")) for k, v in KINDS.items()])
+    roles = F.when(F.col("kind") == "changed, changed", F.array(*sides)).otherwise(F.filter(other, lambda r: r["t"] == F.col("kind")))
+    rows = rows.select("id", "first", "key", "l", "r", F.explode(roles).alias("o")).select("id", "first", "key", "l", "r", "o.*")
+    # A key and kind must have both sides; where a place is named on the left, lines must differ there.
+    apart = lambda by: [F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b"), F.min(by).alias("la"), F.max(by).alias("lb")]
+    able = "n > 1 AND (t = 'changed, changed' OR a < b) AND (t NOT LIKE 'changed,%' OR la <> lb)"
+    rows = checkpointed(rows.withColumn("hl", F.xxhash64("l")))
+    rows = rows.join(rows.groupBy("key", "t").agg(*apart("hl")).where(able).select("key", "t"), ["key", "t"], "left_semi")
+    left = checkpointed(rows.select("id", "first", "key", "t", "side", "mr", "r", "hl", F.explode(_lost(F.col("l"), F.col("ml"))).alias("v")).select("id", "first", "key", "t", "side", "mr", "r", "hl", "v.x", "v.h"))
+    left = left.join(left.groupBy("key", "t", "x", "h").agg(*apart("hl")).where(able).select("key", "t", "x", "h"), ["key", "t", "x", "h"], "left_semi")
+    right = left.select("id", "first", "key", "t", "side", F.xxhash64("x", "h").alias("h"), F.explode(_lost(F.col("r"), F.col("mr"))).alias("w"))
+    return right.select("id", "first", "key", "t", "side", "h", F.col("w.x").alias("y"), F.col("w.h").alias("g"))
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    """All variants of a short open stretch, in the columns of ``_two_parts``."""
+    c, n = F.col("c"), F.length("c")
+    make = lambda t, side, x, y, text: F.struct(F.lit(t).alias("t"), F.lit(side).alias("side"), F.xxhash64(x).alias("h"), y.cast("int").alias("y"), F.xxhash64(text).alias("g"))
+    none = F.lit(-1)
+    ones = F.sequence(F.lit(0), n - 1)
+    twos = lambda of: F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda u: F.flatten(F.transform(F.sequence(u + 1, n - 1), lambda v: F.array(*of(u, v, without(c, u, v)))))))
+    same = F.concat(
+        twos(lambda u, v, text: [make("changed, changed", 0, u, v, text)]),
+        F.transform(ones, lambda u: make("one each", 0, none, none, without(c, u))),
+        F.transform(ones, lambda u: make("one more", 0, u, none, without(c, u))),
+        F.array(make("more, more", 0, none, none, c)),
+    )
+    one = twos(lambda u, v, text: [make("one more", 1, u, none, text), make("one more", 1, v - 1, none, text)])
+    two = twos(lambda u, v, text: [make("more, more", 1, none, none, text)])
+    variants = F.when(F.col("e") == 0, same).when(F.col("e") == 1, one).otherwise(two)
+    return rows.select("id", "first", F.col("ctx").alias("key"), F.explode(F.array_distinct(variants)).alias("o")).select("id", "first", "key", "o.*")
+
+
+def two_edits(lines: DataFrame, least: int) -> DataFrame:
+    """Pairs (id, other) of a line and the earliest that one of its variants meets, for two edits."""
+    found, rows = [], checkpointed(_open(lines, least))
+    while not rows.isEmpty():
+        f = F.length("c") - F.col("e")
+        found.append(_leaves(rows.where(f <= LEAF)))
+        inner, double = _parts(rows.where(f > LEAF))
+        found.append(_two_parts(double))
+        rows = checkpointed(inner)
+    if not found:
+        return lines.select("id", F.col("id").alias("other")).limit(0)
+    key = ["key", "t", "h", "y", "g"]
+    met = None
+    for part in found:
+        met = part if met is None else met.unionByName(part)
+    met = checkpointed(met)
+    lead = lambda side: F.min(F.when(F.col("side") == side, F.struct("first", "id")))
+    leads = met.groupBy(*key).agg(lead(0).alias("a"), lead(1).alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = F.col("t").isin("changed, changed", "one each")
+    chosen = F.when(alike | (F.col("side") == 1), F.col("a")).otherwise(F.col("b"))
+    return met.join(leads, key).withColumn("lead", chosen).where("lead.id <> id AND lead.first < first").select("id", F.col("lead.id").alias("other")).distinct()
 
 
 def outer_keys(line: Column) -> Column:
@@ -47,35 +185,8 @@ def outer_keys(line: Column) -> Column:
     return F.concat(of(n, 0), of(n - 1, 1))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The lines with a word, where they are, and a hash of 128 bits of each."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
-    return lines.select(at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
-
-
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """One row per line with a word: id, line_no (from 0), kept, keep_id and keep_line_no.
-
-    Lines are split at line feeds and compared as they are, over all documents. The order is by
-    id, nulls last, then line; what a line points to is the earliest line within one edit of it
-    (a character put in, left out or changed; equal lines only under ``least_chars``), itself if
-    there is none. The relation isn't transitive: a dropped line can still be another's earliest.
-    Null and empty texts have no lines. Rows that repeat an id and text share their verdicts.
-    """
-    occ = occurrences(docs, id_col, text_col)
-    eligible = F.length("line") >= least_chars
-    keys = [F.when(eligible, k).alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line")))]
-    flat = occ.select("h1", "h2", "at", *keys)
-    distinct = stored(flat.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]), "lines")
-
-    halves = distinct.where("k0 IS NOT NULL").select("h1", "h2", F.explode(F.array(*[f"k{i}" for i in range(len(keys))])).alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    able = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    # Copies meet inside each task first, so that a common line is sent once a task.
-    lines = occ.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(able, ["h1", "h2"], "left_semi")
-    lines = checkpointed(lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("id", F.struct("h1", "h2")).select("id", "first", "line"))
-
+def one_edit(lines: DataFrame) -> DataFrame:
+    """Pairs (id, other) of a line and the earliest that one of its variants meets, for one edit."""
     outer = checkpointed(lines.select("id", F.explode(outer_keys(F.col("line"))).alias("o")).select("id", "o.*"))
     met = outer.join(outer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("id", "more", "lo", "hi").distinct()
     spots = lines.join(met, "id").where("hi > lo")
@@ -94,9 +205,48 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = longer.distinct().join(whole.select("n", "rest", F.col("id").alias("w"), F.col("first").alias("wf")), ["n", "rest"])
     two = both.select(F.when(F.col("wf") < F.col("first"), F.col("id")).otherwise(F.col("w")).alias("id"), F.when(F.col("wf") < F.col("first"), F.col("w")).otherwise(F.col("id")).alias("other"))
 
-    pairs = one.union(two).distinct()
+    return one.union(two).distinct()
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The lines with a word, where they are, and a hash of 128 bits of each."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
+    return lines.select(at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+
+
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, two_edits_from: int | None = TWO_EDITS_FROM) -> DataFrame:
+    """One row per line with a word: id, line_no (from 0), kept, keep_id and keep_line_no.
+
+    Lines are split at line feeds and compared as they are, over all documents. The order is by
+    id, nulls last, then line; what a line points to is the earliest line near it, itself if there
+    is none. Near: equal; or one edit apart (a character put in, left out or changed) and the
+    shorter has ``least_chars``; or two and it has ``two_edits_from`` (null: never). The relation isn't
+    transitive: a dropped line can still be another's earliest. Null and empty texts have no
+    lines, an empty table has no rows; other columns of ``docs`` aren't read. Rows that repeat an id and
+    text share their verdicts. A very long line costs what its length does, but for lines near it.
+    """
+    if not 3 <= least_chars <= (two_edits_from or least_chars) or (two_edits_from or LEAF) < LEAF:
+        raise ValueError(f"least_chars must be 3 or more and two_edits_from no less than it and {LEAF}")
+    occ = occurrences(docs, id_col, text_col)
+    eligible = F.length("line") >= least_chars
+    flat = occ.select("h1", "h2", "at", F.when(eligible, third_keys(F.col("line"), least_chars)).alias("ks"))
+    distinct = stored(flat.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("ks").alias("ks")), "lines")
+
+    thirds = distinct.where("ks IS NOT NULL").select("h1", "h2", F.explode("ks").alias("key"))
+    shared = thirds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    able = thirds.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    # Copies meet inside each task first, so that a common line is sent once a task.
+    lines = occ.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(able, ["h1", "h2"], "left_semi")
+    lines = checkpointed(lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("id", F.struct("h1", "h2")).select("id", "first", "line"))
+
+    if two_edits_from is None:
+        pairs = one_edit(lines)
+    else:
+        pairs = one_edit(lines.where(F.length("line") <= two_edits_from)).union(two_edits(lines.where(F.length("line") >= two_edits_from), two_edits_from)).distinct()
     pairs = pairs.join(lines.select("id", F.col("line").alias("a")), "id").join(lines.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("first").alias("of")), "other")
-    near = pairs.where(F.levenshtein("a", "b", EDITS) >= 0).groupBy("id").agg(F.min("of").alias("near"))
+    most = F.when(F.least(F.length("a"), F.length("b")) >= F.lit(two_edits_from), 2).otherwise(1)
+    near = pairs.withColumn("edits", F.levenshtein("a", "b", 2)).where((F.col("edits") >= 0) & (F.col("edits") <= most)).groupBy("id").agg(F.min("of").alias("near"))
     near = checkpointed(near.select("id.h1", "id.h2", "near"))
 
     target = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("keep"))
@@ -114,22 +264,35 @@ def drop_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", tex
     return out.withColumn(text_col, F.when(F.col("lines gone").isNull(), F.col(text_col)).otherwise(left)).drop("id of lines", "lines gone")
 
 
+_PLACE = "coalesce(list_position([a[i] <> b[i] for i in range(1, least(length(a), length(b)) + 1)], true), least(length(a), length(b)) + 1)"
+#: Two strings without what they share at the start, after each of the edits that can be next.
+_NEXT = "unnest([{'a': substr(a, p + 1), 'b': substr(b, p + 1)}, {'a': substr(a, p), 'b': substr(b, p + 1)}, {'a': substr(a, p + 1), 'b': substr(b, p)}]) AS s"
+
 ORACLE_SQL = rf"""
 WITH occ AS (
   SELECT doc_id, line_no - 1 AS line_no, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), d AS (
-  SELECT line, length(line) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM occ GROUP BY line
-), v AS (
-  SELECT line, n, first, i, substr(line, 1, i - 1) || substr(line, i + 1) AS rest
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= {LEAST_CHARS})
+  SELECT row_number() OVER () AS id, line, length(line) AS n, first FROM (SELECT line, min({{'d': doc_id, 'l': line_no}}) AS first FROM occ GROUP BY line)
+), f AS (
+  SELECT *, n - e AS t, (n - e) // 3 AS k FROM (SELECT *, unnest([0, 1, 2]) AS e FROM d WHERE n >= {LEAST_CHARS}) WHERE n - e >= {LEAST_CHARS}
+), keys AS (
+  SELECT id, e, t, unnest([{{'j': 0, 's': left(line, k)}}, {{'j': 1, 's': right(line, k)}}, {{'j': 2, 's': substr(line, k + 1, t - 2 * k - 1)}}, {{'j': 2, 's': substr(line, k + 2, t - 2 * k - 1)}}]) AS key FROM f
+), near AS (
+  SELECT DISTINCT x.id AS i, y.id AS j FROM keys x JOIN keys y ON x.t = y.t AND x.key = y.key AND x.e = 0 AND x.id <> y.id
+), c AS (
+  SELECT i, j, a.line AS a, b.line AS b, a.n >= {TWO_EDITS_FROM} AS two FROM near JOIN d a ON a.id = i JOIN d b ON b.id = j
+), e1 AS (
+  SELECT i, j, two, s.a AS a, s.b AS b FROM (SELECT i, j, two, {_NEXT} FROM (SELECT *, {_PLACE} AS p FROM c))
+), e2 AS (
+  SELECT i, j, s.a AS a, s.b AS b FROM (SELECT i, j, {_NEXT} FROM (SELECT *, {_PLACE} AS p FROM e1 WHERE two))
 ), p AS (
-  SELECT a.line, b.first FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND a.n = b.n AND b.first < a.first
-  UNION ALL SELECT a.line, b.first FROM v a JOIN d b ON a.rest = b.line AND b.n >= {LEAST_CHARS} AND b.first < a.first
-  UNION ALL SELECT b.line, a.first FROM v a JOIN d b ON a.rest = b.line AND b.n >= {LEAST_CHARS} AND a.first < b.first
+  SELECT i, j FROM e1 WHERE a = b UNION SELECT i, j FROM e2 WHERE a = b
 ), k AS (
-  SELECT line, min(first) AS keep FROM (SELECT line, first FROM d UNION ALL SELECT line, first FROM p) GROUP BY line
+  SELECT line, min(first) AS keep FROM (SELECT line, first FROM d
+    UNION ALL SELECT x.line, y.first FROM p JOIN d x ON x.id = i JOIN d y ON y.id = j
+    UNION ALL SELECT y.line, x.first FROM p JOIN d x ON x.id = i JOIN d y ON y.id = j) GROUP BY line
 )
 SELECT doc_id, line_no, {{'d': doc_id, 'l': line_no}} = keep AS kept, keep.d AS keep_id, keep.l AS keep_line_no
 FROM occ JOIN k USING (line)

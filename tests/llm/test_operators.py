@@ -93,6 +93,48 @@ def test_lines_against_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def earliest_near(table, least=16, two_from=32):
+    lines = [(i, j, x) for i, t in table if t for j, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\v\f")]
+    for i, j, x in lines:
+        for a, b, y in lines:
+            short = min(len(x), len(y))
+            if x == y or abs(len(x) - len(y)) <= 2 and edits(x, y) <= (2 if short >= two_from else 1 if short >= least else 0):
+                yield i, j, (a, b) == (i, j), a, b
+                break
+
+
+def test_lines_with_two_edits(spark):
+    draw = random.Random(1)
+    base = ["".join(draw.choice("ab é") for _ in range(n)) for n in (16, 31, 32, 33, 47, 60, 100, 130)] + ["a" * 33, "ab" * 20, "x" * 120, "q" * 16]
+    lines = []
+    for _ in range(240):
+        x = draw.choice(base)
+        for _ in range(draw.randrange(4)):
+            k, c = draw.randrange(len(x) + 1), draw.choice("ab zé😀")
+            x = [x[:k] + c + x[k:], x[:k] + x[k + 1 :], x[:k] + c + x[k + 1 :]][draw.randrange(3)]
+        lines.append(x)
+    table = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(80)] + [(200, None), (201, ""), (202, " \n")]
+    want = sorted(earliest_near(table))
+    got = linededup.line_verdicts(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "line_no", "kept", "keep_id", "keep_line_no")
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(duckdb.from_df(pd.DataFrame(table, columns=["doc_id", "text"])).query("documents", linededup.ORACLE_SQL).fetchall()) == want
+    few = [(i, t) for i, t in table if i < 25]
+    got = linededup.line_verdicts(spark.createDataFrame(few, "doc_id long, text string"), two_edits_from=None).select("doc_id", "line_no", "kept", "keep_id", "keep_line_no")
+    assert sorted(map(tuple, got.collect())) == sorted(earliest_near(few, two_from=10**9))
+    with pytest.raises(ValueError):
+        linededup.line_verdicts(documents(spark), two_edits_from=8)
+
+
 def test_lines_on_awkward_tables(spark):
     docs = documents(spark, extra=True)
     verdicts = linededup.line_verdicts(docs)
