@@ -97,7 +97,8 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     met = checkpointed(rows.select("id", "ctx", "e", F.explode(F.transform(F.filter(spots, lambda o: o["m"] == e), key)).alias("o")).select("id", "ctx", "e", "o.*"))
     base = (F.col("e") == 0) & F.col("kind").isin("one", "changed, changed")
-    shared = met.groupBy("key").agg(F.count("*").alias("n"), F.max(base.cast("int")).alias("based")).where("n > 1 AND based = 1").select("key")
+    # A line can meet itself where the middle is empty, so there must be two lines under a key.
+    shared = met.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.max(base.cast("int")).alias("based")).where("p <> q AND based = 1").select("key")
     back = checkpointed(met.join(shared, "key", "left_semi").join(rows, ["id", "ctx", "e"]))
     lo, mid, hi = bound(F.col("i")), bound(F.col("i") + 1), bound(F.col("j"))
     inner = back.where("kind = 'one'").select("id", "first", F.col("key").alias("ctx"), "e", cut(c, lo, mid + e).alias("c"))
@@ -121,8 +122,8 @@ def _two_parts(rows: DataFrame) -> DataFrame:
     roles = F.when(F.col("kind") == "changed, changed", F.array(*sides)).otherwise(F.filter(other, lambda r: r["t"] == F.col("kind")))
     rows = rows.select("id", "first", "key", "l", "r", F.explode(roles).alias("o")).select("id", "first", "key", "l", "r", "o.*")
     # A key and kind must have both sides; where a place is named on the left, lines must differ there.
-    apart = lambda by: [F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b"), F.min(by).alias("la"), F.max(by).alias("lb")]
-    able = "n > 1 AND (t = 'changed, changed' OR a < b) AND (t NOT LIKE 'changed,%' OR la <> lb)"
+    apart = lambda by: [F.min("id").alias("p"), F.max("id").alias("q"), F.min("side").alias("a"), F.max("side").alias("b"), F.min(by).alias("la"), F.max(by).alias("lb")]
+    able = "p <> q AND (t = 'changed, changed' OR a < b) AND (t NOT LIKE 'changed,%' OR la <> lb)"
     rows = checkpointed(rows.withColumn("hl", F.xxhash64("l")))
     rows = rows.join(rows.groupBy("key", "t").agg(*apart("hl")).where(able).select("key", "t"), ["key", "t"], "left_semi")
     left = checkpointed(rows.select("id", "first", "key", "t", "side", "mr", "r", "hl", F.explode(_lost(F.col("l"), F.col("ml"))).alias("v")).select("id", "first", "key", "t", "side", "mr", "r", "hl", "v.x", "v.h"))
