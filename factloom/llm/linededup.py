@@ -85,25 +85,55 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     c, e = F.col("c"), F.col("e")
     f = F.length("c") - e
     bound = lambda i: F.floor(f * i / PARTS).cast("int")
+    place = lambda i, j: i * PARTS + j
+
+    # Each stretch is hashed once; a key is put together from them. Of two open parts, the hashes
+    # of what they hold go along: where an edit changes a character in place, lines must differ there.
+    pieces = [
+        F.array(*[F.xxhash64(cut(c, F.lit(0), bound(i))) for i in range(PARTS)]).alias("before"),
+        F.array(*[F.xxhash64(cut(c, bound(j + 1) + e, F.length(c))) for j in range(PARTS)]).alias("after"),
+        F.array(*[F.xxhash64(cut(c, bound(i) + s, bound(i + 1) + t)) for i in range(PARTS) for s, t in ((0, 0), (0, 1), (1, 1))]).alias("part"),
+        F.array(*[F.xxhash64(cut(c, bound(i + 1) + s, bound(j) + s)) if i + 1 < j else F.lit(0).cast("long") for s in (0, 1) for i in range(PARTS) for j in range(PARTS)]).alias("middle"),
+    ]
+    at = lambda name, k: F.element_at(name, (k + 1).cast("int"))
     # What can be open, as literals: parts, changes of place, kind. One part only: both edits in it.
-    spots = [(i, i, 0, more, "one") for i in range(PARTS) for more in (0, 1, 2)] + [(i, j, v[0], v[1], k) for k, v in KINDS.items() for i, j in combinations(range(PARTS), 2)]
-    spots = F.from_json(F.lit(json.dumps([dict(zip("ijsmk", x)) for x in spots])), "array<struct<i:int,j:int,s:int,m:int,k:string>>")
+    spots = [(i, i, 0, more, "one", 0) for i in range(PARTS) for more in (0, 1, 2)]
+    spots += [(i, j, v[0], v[1], k, 1) for k, v in KINDS.items() for i, j in combinations(range(PARTS), 2)]
+    spots = F.from_json(F.lit(json.dumps([dict(zip("ijsmkt", x)) for x in spots])), "array<struct<i:int,j:int,s:int,m:int,k:string,t:int>>")
 
     def key(o: Column) -> Column:
         i, j, s = o["i"], o["j"], o["s"]
-        middle = F.when(i == j, F.lit("")).otherwise(cut(c, bound(i + 1) + s, F.greatest(bound(i + 1), bound(j)) + s))
-        hashed = F.xxhash64("ctx", i, j, cut(c, F.lit(0), bound(i)), middle, cut(c, bound(j + 1) + o["m"], F.length(c)))
-        return F.struct(i.alias("i"), j.alias("j"), s.alias("s"), o["k"].alias("kind"), hashed.alias("key"))
-
-    met = checkpointed(rows.select("id", "ctx", "e", F.explode(F.transform(F.filter(spots, lambda o: o["m"] == e), key)).alias("o")).select("id", "ctx", "e", "o.*"))
-    base = (F.col("e") == 0) & F.col("kind").isin("one", "changed, changed")
+        hashed = F.xxhash64("ctx", i, j, at("before", i), at("middle", s * PARTS * PARTS + place(i, j)), at("after", j))
+        # Only read where nothing has moved yet: the left part of "changed, ..", the right one of ".., changed".
+        left, right = at("part", 3 * i), at("part", 3 * j + 2 * s)
+        return F.struct(i.alias("i"), j.alias("j"), s.alias("s"), o["k"].alias("kind"), hashed.alias("key"), left.alias("hl"), right.alias("hr"))
+
+    hashes = rows.select("id", "ctx", "e", *pieces)
+    met = hashes.select("id", "ctx", "e", F.explode(F.transform(F.filter(spots, lambda o: o["m"] == e), key)).alias("o")).select("id", "ctx", "e", "o.*")
+    own = lambda kind: F.col("kind") == kind
+    still = own("changed, changed")
+    apart = lambda name, kinds: F.min(F.when(F.col("kind").isin(kinds), F.col(name))) != F.max(F.when(F.col("kind").isin(kinds), F.col(name)))
+    both = lambda kind: F.bool_or(own(kind))
+    live = {
+        "changed, changed": apart("hl", ["changed, changed"]) & apart("hr", ["changed, changed"]),
+        "more, changed": both("more, changed") & apart("hr", ["changed, changed", "more, changed"]),
+        "changed, more": both("changed, more") & apart("hl", ["changed, changed", "changed, more"]),
+        "more, more": both("more, more"),
+        "more, less": both("more, less"),
+    }
+    kinds = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in live.items()]))
     # A line can meet itself where the middle is empty, so there must be two lines under a key.
-    shared = met.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.max(base.cast("int")).alias("based")).where("p <> q AND based = 1").select("key")
-    back = checkpointed(met.join(shared, "key", "left_semi").join(rows, ["id", "ctx", "e"]))
+    shared = met.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.bool_or((e == 0) & (own("one") | still)).alias("based"), both("one").alias("single"), kinds.alias("kinds"))
+    shared = shared.where("p <> q AND based AND (single OR size(kinds) > 0)").select("key", "kinds")
+    back = met.drop("hl", "hr").join(shared, "key").where(F.col("kind").isin("one", "changed, changed") | F.array_contains("kinds", F.col("kind")))
+    back = back.join(rows, ["id", "ctx", "e"])
     lo, mid, hi = bound(F.col("i")), bound(F.col("i") + 1), bound(F.col("j"))
-    inner = back.where("kind = 'one'").select("id", "first", F.col("key").alias("ctx"), "e", cut(c, lo, mid + e).alias("c"))
-    left, right = cut(c, lo, mid + F.col("s")), cut(c, hi + F.col("s"), bound(F.col("j") + 1) + e)
-    return inner, back.where("kind <> 'one'").select("id", "first", "key", "kind", left.alias("l"), right.alias("r"))
+    one = F.col("kind") == "one"
+    # The open parts alone are kept: of one, the whole of it stands on the left.
+    left = F.when(one, cut(c, lo, mid + e)).otherwise(cut(c, lo, mid + F.col("s")))
+    right = F.when(~one, cut(c, hi + F.col("s"), bound(F.col("j") + 1) + e))
+    back = checkpointed(back.select("id", "first", "key", "e", "kind", "kinds", left.alias("l"), right.alias("r")))
+    return back.where("kind = 'one'").select("id", "first", F.col("key").alias("ctx"), "e", F.col("l").alias("c")), back.where("kind <> 'one'").select("id", "first", "key", "kind", "kinds", "l", "r")
 
 
 def _lost(s: Column, mode: Column) -> Column:
@@ -119,13 +149,13 @@ def _two_parts(rows: DataFrame) -> DataFrame:
     """Variants with an edit in each of two open parts: id, first, side, and the columns of their key."""
     sides = [F.struct(F.lit(k).alias("t"), F.lit(0).alias("side"), F.lit(v[2][0]).alias("ml"), F.lit(v[2][1]).alias("mr")) for k, v in KINDS.items()]
     other = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(1).alias("side"), F.lit(v[3][0]).alias("ml"), F.lit(v[3][1]).alias("mr")) for k, v in KINDS.items()])
-    roles = F.when(F.col("kind") == "changed, changed", F.array(*sides)).otherwise(F.filter(other, lambda r: r["t"] == F.col("kind")))
+    live = F.filter(F.array(*sides), lambda r: F.array_contains("kinds", r["t"]))
+    roles = F.when(F.col("kind") == "changed, changed", live).otherwise(F.filter(other, lambda r: r["t"] == F.col("kind")))
     rows = rows.select("id", "first", "key", "l", "r", F.explode(roles).alias("o")).select("id", "first", "key", "l", "r", "o.*")
-    # A key and kind must have both sides; where a place is named on the left, lines must differ there.
+    # A variant and kind must have both sides; where a place is named on the left, lines must differ there.
     apart = lambda by: [F.min("id").alias("p"), F.max("id").alias("q"), F.min("side").alias("a"), F.max("side").alias("b"), F.min(by).alias("la"), F.max(by).alias("lb")]
     able = "p <> q AND (t = 'changed, changed' OR a < b) AND (t NOT LIKE 'changed,%' OR la <> lb)"
-    rows = checkpointed(rows.withColumn("hl", F.xxhash64("l")))
-    rows = rows.join(rows.groupBy("key", "t").agg(*apart("hl")).where(able).select("key", "t"), ["key", "t"], "left_semi")
+    rows = rows.withColumn("hl", F.xxhash64("l"))
     left = checkpointed(rows.select("id", "first", "key", "t", "side", "mr", "r", "hl", F.explode(_lost(F.col("l"), F.col("ml"))).alias("v")).select("id", "first", "key", "t", "side", "mr", "r", "hl", "v.x", "v.h"))
     left = left.join(left.groupBy("key", "t", "x", "h").agg(*apart("hl")).where(able).select("key", "t", "x", "h"), ["key", "t", "x", "h"], "left_semi")
     right = left.select("id", "first", "key", "t", "side", F.xxhash64("x", "h").alias("h"), F.explode(_lost(F.col("r"), F.col("mr"))).alias("w"))
