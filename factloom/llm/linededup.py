@@ -132,7 +132,7 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The open parts alone are kept: of one, the whole of it stands on the left.
     left = F.when(one, cut(c, lo, mid + e)).otherwise(cut(c, lo, mid + F.col("s")))
     right = F.when(~one, cut(c, hi + F.col("s"), bound(F.col("j") + 1) + e))
-    back = checkpointed(back.select("id", "first", "key", "e", "kind", "kinds", left.alias("l"), right.alias("r")))
+    back = stored(back.select("id", "first", "key", "e", "kind", "kinds", left.alias("l"), right.alias("r")), "open-parts")
     return back.where("kind = 'one'").select("id", "first", F.col("key").alias("ctx"), "e", F.col("l").alias("c")), back.where("kind <> 'one'").select("id", "first", "key", "kind", "kinds", "l", "r")
 
 
@@ -156,7 +156,7 @@ def _two_parts(rows: DataFrame) -> DataFrame:
     apart = lambda by: [F.min("id").alias("p"), F.max("id").alias("q"), F.min("side").alias("a"), F.max("side").alias("b"), F.min(by).alias("la"), F.max(by).alias("lb")]
     able = "p <> q AND (t = 'changed, changed' OR a < b) AND (t NOT LIKE 'changed,%' OR la <> lb)"
     rows = rows.withColumn("hl", F.xxhash64("l"))
-    left = checkpointed(rows.select("id", "first", "key", "t", "side", "mr", "r", "hl", F.explode(_lost(F.col("l"), F.col("ml"))).alias("v")).select("id", "first", "key", "t", "side", "mr", "r", "hl", "v.x", "v.h"))
+    left = stored(rows.select("id", "first", "key", "t", "side", "mr", "r", "hl", F.explode(_lost(F.col("l"), F.col("ml"))).alias("v")).select("id", "first", "key", "t", "side", "mr", "r", "hl", "v.x", "v.h"), "left-variants")
     left = left.join(left.groupBy("key", "t", "x", "h").agg(*apart("hl")).where(able).select("key", "t", "x", "h"), ["key", "t", "x", "h"], "left_semi")
     right = left.select("id", "first", "key", "t", "side", F.xxhash64("x", "h").alias("h"), F.explode(_lost(F.col("r"), F.col("mr"))).alias("w"))
     return right.select("id", "first", "key", "t", "side", "h", F.col("w.x").alias("y"), F.col("w.h").alias("g"))
@@ -196,7 +196,7 @@ def two_edits(lines: DataFrame, least: int) -> DataFrame:
     met = None
     for part in found:
         met = part if met is None else met.unionByName(part)
-    met = checkpointed(met)
+    met = stored(met, "line-variants")
     lead = lambda side: F.min(F.when(F.col("side") == side, F.struct("first", "id")))
     leads = met.groupBy(*key).agg(lead(0).alias("a"), lead(1).alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     alike = F.col("t").isin("changed, changed", "one each")
