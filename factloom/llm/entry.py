@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, exact, html, langid, linededup, minhash, packing, quality, suffix
+from factloom.llm import blocks, bpe, chat, exact, fim, html, langid, linededup, minhash, packing, quality, suffix, vectors
 from factloom.sources.tables import spread
 
 
@@ -67,9 +67,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.remove_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(texts(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_html_text, op6_exact_dedup, op7_language_id, op8_minhash, op9_chat_format, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_html_text, op6_exact_dedup, op7_language_id, op8_minhash, op9_chat_format, op10_byte_bpe, op11_vector_codes, op12_substring_dedup, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.ORACLE_SQL, "op4_suffix_dedup": suffix.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
+    return {"op2_line_dedup": linededup.ORACLE_SQL, "op4_suffix_dedup": suffix.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op11_vector_codes": vectors.ORACLE_SQL, "op12_substring_dedup": blocks.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
