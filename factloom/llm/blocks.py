@@ -23,7 +23,6 @@ Batches send each distinct hash or fingerprint once.
 from __future__ import annotations
 
 import re
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ from factloom.llm.common import binary_parts, kept, make_room, mix64, release, s
 WINDOW = 50
 #: Bytes of text of a batch on average, and batches to a part.
 BATCH_BYTES, PART_BATCHES = 4 << 20, 2
-#: Bytes of text that are cut into words at once, and words that are remembered in each of two generations.
-PIECE, REMEMBERED = 1 << 20, 100_000
+#: Bytes of text that are cut into words at once, and bytes of a word from which it is hashed by itself.
+PIECE, LONG_WORD = 1 << 20, 256
 #: Odd multipliers of the two lanes of rolling hashes (the golden ratio's and the published murmur3 constants).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
 HASH_BITS = 48
@@ -56,36 +55,53 @@ def block_of(window: int) -> int:
 
 # ---- words
 
+#: Which bytes are white space.
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-def word_lists(text: bytes):
-    """The words of a text, in lists of about PIECE bytes: bytes.split goes by the same six characters."""
-    lo, n = 0, len(text)
+
+def cuts(raw: np.ndarray, at: np.ndarray):
+    """Bounds of consecutive parts of about PIECE bytes that no word crosses."""
+    lo, n, data = 0, len(raw), memoryview(raw)
     while lo < n:
-        cut = _SPACE.search(text, lo + PIECE)
-        hi = cut.end() if cut else n
-        yield text[lo:hi].split()
+        if lo + PIECE >= n:
+            hi = n
+        else:
+            found = _SPACE.search(data, lo + PIECE)
+            ends = at[np.searchsorted(at, lo + PIECE)]
+            hi = min(found.end() if found else n, int(ends))
+        yield lo, hi
         lo = hi
 
 
-class WordHashes(dict):
-    """128-bit hashes of words; when it is full, its words become the older generation."""
-
-    older: dict[bytes, bytes] = {}
+@kept("blocks", 4)
+def powers(multiplier: int, most: int) -> np.ndarray:
+    out = np.full(most, multiplier, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-    def __missing__(self, word: bytes) -> bytes:
-        out = self.older.get(word) or xxhash.xxh3_128_digest(word)
-        self[word] = out
-        return out
 
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
+def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in documents whose bounds are ``at``."""
+    white = WHITE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at[(at >= 0) & (at <= len(raw))]] = True
+    begin, end = ~white, ~white
+    begin[1:] &= white[:-1] | edge[1:-1]
+    end[:-1] &= white[1:] | edge[1:-1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-@kept("blocks", 1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def hashed_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of every word: polynomials of its bytes, taken from running sums over the text; long words go through xxh3."""
+    size = 1 << max(PIECE, len(raw)).bit_length()
+    symbols = raw.astype(np.uint64) + np.uint64(1)
+    lanes = []
+    for m in MULTIPLIERS:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols * powers(m, size)[: len(raw)])))
+        lanes.append(mix64((sums[end] - sums[begin]) * powers(pow(m, -1, 1 << 64), size)[begin]))
+    for k in np.flatnonzero(end - begin >= LONG_WORD).tolist():
+        lanes[0][k], lanes[1][k] = np.frombuffer(xxhash.xxh3_128_digest(raw[begin[k] : end[k]].tobytes()), "<u8")
+    return lanes
 
 
 def rolled(symbols: np.ndarray, size: int, multiplier: int) -> np.ndarray:
@@ -106,27 +122,25 @@ def rolled(symbols: np.ndarray, size: int, multiplier: int) -> np.ndarray:
 
 
 class Batch:
-    """The documents of a batch in the order of rank: the hashes of their words, and which windows lie in one document."""
+    """The documents of a batch in the order of rank: their words' places and hashes, and how far each is from its document's ends."""
 
     def __init__(self, table: pa.Table, window: int):
-        data, at = binary_parts(table.column("text"))
-        self.rank = table.column("rank").to_numpy()
-        self.order = np.argsort(self.rank, kind="stable")
+        self.table = table.take(pa.array(np.argsort(table.column("rank").to_numpy(), kind="stable")))
+        data, at = binary_parts(self.table.column("text"))
+        self.at = at - at[0]
+        self.raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
         self.window, self.block = window, block_of(window)
-        hashes, counts, lanes = word_hashes(), [], []
-        for k in self.order.tolist():
-            total = 0
-            for words in word_lists(bytes(data[at[k] : at[k + 1]])):
-                lanes.append(b"".join(map(hashes.__getitem__, words)))
-                total += len(words)
-                hashes.trim()
-            counts.append(total)
-        self.counts = np.array(counts, np.int64)
-        self.bounds = np.concatenate(([0], np.cumsum(self.counts)))
-        words = np.frombuffer(b"".join(lanes), "<u8").reshape(-1, 2)
-        self.words = (np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]))
-        own = np.repeat(np.arange(len(counts)), self.counts)
-        self.own_rank = self.rank[self.order][own]
+        found = []
+        for lo, hi in cuts(self.raw, self.at):
+            piece = self.raw[lo:hi]
+            begin, end = word_bounds(piece, self.at - lo)
+            found.append((begin + lo, end + lo, *hashed_words(piece, begin, end)))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        self.begin, self.end, *self.words = (np.concatenate(c) for c in zip(none, *found))
+        self.bounds = np.searchsorted(self.begin, self.at)
+        self.counts = np.diff(self.bounds)
+        own = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.own_rank = self.table.column("rank").to_numpy()[own]
         self.left = self.bounds[1:][own] - np.arange(len(own))  # words from here to the document's end
         self.inside = np.arange(len(own)) - self.bounds[:-1][own]
         self.long = self.counts[own] >= window
@@ -140,18 +154,33 @@ class Batch:
         """Starts of the windows that hold a hit, and both halves of their fingerprints."""
         at, h = self.rolling()
         hit = np.zeros(len(self.left) + 1, np.int64)
-        hit[at + 1] = np.isin(h, shared)
+        hit[at + 1] = among(h, shared)
         before = np.cumsum(hit)
         starts = np.flatnonzero(self.left >= self.window)
         starts = starts[before[starts + self.window - self.block + 1] > before[starts]]
         return starts, *(mix64(rolled(w, self.window, m)[starts]) for w, m in zip(self.words, MULTIPLIERS))
 
 
+def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def heads_of(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(sorted_)])
+
+
 def distinct(lane0: np.ndarray, lane1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of fingerprints (equal ones in the order given), where a new one begins in it, and the number of each place's."""
-    order = np.lexsort((lane1, lane0))
-    new = np.ones(len(order), bool)
-    new[1:] = (lane0[order][1:] != lane0[order][:-1]) | (lane1[order][1:] != lane1[order][:-1])
+    order = np.argsort(lane0, kind="stable")
+    same, other = lane0[order][1:] == lane0[order][:-1], lane1[order][1:] != lane1[order][:-1]
+    if (same & other).any():  # half a fingerprint in common
+        order = np.lexsort((lane1, lane0))
+        same, other = lane0[order][1:] == lane0[order][:-1], lane1[order][1:] != lane1[order][:-1]
+    new = np.append(True, ~same | other)[: len(order)]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return order, np.flatnonzero(new), number
@@ -182,9 +211,9 @@ def ranges(top: np.ndarray, parts: int) -> np.ndarray:
 
 
 def runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
-    """Bounds of the runs of equal numbers."""
-    heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))[: len(sorted_)]
-    return list(zip(heads.tolist(), [*heads[1:].tolist(), len(sorted_)]))
+    """Bounds of the few runs of equal numbers."""
+    heads = heads_of(sorted_).tolist()
+    return list(zip(heads, [*heads[1:], len(sorted_)]))
 
 
 def table_of(rows: list[tuple], fields: list[str], kinds: list[pa.DataType]) -> pa.Table:
@@ -198,7 +227,7 @@ def announce(table: pa.Table, parts: int, number: int, window: int) -> pa.Table:
     at, h = batch.rolling()
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
-    heads = np.array([a for a, _ in runs(h)], np.int64)
+    heads = heads_of(h)
     ends = np.append(heads[1:], len(h))[: len(heads)]
     block = np.maximum.reduceat(batch.inside[at] % batch.block == 0, heads) if len(heads) else np.zeros(0, bool)
     rank = batch.own_rank[at]
@@ -215,7 +244,7 @@ def hits(table: pa.Table) -> pa.Table:
     h = values & LOW
     order = np.argsort(h, kind="stable")
     h, values, batch = h[order], values[order], batch[order]
-    heads = np.array([a for a, _ in runs(h)], np.int64)
+    heads = heads_of(h)
     count = np.diff(np.append(heads, len(h)))
     flags = np.bitwise_or.reduceat(values, heads) if len(heads) else values
     hit = np.repeat((flags & BLOCK_BIT > 0) & ((count > 1) | (flags & SEVERAL_BIT > 0)), count)
@@ -228,7 +257,7 @@ def hits(table: pa.Table) -> pa.Table:
 def extended(table: pa.Table, reply: pa.Table, parts: int, number: int, window: int) -> pa.Table:
     """The distinct fingerprints of a batch's extensions with the least rank that has each, by part."""
     batch = Batch(table, window)
-    starts, lane0, lane1 = batch.extensions(joined(reply.column("blob"))[0])
+    starts, lane0, lane1 = batch.extensions(np.sort(joined(reply.column("blob"))[0]))
     order, heads, _ = distinct(lane0, lane1)
     first = order[heads]  # places are in the order of rank
     part = ranges(lane0[first] >> np.uint64(32), parts)
@@ -256,11 +285,12 @@ def remove(table: pa.Table, reply: pa.Table, parts: int, window: int, keep: list
     """A batch's documents without the words of the extensions that an earlier document has."""
     batch = Batch(table, window)
     of = reply.column("part").to_numpy()
-    starts, lane0, lane1 = batch.extensions(joined(reply.filter(pa.array(of < 0)).column("blob"))[0])
+    starts, lane0, lane1 = batch.extensions(np.sort(joined(reply.filter(pa.array(of < 0)).column("blob"))[0]))
     order, heads, number = distinct(lane0, lane1)
     first = order[heads]
     answered = np.zeros(len(heads), bool)
-    slots = dict(zip(*(lambda part: (part[[a for a, _ in runs(part)]].tolist(), runs(part)))(ranges(lane0[first] >> np.uint64(32), parts))))
+    own_part = ranges(lane0[first] >> np.uint64(32), parts)
+    slots = {int(own_part[a]): (a, b) for a, b in runs(own_part)}
     for part, blob in zip(of.tolist(), reply.column("blob").to_pylist()):
         if part >= 0:
             a, b = slots[part]
@@ -270,19 +300,24 @@ def remove(table: pa.Table, reply: pa.Table, parts: int, window: int, keep: list
     cover = np.zeros(len(batch.left) + window + 1, np.int64)
     cover[gone] += 1
     cover[gone + window] -= 1
-    dropped = np.cumsum(cover)[: len(batch.left)] > 0
-    removed = np.diff(np.concatenate(([0], np.cumsum(dropped)))[batch.bounds])
-    data, at = binary_parts(table.column("text"))
-    texts = [b""] * len(batch.order)
-    for k, i in enumerate(batch.order.tolist()):
-        place, rest = int(batch.bounds[k]), []
-        for words in word_lists(bytes(data[at[i] : at[i + 1]])):
-            left = compress(words, (~dropped[place : place + len(words)]).tolist()) if removed[k] else words
-            rest.append(b" ".join(left))
-            place += len(words)
-        texts[i] = b" ".join(filter(None, rest))
-    back = np.argsort(batch.order)
-    columns = [*[table.column(c) for c in keep], pa.array(batch.counts[back]), pa.array(removed[back]), pa.array(texts, pa.binary())]
+    stays = np.cumsum(cover)[: len(batch.left)] <= 0
+    before = np.concatenate(([0], np.cumsum(stays)))[batch.bounds]
+    removed = batch.counts - np.diff(before)
+    # What stays of a document: its words, and the byte of white space behind each but the last.
+    begin, end = batch.begin[stays], batch.end[stays]
+    last = before[1:][np.diff(before) > 0] - 1
+    apart = np.delete(end, last)
+    inside = np.zeros(len(batch.raw) + 1, np.int8)
+    inside[begin] += 1
+    inside[end] -= 1
+    taken = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    taken[apart] = True
+    out = batch.raw.copy()
+    out[apart] = 0x20
+    size = np.add.accumulate(np.append(0, end - begin + 1))[before]
+    size = np.maximum(np.diff(size) - 1, 0)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(out[taken])]).cast(pa.binary())
+    columns = [*[batch.table.column(c) for c in keep], pa.array(batch.counts), pa.array(removed), texts]
     return pa.table(columns, [*keep, "n_words", "n_removed", "kept"])
 
 

@@ -159,10 +159,21 @@ def test_passages_keep_malformed_bytes(spark):
 
 
 def test_every_window_of_a_long_text_is_looked_at(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "PIECE", 50)
-    monkeypatch.setattr(blocks, "REMEMBERED", 10)
-    words = prose(4, 3000).split()
-    assert [w for part in blocks.word_lists("  ".join(words).encode()) for w in part] == [w.encode() for w in words]
+    texts = [t for t in (prose(4, 300) + "\v\f\x1c\x85 é", "  a", "", "b", "x" * 400 + " y", "\t", "x" * 401)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t.encode()) for t in texts])
+    words = [w.encode() for t in texts for w in WORD.findall(t)]
+    whole = None
+    for size in (1 << 20, 50, 7, 1):
+        monkeypatch.setattr(blocks, "PIECE", size)
+        found, lanes = [], []
+        for lo, hi in blocks.cuts(raw, at):
+            begin, end = blocks.word_bounds(raw[lo:hi], at - lo)
+            found += [raw[lo + a : lo + b].tobytes() for a, b in zip(begin, end)]
+            lanes += zip(*(x.tolist() for x in blocks.hashed_words(raw[lo:hi], begin, end)))
+        assert found == words
+        whole = whole or lanes
+        assert lanes == whole and len(set(lanes)) == len(set(words))
     symbols = np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64)
     for size in (1, 2, 3, 25, 50, 64):
         found = blocks.rolled(symbols, size, blocks.MULTIPLIERS[0])
