@@ -44,10 +44,13 @@ def rechecked(answer: DataFrame, changed: DataFrame) -> DataFrame:
     return good.unionByName(refused)
 
 
-def generation_gates(scopes: DataFrame, symbols: DataFrame, occurrences: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
-    """What must hold before a generation is published."""
-    # The occurrences are gone through once; what the gates ask of them is read from the counts.
-    counts = fixed(occurrences.groupBy("scope_id", "symbol_id", "uri", "source_hash").agg(F.count_if(F.col("role") == "reference").alias("references"), F.count("*").alias("n")))
+def use_counts(occurrences: DataFrame) -> DataFrame:
+    """How often each document uses each symbol: gone through once, and read by several gates."""
+    return fixed(occurrences.groupBy("scope_id", "symbol_id", "uri", "source_hash").agg(F.count_if(F.col("role") == "reference").alias("references"), F.count("*").alias("n")))
+
+
+def generation_gates(scopes: DataFrame, symbols: DataFrame, counts: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
+    """What must hold before a generation is published; ``counts`` are ``use_counts`` or a stored index's."""
     references = counts.where("references > 0").groupBy("scope_id", "symbol_id").agg(F.sum("references").alias("weight"))
     origins = counts.groupBy("scope_id", "uri", "source_hash").agg(F.sum("n").alias("weight"))
     current = files.select("uri", F.col("sha256").alias("source_hash"))

@@ -114,7 +114,7 @@ EXTRACTOR = "words-1"
 def generation_checks(t: dict[str, DataFrame]) -> DataFrame:
     """The gates of a whole generation, its provenance among them."""
     context = gates.violations(build_context=gates.wrong_build_context(t["scopes"], t["provenance"]))
-    return gates.generation_gates(t["scopes"], t["symbols"], t["occurrences"], t["coverage"], t["files"]).unionByName(context)
+    return gates.generation_gates(t["scopes"], t["symbols"], gates.use_counts(t["occurrences"]), t["coverage"], t["files"]).unionByName(context)
 
 
 def reindex(store, documents: DataFrame) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom import schema
 from factloom.functions import positions, text, uri
 from factloom.operators import diff, facts, filters, gates, graph, intervals, quality, sets, telemetry
+from factloom.plans.index import stored_index
 from factloom.sources import interop, tables
 from factloom.storage import fixed
 
@@ -38,6 +39,11 @@ def with_roles_of(spark, d):
     return tables.with_roles(occurrences_of(spark, d))
 
 
+def index_of(spark, d):
+    """The stored index of all documents, built by the first query that needs it."""
+    return stored_index(spark, f"{d}/documents.parquet")
+
+
 def log_of(spark, d):
     return tables.request_log(load(spark, d, "events"))
 
@@ -138,20 +144,19 @@ def occurrence_facts(spark, d):
 
 @query
 def symbol_facts(spark, d):
-    return tables.symbols(tables.definitions(occurrences_of(spark, d))).select("scope_id", "id", "name", "kind", "language", "uses")
+    return tables.symbols(index_of(spark, d).definitions).select("scope_id", "id", "name", "kind", "language", "uses")
 
 
 @query
 def workspace_symbols(spark, d):
-    definitions = fixed(tables.definitions(occurrences_of(spark, d)))  # read twice
-    places = definitions.select("scope_id", "symbol_id", *facts.LOCATION)
-    return facts.workspace_symbols(tables.symbols(definitions), places, SEARCH)
+    index = index_of(spark, d)
+    return facts.workspace_symbols(tables.symbols(index.definitions), index.places_of_definitions(), SEARCH)
 
 
 @query
 def overlay_symbols(spark, d):
-    definitions = fixed(tables.definitions(occurrences_of(spark, d)))  # read twice
-    return facts.overlay_symbols(tables.symbols(definitions), definitions.select("scope_id", "symbol_id", *facts.LOCATION), SEARCH).select("scope_id", "id", "name", *facts.LOCATION)
+    index = index_of(spark, d)
+    return facts.overlay_symbols(tables.symbols(index.definitions), index.places_of_definitions(), SEARCH).select("scope_id", "id", "name", *facts.LOCATION)
 
 
 @query
@@ -174,17 +179,22 @@ def _targets(spark, d):
     return occ, hit.select("query_id", F.substring_index("symbol_id", "|", 1).alias("scope_id"), F.expr("substring(symbol_id, instr(symbol_id, '|') + 1)").alias("symbol_id"))
 
 
+def _indexed_targets(spark, d):
+    """The index, and the symbol at the first place of each document."""
+    index = index_of(spark, d)
+    questions = index.files.select(F.col("doc_id").alias("query_id"), "uri", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("char"))
+    return index, index.symbols_at(questions).where("status = 'exact'")
+
+
 @query
 def definition_at(spark, d):
-    occ, targets = _targets(spark, d)
-    return facts.locations(tables.definitions(occ).withColumn("role", F.lit("definition")), targets).select("query_id", "symbol_id", *facts.LOCATION)
+    index, targets = _indexed_targets(spark, d)
+    return index.definitions_of(targets).select("query_id", "symbol_id", *facts.LOCATION)
 
 
 def _reference_counts(spark, d, declarations):
-    occ, targets = _targets(spark, d)
-    targets = fixed(targets)  # read by both joins
-    asked = occ.join(targets.select(*facts.KEY).distinct(), facts.KEY, "left_semi")
-    return facts.reference_summary(tables.with_roles(asked), targets, declarations).drop("scope_id", "symbol_id")
+    index, targets = _indexed_targets(spark, d)
+    return index.reference_summary(fixed(targets), declarations).drop("scope_id", "symbol_id")  # read twice
 
 
 @query
@@ -374,11 +384,11 @@ def record_violations(spark, d):
 
 @query
 def generation_gates(spark, d):
-    files = files_of(spark, d)
-    occ = occurrences_of(spark, d)
-    definitions = fixed(tables.definitions(occ))  # read by three gates
+    """The gates over the stored index, against the documents as they are now."""
+    index = index_of(spark, d)
     scopes, coverage = _coverage(spark, d)
-    return gates.generation_gates(scopes, tables.symbols(definitions).where("uses > 1"), tables.with_roles(occ, definitions), coverage, files)
+    symbols = tables.symbols(index.definitions).where("uses > 1")
+    return gates.generation_gates(scopes, symbols, index.counts(), coverage, files_of(spark, d))
 
 
 # ---- quality

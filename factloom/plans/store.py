@@ -18,7 +18,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.schema import BATCH_BYTES
@@ -32,6 +32,16 @@ class StoreError(Exception):
     pass
 
 
+def row_hash(table: DataFrame) -> Column:
+    """A 64-bit hash of a row's values and of which are null. Maps, which hashes don't take, go by their JSON form."""
+    values = []
+    for f in sorted(table.schema.fields, key=lambda f: f.name):
+        c = F.col(f"`{f.name}`")
+        values.append(F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c)
+        values.append(c.isNull())
+    return F.xxhash64(*values)
+
+
 class FactStore:
     """Generations under ``root``: data in ``gen=N`` and one manifest each; the newest is the current one."""
 
@@ -127,16 +137,16 @@ class FactStore:
         used = [int(n.split("=")[1].split(".")[0]) for n in self._names() if n.startswith(("gen=", "quarantine="))]
         return max([*self.history(), *used, 0]) + 1
 
-    def write(self, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None, records_per_file: int = 0) -> int:
+    def write(self, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None, records_per_file: int = 0, notes: dict | None = None) -> int:
         """Stage tables, check them as they were written, and publish them as a new generation.
 
         The writer holds the lease from the choice of its number on. If a gate fails the staged
-        data goes and the last generation stays.
+        data goes and the last generation stays. ``notes`` are kept in the manifest.
         """
         with self.lease():
-            return self._staged(self._next(), tables, gates, records_per_file)
+            return self._staged(self._next(), tables, gates, records_per_file, notes)
 
-    def _staged(self, number: int, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None, records_per_file: int) -> int:
+    def _staged(self, number: int, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None, records_per_file: int, notes: dict | None = None) -> int:
         place = f"{self.root}/gen={number}"
         try:
             for name, table in tables.items():
@@ -146,7 +156,7 @@ class FactStore:
             broken = gates(staged).where("violations > 0").collect() if gates else []
             if broken:
                 raise StoreError(f"gates failed: {sorted(r.gate for r in broken)}")
-            manifest = {"generation": number, "at": int(time.time()), "tables": {n: self._summary(t) for n, t in staged.items()}}
+            manifest = {"generation": number, "at": int(time.time()), "tables": {n: self._summary(t) for n, t in staged.items()}, "notes": notes or {}}
             self._write(f"manifest-{number}.json", json.dumps(manifest, sort_keys=True))
         except BaseException:
             self.fs.delete(self._path(place), True)
@@ -154,10 +164,9 @@ class FactStore:
         return number
 
     def _summary(self, table: DataFrame) -> dict:
-        """Row count and a checksum that doesn't depend on order or files."""
-        row = F.crc32(F.to_json(F.struct(*sorted(table.columns))).cast("binary"))
-        r = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("c")).first()
-        return {"rows": r.n, "checksum": int(r.c), "columns": sorted(table.columns)}
+        """Row count, and the sum and the exclusive or of 64-bit hashes of rows: neither depends on order or files."""
+        r = table.select(row_hash(table).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x")).first()
+        return {"rows": r.n, "checksum": f"{int(r.s)}:{r.x & (1 << 64) - 1:016x}", "columns": sorted(table.columns)}
 
     def manifest(self, number: int) -> dict:
         text = self._read(f"manifest-{number}.json")

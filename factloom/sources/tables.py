@@ -46,6 +46,10 @@ def line_rows(file_rows: DataFrame) -> DataFrame:
 
 
 def words(file_rows: DataFrame) -> DataFrame:
+    return words_of_lines(line_rows(file_rows))
+
+
+def words_of_lines(lines: DataFrame) -> DataFrame:
     """Words of lines, split at single spaces, with where they start and end in UTF-16 units and ``next``, the word after.
 
     A word's start is the width of what is before it. Lines are cut into runs of WORDS words, and
@@ -54,7 +58,7 @@ def words(file_rows: DataFrame) -> DataFrame:
     """
     parts = F.split("line_text", " ", -1)
     ws = F.filter(F.transform(parts, lambda w, p: F.struct(p.alias("pos"), w.alias("token"))), lambda x: x["token"] != "")
-    lines = line_rows(file_rows).withColumn("parts", parts).withColumn("ws", ws).where(F.size("ws") > 0)
+    lines = lines.withColumn("parts", parts).withColumn("ws", ws).where(F.size("ws") > 0)
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / WORDS)), lambda i: F.struct(F.slice("ws", (i * WORDS + 1).cast("int"), F.lit(WORDS)).alias("own"), F.get("ws", ((i + 1) * WORDS).cast("int")).alias("after")))
     fixed = ["doc_id", "uri", "scope_id", "language", "sha256", "line"]
     lines = lines.select(*fixed, "line_text", "parts", F.explode(runs).alias("run"))
