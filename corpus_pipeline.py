@@ -50,9 +50,22 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("kept id")), "left_semi")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id.
+
+    Rows are judged one by one, also where they repeat an id: of rows that have it the first by
+    their place in the table counts as smaller, and rows without one come last. Null, empty and
+    blank texts are linked with nothing and stay.
+    """
+    plain, names = numbered(docs)
+    id_, text = names["doc_id"], names["text"]
+    if plain.groupBy(id_).count().where(F.col(id_).isNull() | (F.col("count") > 1)).isEmpty():
+        kept = minhash.near_duplicates(plain, id_col=id_, text_col=text).where("kept").select(F.col(id_).alias("kept row"))
+        return plain.join(kept, F.col(id_) == F.col("kept row"), "left_semi").toDF(*names)
+    plain = exact.located(plain)
+    row = F.struct(F.col(id_).isNull().alias("no_id"), F.col(id_).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number"))
+    own = plain.select("*", row.alias("row"))
+    kept = minhash.near_duplicates(own, id_col="row", text_col=text).where("kept").select(*[F.col(f"row.{c}").alias(f"kept {c}") for c in ("file", "number")])
+    return own.join(kept, (F.col("row.file") == F.col("kept file")) & (F.col("row.number") == F.col("kept number")), "left_semi").drop("row").toDF(*names)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +87,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens. Null and empty texts are one piece, of the final token; repeated rows are packed as often as they are there."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
