@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from factloom.llm import entry
-from tests.llm.helpers import documents, empty, rows
+from tests.llm.helpers import documents, empty, prose, rows
+from tests.llm.test_operators import brute_near
 
 
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
@@ -34,6 +35,27 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert docs.count() > 0
 
 
+def test_near_copies_go_row_by_row(spark):
+    """Rows that repeat an id, rows without one, and a column that was named as an inner one."""
+    base, other, third = prose(1, 80), prose(2, 80), prose(3, 80)
+    table = [(1, base), (2, base + " end"), (2, other), (3, other + " end"), (None, third), (None, third + " end"), (None, None), (4, ""), (5, "  "), (6, third + " stop")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "k", "r") for i, t in table], "doc_id long, text string, lang string, source string, n_chars long, `kept id` string, row string")
+    out = corpus_pipeline.without_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, base), (2, other), (None, None), (4, ""), (5, "  "), (6, third + " stop")]))
+    # Ids that are all different take the shorter way to the same rows.
+    unique = df.where("doc_id <> 2")
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, unique, "").collect()} == {1, 3, 4, 5, 6}
+
+
+def test_near_copies_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i for i, (_, component) in brute_near(texts, 5, 80).items() if component == i}
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf_dir).select("doc_id").collect()} == want
+    assert len(want) < len(texts)
+
+
 def test_texts_near_no_learned_language_go(spark, sf_dir):
     draw = random.Random(5)
     word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(2, 9)))
@@ -64,7 +86,7 @@ def test_run(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.sql(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, sf_dir).select(*want.columns)
@@ -74,6 +96,6 @@ def test_query_equals_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_every_query_gives_all_rows(spark, sf_dir, name):
     out = entry.queries()[name](spark, sf_dir)
-    table = {"op5_html_text": ("pages", "page_id"), "op9_chat_format": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    table = {"op5_html_text": ("pages", "page_id"), "op9_chat_format": ("conversations", "conv_id"), "op11_vector_codes": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     ids = spark.read.parquet(f"{sf_dir}/{table[0]}.parquet").select(table[1]).distinct().count()
     assert out.select(table[1]).distinct().count() == ids + (name == "op9_chat_format")
