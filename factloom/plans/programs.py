@@ -11,7 +11,7 @@ from factloom.functions.text import utf16_width
 from factloom.plans import memo, oracle
 from factloom.plans.queries import files_of, index_of
 from factloom.plans.store import FactStore
-from factloom.sources import extract, scip, tables
+from factloom.sources import extract, scip, strict, tables
 from factloom.storage import fixed, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,28 @@ def recomputed_results(spark, d):
             done = memo.Memo(store, computing(priced))
             done.update(keys, priced.select("input", F.col("price").cast("string").alias("fingerprint")))
         return fixed(done.results().select("key", "value", "outcome"))
+
+
+# ---- strict decoding
+
+
+@query("""WITH e AS (SELECT user_id || '/' || CAST(ts AS DATE) AS batch, event_id, CASE WHEN event_type = 'error' AND value > 30 THEN 'unknown field in $.range' WHEN event_type = 'signup' AND value < 8 THEN '$.range.start_line is of another type'
+    WHEN event_type = 'purchase' AND value > 90 THEN 'repeated field' WHEN event_type = 'view' AND value BETWEEN 20 AND 22 THEN 'not one JSON value, or a repeated field' WHEN floor(value) - 1 < 0 THEN '$.range.start_line is out of bounds' END AS fault, floor(value) - 1 AS line FROM events),
+b AS (SELECT batch, count(fault) AS faults, arg_min(fault, event_id) FILTER (fault IS NOT NULL) AS reason, min(event_id) FILTER (fault IS NOT NULL) AS seq, count(*) AS n, sum(line) AS lines FROM e GROUP BY batch)
+SELECT batch, faults, reason, seq, CASE WHEN faults = 0 THEN n ELSE 0 END AS kept, CASE WHEN faults = 0 THEN CAST(lines AS BIGINT) END AS lines FROM b""")
+def strict_batches(spark, d):
+    """Events as records of occurrences, a batch a user and day; some kinds of events are written wrongly at some values."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kind, value = F.col("event_type"), F.col("value")
+    number = (F.floor(value) - 1).cast("string")
+    start = F.when((kind == "signup") & (value < 8), F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    inner = F.concat(F.lit('{"start_line":'), start, F.when((kind == "error") & (value > 30), F.lit(',"k":0')).otherwise(F.lit("")), F.lit("}"))
+    twice = F.when((kind == "purchase") & (value > 90), F.lit('"uri":"again",')).otherwise(F.lit(""))
+    end = F.when((kind == "view") & value.between(20, 22), F.lit("} {}")).otherwise(F.lit("}"))
+    record = F.concat(F.lit('{"symbol_id":"'), kind, F.lit('","scope_id":"s","uri":"e",'), twice, F.lit('"range":'), inner, end)
+    batch = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.to_date("ts").cast("string"))
+    records = e.select(batch.alias("batch"), F.col("event_id").alias("seq"), F.lit("occurrences").alias("kind"), record.alias("value"))
+    typed, refused = strict.decode(records, {"occurrences": strict.KINDS["occurrences"]})
+    kept = typed["occurrences"].groupBy("batch").agg(F.count("*").alias("kept"), F.sum("range.start_line").alias("lines"))
+    out = kept.join(refused, "batch", "full_outer")
+    return out.select("batch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("faults", "kept")], "reason", "seq", "lines")
