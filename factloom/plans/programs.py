@@ -13,6 +13,7 @@ from factloom.plans.queries import files_of, index_of
 from factloom.plans.store import FactStore
 from factloom.sources import extract, scip, strict, tables
 from factloom.storage import fixed, scratch
+from factloom.streaming import operators, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,3 +195,76 @@ def strict_batches(spark, d):
     kept = typed["occurrences"].groupBy("batch").agg(F.count("*").alias("kept"), F.sum("range.start_line").alias("lines"))
     out = kept.join(refused, "batch", "full_outer")
     return out.select("batch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("faults", "kept")], "reason", "seq", "lines")
+
+
+# ---- streams, run to completion
+
+
+def _streamed(spark, folder: str, rows: DataFrame, order: str, fold, parts: int = 3) -> DataFrame:
+    """All that ``fold`` of a stream of ``rows`` gives. They arrive in ranges of ``order``; after each the stream ends and is started again from its checkpoint."""
+    number = F.col(order).cast("double")
+    cuts = rows.select(number.alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else number > low) & (F.lit(True) if high is None else number <= high)
+        rows.where(inside).write.mode("append").parquet(f"{folder}/in")
+        out = operators.to_completion(fold(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), f"{folder}/state", f"{folder}/out")
+    return fixed(out)
+
+
+def _instant(column: str):
+    """A time without a zone as one in UTC, whatever the session's zone is."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"))
+
+
+LATENESS = "10 minutes"
+#: Seconds to a request's deadline, until a cancellation, and of quiet before diagnostics are computed.
+DEADLINE, CANCELLED_AFTER, QUIET = 60, 30, 1800
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, CASE WHEN event_type <> 'signup' THEN epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT) END AS ended, CASE WHEN event_type = 'error' THEN epoch_us(ts) // 1000 + {CANCELLED_AFTER * 1000} END AS cancel FROM events),
+wm AS (SELECT max(greatest(t, coalesce(ended, t), coalesce(cancel, t))) - 600000 AS w FROM s),
+o AS (SELECT user_id, event_id, w, t, t + {DEADLINE * 1000} AS due, least(coalesce(ended, t + {DEADLINE * 1000}), coalesce(cancel, t + {DEADLINE * 1000})) AS early, ended, cancel FROM s, wm)
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS name, CASE WHEN due <= early THEN 'deadline' WHEN ended <= coalesce(cancel, ended) THEN 'done' ELSE 'cancelled' END AS outcome, least(due, early) AS at_ms
+FROM o WHERE least(due, early) < w AND t < w""")
+def request_deadlines(spark, d):
+    """Events as requests with a deadline; sign-ups never end, errors are cancelled. What the stream has decided at its end."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", _instant("ts"))
+    row = lambda kind, at, seq, amount=None: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.lit(seq).cast("long").alias("seq"), F.lit(amount).cast("double").alias("amount"))
+    after = lambda ms: F.timestamp_micros(F.unix_micros("ts") + ms.cast("long") * 1000)
+    rows = F.array(
+        row("start", F.col("ts"), 0, DEADLINE * 1000.0), F.when(F.col("event_type") != "signup", row("end", after(F.floor(F.col("value") * 1000)), 1)),
+        F.when(F.col("event_type") == "error", row("cancel", after(F.lit(CANCELLED_AFTER * 1000)), 2)),
+    )
+    stream = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("name"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("key", "name", "r.*")
+    with scratch(spark) as folder:
+        return _streamed(spark, folder, stream, "at", lambda s: timers.deadlines(s, LATENESS)).where("outcome <> 'refused'").select("key", "name", "outcome", "at_ms")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, CAST(floor(value * 1000) AS BIGINT) AS cost, (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 AS w FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM e WHERE t < w)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, CASE WHEN next < t + {QUIET * 1000} THEN 'restarted' WHEN next < t + {QUIET * 1000} + cost THEN 'cancelled' ELSE 'published' END AS outcome,
+  CASE WHEN next < t + {QUIET * 1000} + cost THEN next ELSE t + {QUIET * 1000} + cost END AS at_ms
+FROM n WHERE t + {QUIET * 1000} + cost < w OR next IS NOT NULL""")
+def restarted_diagnostics(spark, d):
+    """A user's events as changes of a document: diagnostics after a quiet time, restarted or cancelled by the next change."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.lit("document").alias("name"), _instant("ts").alias("at"), F.col("event_id").alias("seq"), F.lit("change").alias("kind"), F.floor(F.col("value") * 1000).cast("double").alias("amount"))
+    with scratch(spark) as folder:
+        return _streamed(spark, folder, rows, "at", lambda s: timers.debounced(s, QUIET * 1000, LATENESS)).drop("name")
+
+
+@query("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, CASE WHEN role = 'system' THEN 'initialize' WHEN role = 'user' AND length(text) % 5 = 0 THEN 'shutdown' WHEN role = 'user' THEN 'textDocument/hover' WHEN length(text) % 7 = 0 THEN 'exit' ELSE 'textDocument/didChange' END AS method, role <> 'assistant' AS request FROM conversations),
+f AS (SELECT session, min(seq) FILTER (method = 'initialize') AS i FROM m GROUP BY session),
+s AS (SELECT m.session, min(seq) FILTER (method = 'shutdown' AND seq > i) AS s FROM m JOIN f USING (session) GROUP BY m.session),
+x AS (SELECT session, min(seq) FILTER (method = 'exit') AS x FROM m GROUP BY session)
+SELECT session, seq, method, CASE WHEN seq > x THEN 'closed' WHEN method = 'exit' THEN CASE WHEN seq > s THEN 'exit_0' ELSE 'exit_1' END WHEN method = 'initialize' AND seq > i OR seq > s THEN CASE WHEN request THEN 'invalid' ELSE 'dropped' END
+  WHEN i IS NULL OR seq < i THEN CASE WHEN request THEN 'not_initialized' ELSE 'dropped' END ELSE 'accepted' END AS outcome
+FROM m JOIN f USING (session) JOIN s USING (session) JOIN x USING (session)""")
+def session_lifecycle(spark, d):
+    """Conversations as sessions: system turns initialize, some user turns shut down, some answers exit."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    n = F.char_length("text")
+    method = F.when(F.col("role") == "system", "initialize").when((F.col("role") == "user") & (n % 5 == 0), "shutdown").when(F.col("role") == "user", "textDocument/hover").when(n % 7 == 0, "exit").otherwise("textDocument/didChange")
+    rows = c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), method.alias("method"), (F.col("role") != "assistant").alias("request"))
+    with scratch(spark) as folder:
+        return _streamed(spark, folder, rows, "seq", timers.lifecycle)
