@@ -14,7 +14,7 @@ from factloom.plans import oracle
 from factloom.plans.queries import _targets, files_of, load, log_of, occurrences_of, replay_zip_compare, versions, with_roles_of
 from factloom.plans.store import FactStore
 from factloom.sources import tables, workspace
-from factloom.storage import shared_folder
+from factloom.storage import fixed, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -388,20 +388,18 @@ def index_by_symbol(spark, d):
 
 def _neighbours(occurrences: DataFrame, order: list[str], key: str) -> DataFrame:
     """Rows of a key, and pairs of rows that follow one another in the files of the index and ascend."""
-    import uuid
-
     have = [c for c in order if c in occurrences.columns]
-    path = f"{shared_folder(occurrences.sparkSession).rstrip('/')}/index-{uuid.uuid4().hex}"
-    facts.index(occurrences.select(*have), order).write.parquet(path)
-    stored = occurrences.sparkSession.read.parquet(path)
-    file = stored.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    before = Window.partitionBy("file").orderBy("row")
-    rows = file.withColumn("own", F.struct(*have)).withColumn("last", F.lag("own").over(before))
-    by = rows.groupBy(key, "file").agg(F.count("*").alias("n"), F.count_if((F.col(f"last.{key}") == F.col(key)) & (F.col("last") < F.col("own"))).alias("within"), F.min("own").alias("first"), F.max("own").alias("end"))
-    # A key that goes on in another file: its last row there must come before the first one here.
-    across = Window.partitionBy(key).orderBy("first")
-    by = by.withColumn("follows", (F.lag("end").over(across) < F.col("first")).cast("int"))
-    return by.groupBy(key).agg(F.sum("n").alias("n"), (F.sum("within") + F.coalesce(F.sum("follows"), F.lit(0))).cast("long").alias("ordered"))
+    with scratch(occurrences.sparkSession) as path:
+        facts.index(occurrences.select(*have), order).write.parquet(path)
+        stored = occurrences.sparkSession.read.parquet(path)
+        file = stored.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        before = Window.partitionBy("file").orderBy("row")
+        rows = file.withColumn("own", F.struct(*have)).withColumn("last", F.lag("own").over(before))
+        by = rows.groupBy(key, "file").agg(F.count("*").alias("n"), F.count_if((F.col(f"last.{key}") == F.col(key)) & (F.col("last") < F.col("own"))).alias("within"), F.min("own").alias("first"), F.max("own").alias("end"))
+        # A key that goes on in another file: its last row there must come before the first one here.
+        across = Window.partitionBy(key).orderBy("first")
+        by = by.withColumn("follows", (F.lag("end").over(across) < F.col("first")).cast("int"))
+        return fixed(by.groupBy(key).agg(F.sum("n").alias("n"), (F.sum("within") + F.coalesce(F.sum("follows"), F.lit(0))).cast("long").alias("ordered")))
 
 
 # ---- clocks, lanes, memos, stages
@@ -489,11 +487,11 @@ def cargo_members(spark, d):
 @query(f"WITH {oracle.DEF} SELECT scope_id, count(*) AS symbols, CAST(sum(uses) AS BIGINT) AS uses, true AS equal FROM def GROUP BY scope_id")
 def compaction_equivalence(spark, d):
     """Symbols written as a generation and compacted: what is read from either, and whether it is the same."""
-    import uuid
-
-    store = FactStore(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
     rows = tables.definitions(occurrences_of(spark, d)).select("scope_id", "symbol_id", "uses")
-    first = store.write({"symbols": rows})
-    before, after = store.read("symbols", first), store.read("symbols", store.compact())
     by = lambda t: t.groupBy("scope_id").agg(F.count("*").alias("symbols"), F.sum("uses").alias("uses"))
-    return by(before).alias("b").join(by(after).alias("a"), "scope_id").select("scope_id", "b.symbols", "b.uses", ((F.col("a.symbols") == F.col("b.symbols")) & (F.col("a.uses") == F.col("b.uses"))).alias("equal"))
+    with scratch(spark) as folder:
+        store = FactStore(spark, folder)
+        first = store.write({"symbols": rows})
+        before, after = store.read("symbols", first), store.read("symbols", store.compact())
+        same = (F.col("a.symbols") == F.col("b.symbols")) & (F.col("a.uses") == F.col("b.uses"))
+        return fixed(by(before).alias("b").join(by(after).alias("a"), "scope_id").select("scope_id", "b.symbols", "b.uses", same.alias("equal")))

@@ -48,6 +48,31 @@ def definitions_at_places(spark, d):
     return rows.groupBy(F.col("asked_in").alias("uri")).agg(F.count("*").alias("hits"), F.count_distinct("uri").alias("documents"), F.sum("line").alias("lines"), F.sum("start_char").alias("starts"), F.sum("uses").alias("uses"))
 
 
+# ---- segments
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS scope_id, count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1)
+SELECT scope_id, orders, customers, true AS fewer, true AS same, 1 AS damaged, true AS recovered FROM o""")
+def compacted_segments(spark, d):
+    """Orders in many small segments: compacted, one of the new segments damaged, found by itself, and recovered from."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("scope_id"), "o_custkey")
+    scopes = orders.select("scope_id").distinct()
+    count = lambda number: sum(len(t["segments"]) for t in store.manifest(number)["tables"].values())
+    with scratch(spark) as folder:
+        store = FactStore(spark, folder)
+        first = store.write({"scopes": scopes, "orders": orders.repartition(12, "id")})
+        second = store.compact(batch_bytes=4 * max(x["bytes"] for x in store.manifest(first)["tables"]["orders"]["segments"]))
+        before, after = store.manifest(first)["tables"]["orders"], store.manifest(second)["tables"]["orders"]
+        same = all(before[k] == after[k] for k in ("rows", "checksum", "columns"))
+        fewer = count(second) < count(first)
+        fixed_rows = fixed(store.read("orders", second).groupBy("scope_id").agg(F.count("*").alias("orders"), F.sum("o_custkey").alias("customers")))
+        victim = next(x for x in after["segments"] if x["path"].startswith(f"gen={second}/"))
+        store.fs.delete(store._path(f"{folder}/{victim['path']}"), False)
+        damaged = store.damaged(second)
+        recovered = store.recover() == first
+    return fixed_rows.select("scope_id", "orders", "customers", F.lit(fewer).alias("fewer"), F.lit(same).alias("same"), F.lit(len(damaged)).cast("long").alias("damaged"), F.lit(recovered).alias("recovered"))
+
+
 # ---- interchange
 
 

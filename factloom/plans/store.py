@@ -1,5 +1,10 @@
 """Versioned generations of fact tables. A generation is there as soon as its manifest is.
 
+A table of a generation is a list of segments: immutable files of bounded size, each with
+its rows and a checksum in the manifest. Compaction writes small segments together and
+takes the others over as they are, so several manifests may name one file; files go when
+no manifest names them. A damaged segment is found and set aside by itself.
+
 A manifest is written beside its place and renamed to it, once, and never changed;
 the newest one names the current generation, so there is no moment at which a
 reader finds none, and a crash leaves the last generation as it was. Writers take
@@ -20,12 +25,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from factloom.schema import BATCH_BYTES
+from factloom.schema import BATCH_BYTES, SEGMENT_BYTES
 
 DEPTH = 3
 #: Seconds after which a lease ends whose holder didn't give it back.
 LEASE_SECONDS = 6 * 3600
+#: Tables that say what a generation is; compaction takes them over as they are, behind all others.
+METADATA = ("scopes", "coverage", "provenance")
+
+
+MASK = (1 << 64) - 1
 
 
 class StoreError(Exception):
@@ -42,6 +53,11 @@ def row_hash(table: DataFrame) -> Column:
     return F.xxhash64(*values)
 
 
+def own_path() -> Column:
+    """The path of a row's file from the root of its store."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"^.*/(gen=[0-9]+/.*)$", 1)
+
+
 class FactStore:
     """Generations under ``root``: data in ``gen=N`` and one manifest each; the newest is the current one."""
 
@@ -137,36 +153,100 @@ class FactStore:
         used = [int(n.split("=")[1].split(".")[0]) for n in self._names() if n.startswith(("gen=", "quarantine="))]
         return max([*self.history(), *used, 0]) + 1
 
-    def write(self, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None, records_per_file: int = 0, notes: dict | None = None) -> int:
+    def write(self, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None = None, records_per_file: int = 0, notes: dict | None = None, segment_bytes: int = SEGMENT_BYTES) -> int:
         """Stage tables, check them as they were written, and publish them as a new generation.
 
         The writer holds the lease from the choice of its number on. If a gate fails the staged
-        data goes and the last generation stays. ``notes`` are kept in the manifest.
+        data goes and the last generation stays. ``notes`` are kept in the manifest. A table whose
+        files are larger than ``segment_bytes`` is written again with fewer records a file; a record
+        that is larger by itself is an error.
         """
         with self.lease():
-            return self._staged(self._next(), tables, gates, records_per_file, notes)
-
-    def _staged(self, number: int, tables: dict[str, DataFrame], gates: Callable[[dict[str, DataFrame]], DataFrame] | None, records_per_file: int, notes: dict | None = None) -> int:
+            number = self._next()
+
+            def fill(place: str) -> dict:
+                for name, table in tables.items():
+                    self._bounded(table, f"{place}/{name}", records_per_file, segment_bytes)
+                made = {name: self._described(self.spark.read.parquet(f"{place}/{name}"), f"gen={number}/{name}") for name in tables}
+                if gates:
+                    broken = gates({name: self._table(d) for name, d in made.items()}).where("violations > 0").collect()
+                    if broken:
+                        raise StoreError(f"gates failed: {sorted(r.gate for r in broken)}")
+                return made
+
+            return self._staged(number, fill, notes)
+
+    def _staged(self, number: int, fill: Callable[[str], dict], notes: dict | None = None) -> int:
+        """Publish what ``fill`` writes into a generation's place and describes; nothing stays if it fails."""
         place = f"{self.root}/gen={number}"
         try:
-            for name, table in tables.items():
-                writer = table.write.mode("errorifexists")
-                (writer.option("maxRecordsPerFile", records_per_file) if records_per_file else writer).parquet(f"{place}/{name}")
-            staged = {name: self.spark.read.parquet(f"{place}/{name}") for name in tables}
-            broken = gates(staged).where("violations > 0").collect() if gates else []
-            if broken:
-                raise StoreError(f"gates failed: {sorted(r.gate for r in broken)}")
-            manifest = {"generation": number, "at": int(time.time()), "tables": {n: self._summary(t) for n, t in staged.items()}, "notes": notes or {}}
-            self._write(f"manifest-{number}.json", json.dumps(manifest, sort_keys=True))
+            manifest = {"generation": number, "at": int(time.time()), "tables": fill(place), "notes": notes or {}}
+            self._write(f"manifest-{number}.json", json.dumps(manifest))
         except BaseException:
             self.fs.delete(self._path(place), True)
             raise
         return number
 
-    def _summary(self, table: DataFrame) -> dict:
+    def _bounded(self, table: DataFrame, place: str, records: int, most: int) -> None:
+        while True:
+            writer = table.write.mode("errorifexists")
+            (writer.option("maxRecordsPerFile", records) if records else writer).parquet(place)
+            large = {f"{place}/{n}": size for n, size in self._files(place).items() if size > most}
+            if not large:
+                return
+            rows = {r.f: r.n for r in self.spark.read.parquet(*large).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()}
+            fewer = min(max(1, rows[p.rsplit("/", 1)[1]] * most * 8 // (size * 10)) for p, size in large.items())
+            if any(rows[p.rsplit("/", 1)[1]] == 1 for p in large) or records == 1:
+                raise StoreError(f"a record of {place.rsplit('/', 1)[1]} is larger than a segment's {most} bytes")
+            self.fs.delete(self._path(place), True)
+            records = min(fewer, records - 1) if records else fewer
+
+    def _files(self, place: str) -> dict[str, int]:
+        """The data files below a place: path from there, and size."""
+        if not self.fs.exists(self._path(place)):
+            return {}
+        found, listing = {}, self.fs.listFiles(self._path(place), True)
+        head = self.fs.makeQualified(self._path(place)).toString().rstrip("/") + "/"
+        while listing.hasNext():
+            f = listing.next()
+            name = f.getPath().toString().removeprefix(head)
+            if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+                found[name] = f.getLen()
+        return found
+
+    @staticmethod
+    def _sums(table: DataFrame, *by) -> DataFrame:
         """Row count, and the sum and the exclusive or of 64-bit hashes of rows: neither depends on order or files."""
-        r = table.select(row_hash(table).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x")).first()
-        return {"rows": r.n, "checksum": f"{int(r.s)}:{r.x & (1 << 64) - 1:016x}", "columns": sorted(table.columns)}
+        hashed = table.select(row_hash(table).alias("h"), *by)
+        return hashed.groupBy(*["file" for _ in by]).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"))
+
+    def _segments(self, table: DataFrame) -> dict[str, tuple[int, int, int]]:
+        """By path from the root: rows, sum and exclusive or. As many rows as files come to the driver."""
+        return {r.file: (r.n, int(r.s), r.x & MASK) for r in self._sums(table, own_path().alias("file")).collect()}
+
+    def _described(self, table: DataFrame, place: str) -> dict:
+        """What a manifest says of a table whose files lie below ``place``."""
+        sums = self._segments(table)
+        segments = [{"path": f"{place}/{name}", "bytes": size, "sums": sums.get(f"{place}/{name}", (0, 0, 0))} for name, size in sorted(self._files(f"{self.root}/{place}").items())]
+        return self._total(segments, table.schema)
+
+    @staticmethod
+    def _total(segments: list[dict], schema: StructType) -> dict:
+        rows, sum_, xor = 0, 0, 0
+        for x in segments:
+            n, s, h = x["sums"]
+            rows, sum_, xor = rows + n, sum_ + s, xor ^ h
+        return {"rows": rows, "checksum": f"{sum_}:{xor:016x}", "columns": sorted(schema.names), "schema": schema.json(), "segments": segments}
+
+    def _summary(self, table: DataFrame) -> dict:
+        """Rows, checksum and columns of any table."""
+        r = self._sums(table).first()
+        return {"rows": r.n, "checksum": f"{int(r.s)}:{r.x & MASK:016x}", "columns": sorted(table.columns)}
+
+    def _table(self, described: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(described["schema"]))
+        paths = [f"{self.root}/{x['path']}" for x in described["segments"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def manifest(self, number: int) -> dict:
         text = self._read(f"manifest-{number}.json")
@@ -190,47 +270,92 @@ class FactStore:
         number = self.current() if number is None else number
         if number is None:
             raise StoreError("nothing is published")
-        manifest = self.manifest(number)
-        table = self.spark.read.parquet(f"{self.root}/gen={number}/{name}")
-        if verify and self._summary(table) != manifest["tables"][name]:
+        described = self.manifest(number)["tables"][name]
+        table = self._table(described)
+        if verify and self._summary(table) != {k: described[k] for k in ("rows", "checksum", "columns")}:
             raise StoreError(f"{name} of generation {number} is not what was published")
         return table
 
+    def damaged(self, number: int) -> list[str]:
+        """Paths of a generation's segments that aren't what was published, or gone, and of files in its place that no manifest names.
+
+        Damage in one file doesn't hide what is wrong with others.
+        """
+        wrong = []
+        for described in self.manifest(number)["tables"].values():
+            there = [x for x in described["segments"] if self._length(x["path"]) == x["bytes"]]
+            wrong += [x["path"] for x in described["segments"] if x not in there]
+            if not there:
+                continue
+            schema = StructType.fromJson(json.loads(described["schema"]))
+            table = self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*[f"{self.root}/{x['path']}" for x in there])
+            now = self._segments(table)
+            wrong += [x["path"] for x in there if now.get(x["path"], (0, 0, 0)) != tuple(x["sums"])]
+        named = self._named()
+        return wrong + [p for p in (f"gen={number}/{f}" for f in self._files(f"{self.root}/gen={number}")) if p not in named]
+
+    def _length(self, path: str) -> int | None:
+        place = self._path(f"{self.root}/{path}")
+        return self.fs.getFileStatus(place).getLen() if self.fs.exists(place) else None
+
+    def _named(self, but: int | None = None) -> set[str]:
+        """All files that published manifests name."""
+        return {x["path"] for n in self.history() if n != but for t in self.manifest(n)["tables"].values() for x in t["segments"]}
+
     def verified(self, number: int) -> bool:
         try:
-            for name in self.manifest(number)["tables"]:
-                self.read(name, number, verify=True)
-        except Exception as e:
-            if isinstance(e, StoreError) or "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or isinstance(e, (ValueError, KeyError)) or "FAILED_READ_FILE" in str(e) or "is not a Parquet file" in str(e):
-                return False
-            raise
-        return True
+            return not self.damaged(number)
+        except (StoreError, ValueError, KeyError):  # a manifest that can't be read
+            return False
 
     def recover(self) -> int | None:
-        """Make the newest generation that verifies in full the current one; broken ones are set aside."""
+        """Make the newest generation that verifies in full the current one.
+
+        Of a broken one only the damaged segments are set aside; those that are sound may be named
+        by others, and are reclaimed if not.
+        """
         for number in self.history():
-            if self.verified(number):
+            try:
+                wrong = self.damaged(number)
+            except (StoreError, ValueError, KeyError):
+                wrong = None
+            if wrong == []:
                 return number
-            self.quarantine(number)
+            self.quarantine(number, wrong)
         return None
 
-    def quarantine(self, number: int) -> None:
-        """Take a generation back: its manifest goes first, so that no reader begins on it."""
+    def quarantine(self, number: int, paths: list[str] | None = None) -> None:
+        """Take a generation back: its manifest goes first, so that no reader begins on it; then the paths, or all its own files, are set aside."""
         self.fs.delete(self._path(f"{self.root}/manifest-{number}.json"), False)
-        self.fs.rename(self._path(f"{self.root}/gen={number}"), self._path(f"{self.root}/quarantine={number}"))
+        own = [f"gen={number}/{f}" for f in self._files(f"{self.root}/gen={number}")]
+        named = set() if paths else self._named()
+        for path in own if paths is None else paths:
+            source, target = self._path(f"{self.root}/{path}"), self._path(f"{self.root}/quarantine={number}/{path.replace('/', '__')}")
+            if path not in named and self.fs.exists(source):
+                self.fs.mkdirs(target.getParent())
+                self.fs.rename(source, target)
+
+    def _unnamed(self, folder: str, named: set[str]) -> bool:
+        """Delete what no manifest names below a generation's folder; whether anything was deleted."""
+        files = [f"{folder}/{f}" for f in self._files(f"{self.root}/{folder}")]
+        stale = [f for f in files if f not in named]
+        if len(stale) == len(files):
+            return self.fs.delete(self._path(f"{self.root}/{folder}"), True)
+        for f in stale:
+            self.fs.delete(self._path(f"{self.root}/{f}"), False)
+        return bool(stale)
 
     def reclaim(self, quarantine_share: float = 0.25) -> list[str]:
         """Delete staged data without a manifest, and the oldest quarantined data beyond its share of all bytes."""
-        kept = {f"gen={n}" for n in self.history()}
-        gone = [n for n in self._names() if n.startswith("gen=") and n not in kept]
+        kept, named = {f"gen={n}" for n in self.history()}, self._named()
+        gone = [n for n in self._names() if n.startswith("gen=") and n not in kept and self._unnamed(n, named)]
         size = lambda n: self.fs.getContentSummary(self._path(f"{self.root}/{n}")).getLength()
         budget = quarantine_share * sum(size(n) for n in kept)
         for n in sorted((n for n in self._names() if n.startswith("quarantine=")), key=lambda n: -int(n.split("=")[1])):
             budget -= size(n)
             if budget < 0:
                 gone.append(n)
-        for n in gone:
-            self.fs.delete(self._path(f"{self.root}/{n}"), True)
+                self.fs.delete(self._path(f"{self.root}/{n}"), True)
         return sorted(gone)
 
     def prune(self, depth: int = DEPTH) -> list[int]:
@@ -239,27 +364,59 @@ class FactStore:
         gone = [n for n in self.history()[max(1, depth) :] if n not in held]
         for n in gone:
             self.fs.delete(self._path(f"{self.root}/manifest-{n}.json"), False)
-            self.fs.delete(self._path(f"{self.root}/gen={n}"), True)
+        named = self._named()
+        for folder in self._names():
+            if folder.startswith("gen=") and int(folder[4:]) in gone:
+                self._unnamed(folder, named)
         return gone
 
     def bytes_used(self, number: int) -> int:
-        return self.fs.getContentSummary(self._path(f"{self.root}/gen={number}")).getLength()
+        return sum(x["bytes"] for t in self.manifest(number)["tables"].values() for x in t["segments"])
 
-    def compact(self, batch_bytes: int = BATCH_BYTES) -> int:
-        """Write the current generation again in files of about ``batch_bytes``, never more of them than before.
+    def compact(self, batch_bytes: int = BATCH_BYTES, verbatim: tuple[str, ...] = METADATA) -> int:
+        """Publish the current generation with its small segments written together.
 
-        The records of each table are the same afterwards, or nothing is published.
+        Segments of a table are put together in their order while they have no more than
+        ``batch_bytes``; those that have more, stand alone or are of the tables ``verbatim`` are taken over as they are, and
+        these tables stand last. There are never more segments than before, and each new one has
+        the rows of those it is made of, or nothing is published.
         """
         number = self.current()
+        if number is None:
+            raise StoreError("nothing is published")
         before = self.manifest(number)["tables"]
-        tables = {}
-        for name in before:
-            table = self.read(name, number)
-            size = self.fs.getContentSummary(self._path(f"{self.root}/gen={number}/{name}")).getLength()
-            files = len(table.inputFiles())
-            tables[name] = table.coalesce(max(1, min(files, -(-size // batch_bytes))))
-        after = self.write(tables)
-        if self.manifest(after)["tables"] != before:
-            self.quarantine(after)
-            raise StoreError("compaction changed the records")
-        return after
+        order = [n for n in before if n not in verbatim] + [n for n in before if n in verbatim]
+        with self.lease():
+            after = self._next()
+            return self._staged(after, lambda place: {name: before[name] if name in verbatim else self._merged(before[name], f"gen={after}/{name}", batch_bytes) for name in order}, self.manifest(number).get("notes"))
+
+    def _merged(self, described: dict, place: str, batch_bytes: int) -> dict:
+        groups: list[list[dict]] = []
+        for x in described["segments"]:
+            if groups and sum(y["bytes"] for y in groups[-1]) + x["bytes"] <= batch_bytes:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        many = [g for g in groups if len(g) > 1]
+        if not many:
+            return described
+        schema = StructType.fromJson(json.loads(described["schema"]))
+        of = self.spark.createDataFrame([(x["path"], i) for i, g in enumerate(many) for x in g], "file string, segment int")
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{x['path']}" for g in many for x in g]).select("*", own_path().alias("file"))
+        # One file for each group; the names of files are a small table.
+        rows.join(F.broadcast(of), "file").drop("file").repartition(len(many), "segment").write.partitionBy("segment").parquet(f"{self.root}/{place}")
+        files = {int(n.split("/")[0].split("=")[1]): (n, size) for n, size in self._files(f"{self.root}/{place}").items()}
+        written = self._segments(self.spark.read.schema(schema).parquet(*[f"{self.root}/{place}/{n}" for n, _ in files.values()])) if files else {}
+        made = []
+        for g in groups:
+            if len(g) == 1:
+                made.append(g[0])
+                continue
+            expected = self._total(g, schema)
+            name, size = files.get(many.index(g), (None, 0))
+            new = {"path": f"{place}/{name}", "bytes": size, "sums": written.get(f"{place}/{name}", (0, 0, 0))}
+            if self._total([new], schema)["checksum"] != expected["checksum"] or new["sums"][0] != expected["rows"]:
+                raise StoreError(f"compaction changed the records of {place}")
+            if name:
+                made.append(new)
+        return self._total(made, schema)
