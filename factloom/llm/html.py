@@ -36,6 +36,10 @@ STRUCTURE = 0.5
 #: Bounds of a word's score, and the score under which a block is not content even inside the region.
 WORST, BEST, FOREIGN = -4.0, 4.0, -1.0
 
+#: Words of a block of prose, and of all prose that a page needs for some of its elements to be around the whole page; and the
+#: shares of its prose and of its unlinked words that these enclose.
+PROSE_WORDS, LEAST_PROSE, WIDE_PROSE, WIDE_PLAIN = 15, 100, 0.9, 0.8
+
 # Quantifiers are possessive, so text that only looks like a tag costs no backtracking.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:{FOREIGN_ELEMENTS})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>|<(?P<raw>{UNSEEN})(?=[\s/>])[^>]*+>|<(?P<tag>/?[a-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|<[a-z][^<>]*+(?:>|\Z)",
@@ -70,10 +74,16 @@ def tokens(page: str):
 
 
 class Block:
-    __slots__ = ("parts", "words", "linked", "cues", "tags")
+    """``around`` are the elements that enclose it: the number of each in the page, and its cues."""
+
+    __slots__ = ("parts", "words", "linked", "around", "tags")
+
+    def __init__(self, around: tuple, tags: Counter):
+        self.parts, self.words, self.linked, self.around, self.tags = [], 0, 0, around, tags
 
-    def __init__(self, cues: frozenset, tags: Counter):
-        self.parts, self.words, self.linked, self.cues, self.tags = [], 0, 0, cues, tags
+    def cues(self, wide: frozenset = frozenset()) -> set[str]:
+        """What encloses the block says of it; of elements around the whole page only their names count."""
+        return {c for number, cues in self.around for c in cues if number not in wide or c[0] == "<"}
 
 
 def cues_of(name: str, rest: str) -> tuple[str, ...]:
@@ -89,14 +99,14 @@ def cues_of(name: str, rest: str) -> tuple[str, ...]:
 
 def blocks_of(page: str):
     """The blocks of a page in order, with what encloses them and the tags before them."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     tags: Counter = Counter()
-    block, links, at = None, 0, 0
+    block, links, at, elements = None, 0, 0, 0
     for start, end, m in [*tokens(page), (len(page), len(page), None)]:
         text, at = page[at:start], end
         if text and not text.isspace():
             if block is None:
-                block = Block(frozenset(c for _, cues in stack for c in cues), tags)
+                block = Block(tuple((number, cues) for _, cues, number in stack if cues), tags)
                 tags = Counter()
             n = len(text.split())
             block.words += n
@@ -114,18 +124,19 @@ def blocks_of(page: str):
             block.parts.append(" ")
         tags[name] += 1
         if close:
-            if any(x == name for x, _ in stack):
+            if any(x == name for x, *_ in stack):
                 while True:
-                    x, _ = stack.pop()
+                    x = stack.pop()[0]
                     links -= x == "a"
                     if x == name:
                         break
         elif name not in VOID and not m["rest"].rstrip().endswith("/"):
-            while stack and (stack[-1][0] == name and name in ENDED_BY_SELF or name in BLOCKS and any(x in ENDED_BY_BLOCK for x, _ in stack[-3:]) and stack[-1][0] not in BLOCKS - ENDED_BY_BLOCK):
+            while stack and (stack[-1][0] == name and name in ENDED_BY_SELF or name in BLOCKS and any(x in ENDED_BY_BLOCK for x, *_ in stack[-3:]) and stack[-1][0] not in BLOCKS - ENDED_BY_BLOCK):
                 links -= stack.pop()[0] == "a"
             # The heading part of an article is content, that of a page is not.
-            heading = name == "header" and any(x in ("article", "main") for x, _ in stack)
-            stack.append((name, cues_of("section" if heading else name, m["rest"])))
+            heading = name == "header" and any(x in ("article", "main") for x, *_ in stack)
+            elements += 1
+            stack.append((name, cues_of("section" if heading else name, m["rest"]), elements))
             links += name == "a"
     if block is not None:
         yield block
@@ -141,7 +152,7 @@ class Weights:
                 content = "".join(b.parts).lstrip()[0] == "c"
                 words[content] += b.words
                 tag[content].update(b.tags)
-                for c in b.cues:
+                for c in b.cues():
                     cue[content][c] += b.words
                 cue[content]["linked"] += b.linked
         share = words[True] / words[False]
@@ -153,9 +164,25 @@ class Weights:
         self.other_tag = -max(0.1, math.log(tag[False].total() / total[False] / (tag[True].total() / total[True])))
         self.tag = {t: min(-0.05, math.log((tag[True][t] + 1) / total[True] / ((tag[False][t] + 1) / total[False]))) for t in {*tag[True], *tag[False]}}
 
-    def enclosed(self, block: Block) -> float:
+    def enclosed(self, block: Block, wide: frozenset = frozenset()) -> float:
         linked = block.linked / block.words
-        return sum(self.cue.get(c, 0.0) for c in block.cues) + linked * self.cue["linked"]
+        return sum(self.cue.get(c, 0.0) for c in block.cues(wide)) + linked * self.cue["linked"]
+
+
+def page_wide(blocks: list[Block]) -> frozenset:
+    """The elements around nearly all prose of a page: what they are called can't tell its parts from one another."""
+    prose, plain = Counter(), Counter()
+    all_prose = all_plain = 0
+    for b in blocks:
+        own = b.words - b.linked
+        whole = b.words if b.words >= PROSE_WORDS and 2 * b.linked < b.words else 0
+        all_plain, all_prose = all_plain + own, all_prose + whole
+        for number, _ in b.around:
+            plain[number] += own
+            prose[number] += whole
+    if all_prose < LEAST_PROSE:
+        return frozenset()
+    return frozenset(n for n in prose if prose[n] >= WIDE_PROSE * all_prose and plain[n] >= WIDE_PLAIN * all_plain)
 
 
 @kept("html", 1)
@@ -163,10 +190,12 @@ def weights() -> Weights:
     return Weights(labelled_pages())
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, w: Weights | None = None) -> str:
     """The blocks of the best region, without foreign ones in it, one a line; empty if nothing scores."""
-    w = weights()
-    blocks = [(b, w.enclosed(b)) for b in blocks_of(page)]
+    w = w or weights()
+    found = list(blocks_of(page))
+    wide = page_wide(found)
+    blocks = [(b, w.enclosed(b, wide)) for b in found]
     best, span, total, begin = 0.0, None, 0.0, 0
     for i, (b, enclosed) in enumerate(blocks):
         total += sum(n * w.tag.get(t, w.other_tag) for t, n in b.tags.items())
@@ -191,11 +220,13 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     without main text, give an empty text. Each page is read whole and alone; repeated rows stay.
     """
     keep = keep if keep is not None else [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    # A few hundred numbers, learned once.
+    learned = pages.sparkSession.sparkContext.broadcast(weights())
 
     def run(batches):
         make_room("html")
         for batch in batches:
-            texts = [main_text(x) if x else "" for x in batch.column(0).to_pylist()]
+            texts = [main_text(x, learned.value) if x else "" for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
     rows = pages.select(F.col(f"`{html_col}`").alias("page html"), *[F.col(f"`{c}`") for c in keep])

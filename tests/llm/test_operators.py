@@ -356,6 +356,22 @@ def test_unseen_elements_end_where_they_end(between):
     assert html.main_text(twice) == html.main_text(page) or "<svg>" in between
 
 
+@pytest.mark.parametrize("around", [
+    '<article class="review">{}</article>', '<nav><a href="/">Home</a></nav><div class="message">{}</div>', '<div class="research-search">{}</div><footer>All rights reserved</footer>',
+    '<div class="page comments-open has-sidebar"><div class="entry">{}</div></div>', '<div id="popup"><div class="modal"><main>{}</main></div></div>',
+])
+def test_what_is_around_the_whole_page_says_nothing(around):
+    paragraphs = [" ".join(f"word{k}of{i}" for i in range(48)) for k in range(3)]
+    page = "<html><body class='single ads sidebar'>" + around.format("".join(f"<p>{p}</p>" for p in paragraphs)) + "</body></html>"
+    assert html.main_text(page) == "\n".join(paragraphs)
+
+
+def test_what_is_around_some_prose_still_counts():
+    article, talk = ([" ".join(f"{letter}{k}of{i}" for i in range(48)) for k in range(3)] for letter in "at")
+    page = f"<body><div class='entry'>{''.join(f'<p>{p}</p>' for p in article)}</div><div class='comments'>{''.join(f'<p>{p}</p>' for p in talk)}</div></body>"
+    assert html.main_text(page) == "\n".join(article)
+
+
 def test_formulas_stay_in_their_sentence():
     words = "with as many words as a paragraph of an article has"
     page = f"<article><h1>Title {words}</h1><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is the value {words}</p><p>three {words}</p></article>"
