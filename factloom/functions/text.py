@@ -221,9 +221,9 @@ def inside(path: Column, root: Column) -> Column:
 
 
 def scip_range(values: Column) -> Column:
-    """A range of three numbers (one line) or four."""
+    """A range of three numbers (one line) or four; of fewer, those that are missing are null."""
     three = F.size(values) == 3
-    at = lambda i: F.element_at(values, i).cast("long")
+    at = lambda i: F.try_element_at(values, F.lit(i)).cast("long")
     return F.struct(at(1).alias("start_line"), at(2).alias("start_char"), F.when(three, at(1)).otherwise(at(3)).alias("end_line"), F.when(three, at(3)).otherwise(at(4)).alias("end_char"))
 
 

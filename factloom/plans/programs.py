@@ -11,7 +11,7 @@ from factloom.functions.text import utf16_width
 from factloom.plans import memo, oracle
 from factloom.plans.queries import files_of, index_of
 from factloom.plans.store import FactStore
-from factloom.sources import extract, scip, strict, tables
+from factloom.sources import extract, interop, scip, strict, tables
 from factloom.storage import fixed, scratch
 from factloom.streaming import operators, timers
 
@@ -99,6 +99,25 @@ def scip_binary_roundtrip(spark, d):
         return fixed(out.crossJoin(F.broadcast(faults)).crossJoin(F.broadcast(states)))
 
 
+@query(f"""WITH {oracle.DEF} SELECT uri, count(*) AS n, count(*) FILTER (role = 'definition') AS definitions, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(end_char) AS BIGINT) AS ends, max(scope_id || '/' || symbol_id) AS last_symbol, 0 AS faults FROM roles GROUP BY uri""")
+def scip_to_lsif_facts(spark, d):
+    """All facts as binary index files, these as the lines of a dump, and what the dump's reader makes of them."""
+    root = "doc:///"
+    index = index_of(spark, d)
+    files = files_of(spark, d)
+    occ = index.occurrences().withColumn("symbol_id", F.concat_ws("/", "scope_id", "symbol_id")).withColumn("end_line", F.col("line"))
+    named = tables.symbols(index.definitions).select(F.concat_ws("/", "scope_id", "id").alias("id"), "name", "kind", "signature")
+    with scratch(spark) as folder:
+        scip.write_scip(scip.documents_of(occ, named, spark.createDataFrame([], "`from` string, `to` string, kind string"), files, root), f"{folder}/scip", root)
+        dump, _ = scip.scip_to_lsif(fixed(scip.read_scip(spark, f"{folder}/scip")), root)
+        dump.select("json").write.text(f"{folder}/lsif")
+        elements = interop.read_lsif(spark, f"{folder}/lsif")
+        back = fixed(interop.lsif_occurrences(elements))
+        faults = interop.lsif_faults(elements, files).agg(F.count("*").alias("faults"))
+        shown = back.groupBy("uri").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "definition").alias("definitions"), F.sum("line").alias("lines"), F.sum("end_char").alias("ends"), F.max("symbol_id").alias("last_symbol"))
+        return fixed(shown.crossJoin(F.broadcast(faults)))
+
+
 # ---- extractors
 
 
