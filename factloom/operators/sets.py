@@ -67,3 +67,13 @@ def current_diagnostics(diagnostics: DataFrame, documents: DataFrame) -> DataFra
 def overdue(requests: DataFrame, deadline_ms: float) -> DataFrame:
     """Requests that took longer than allowed."""
     return requests.where(F.col("latency_ms") > deadline_ms)
+
+
+def once_by_digest(files: DataFrame, compute, digest: str = "sha256") -> DataFrame:
+    """Facts of files (uri, digest and what ``compute`` reads), computed once for each digest and given to every file that has it.
+
+    ``compute`` takes the files that stand for their digests and returns rows with the digest; a file without one has no facts.
+    Those with the smallest uri stand for it, so texts are not moved to find them.
+    """
+    chosen = files.groupBy(digest).agg(F.min("uri").alias("uri")).select("uri")
+    return files.select("uri", digest).join(compute(files.join(chosen, "uri", "left_semi")), digest)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import utf16_width
+from factloom.operators import gates, sets
 from factloom.plans import memo, oracle
-from factloom.plans.queries import files_of, index_of
+from factloom.plans.queries import files_of, index_of, versions
 from factloom.plans.store import FactStore
 from factloom.sources import extract, interop, scip, strict, tables
 from factloom.storage import fixed, scratch
@@ -48,6 +49,36 @@ def definitions_at_places(spark, d):
     return rows.groupBy(F.col("asked_in").alias("uri")).agg(F.count("*").alias("hits"), F.count_distinct("uri").alias("documents"), F.sum("line").alias("lines"), F.sum("start_char").alias("starts"), F.sum("uses").alias("uses"))
 
 
+@query(f"""WITH {oracle.FILES}, w AS (SELECT sha256, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS words, count(*) OVER (PARTITION BY sha256) AS files, uri FROM files)
+SELECT uri, CAST(words AS BIGINT) AS words, (SELECT count(DISTINCT sha256) FROM files) AS computed FROM w""")
+def shared_facts(spark, d):
+    """Word counts computed once for each distinct text and given to all files that have it; how many were computed."""
+    files = files_of(spark, d)
+    with scratch(spark) as folder:
+        files.select("uri", "sha256", "text").write.parquet(folder)
+        count = lambda rows: rows.select("sha256", F.size(F.filter(F.split("text", " ", -1), lambda x: x != "")).cast("long").alias("words"))
+        own = spark.read.parquet(folder)
+        made = own.join(own.groupBy("sha256").agg(F.min("uri").alias("uri")).select("uri"), "uri", "left_semi").agg(F.count("*").alias("computed"))
+        return fixed(sets.once_by_digest(own, count).select("uri", "words").crossJoin(F.broadcast(made)))
+
+
+@query(f"""WITH {oracle.DEF}, changed AS (SELECT count(*) AS n FROM files WHERE language IN ('de', 'fr'))
+SELECT 'unchanged' AS "case", 'exact' AS status, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM def
+UNION ALL SELECT 'changed', CASE WHEN changed.n > 0 THEN 'unknown' ELSE 'exact' END, CASE WHEN changed.n > 0 THEN 'changed_meanwhile' END, CASE WHEN changed.n > 0 THEN 1 ELSE (SELECT count(*) FROM def) END FROM changed""")
+def rechecked_definitions(spark, d):
+    """All definitions of the stored index, held a second time against the files: as they were, and after some moved and some changed."""
+    index = index_of(spark, d)
+    before, after = versions(spark, d)
+    prints = lambda v: v.select("path", F.col("sha256").alias("fingerprint"))
+    answer = index.places_of_definitions().select(F.lit("exact").alias("status"), F.lit("complete").alias("completeness"), F.lit(None).cast("string").alias("reason"), "uri", "line")
+    out = None
+    for case, now in (("unchanged", before), ("changed", after)):
+        seen = gates.rechecked(answer, gates.fingerprint_changed(prints(before), prints(now), ["path"]))
+        rows = seen.groupBy("status", "reason").agg(F.count("*").alias("n")).select(F.lit(case).alias("case"), "status", "reason", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- segments
 
 

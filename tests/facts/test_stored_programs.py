@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, intervals
+from factloom.operators import facts, intervals, sets
 from factloom.plans import index, memo
 from factloom.plans.store import FactStore, StoreError
 from factloom.sources import extract, tables
@@ -203,6 +203,20 @@ def test_what_an_extractor_may_not_do(spark):
         extract.Extractors(spark).export(files(spark, []))
 
 
+def test_once_by_digest(spark):
+    files = spark.createDataFrame([("a", "x", "t"), ("b", "x", "t"), ("c", "y", None), ("d", None, "u")], "uri string, sha256 string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    own = F.udf(count, "string")
+    out = sets.once_by_digest(files, lambda rows: rows.select("sha256", own("text").alias("text")))
+    assert sorted((r.uri, r.text) for r in out.collect()) == [("a", "t"), ("b", "t"), ("c", None)]
+    assert seen.value <= 3
+
+
 def test_scratch_is_deleted(spark):
     with scratch(spark) as folder:
         spark.range(3).write.parquet(folder)
