@@ -43,10 +43,12 @@ def relations(documents: DataFrame, folder: str) -> dict[str, DataFrame]:
     """The tables of the index; ``folder`` takes what is read several times."""
     spark = documents.sparkSession
     files = tables.files(documents)
-    place = F.struct("line", "start_char", "end_char", "token")
-    by_document = tables.occurrences(files).groupBy("scope_id", "symbol_id", "doc_id", "uri", "language").agg(F.sort_array(F.collect_list(place)).alias("p"))
-    cut = F.transform("p", lambda x: F.struct(x["line"].alias("line"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char")))
-    by_document.select("scope_id", "symbol_id", "doc_id", "uri", "language", F.col("p")[0]["token"].alias("token"), cut.alias("places")).write.parquet(f"{folder}/postings")
+    # Words are put together as numbers: what a document's key tells is added afterwards.
+    packed = tables.occurrences(files).select("scope_id", "symbol_id", "doc_id", "language", "token", (F.col("line") * 2**32 + F.col("start_char")).alias("p"), (F.col("end_char") - F.col("start_char")).alias("w"))
+    by_document = packed.groupBy("scope_id", "symbol_id", "doc_id", "language").agg(F.collect_list("p").alias("p"), F.collect_list("w").alias("w"), F.min_by("token", "p").alias("token"))
+    start = lambda x: x["p"].bitwiseAND(F.lit(2**32 - 1))
+    places = F.transform(F.sort_array(F.arrays_zip("p", "w")), lambda x: F.struct(F.shiftright(x["p"], 32).alias("line"), start(x).alias("start_char"), (start(x) + x["w"]).alias("end_char")))
+    by_document.select("scope_id", "symbol_id", "doc_id", tables.uri_of(F.col("scope_id"), F.col("doc_id")).alias("uri"), "language", "token", places.alias("places")).write.parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     first = F.min(F.struct("doc_id", F.col("places")[0].alias("place"), "uri", "token", "language")).alias("d")
     found = postings.groupBy("scope_id", "symbol_id").agg(first, F.sum(F.size("places").cast("long")).alias("uses"))

@@ -26,11 +26,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def uri_of(scope: Column, doc_id: Column) -> Column:
+    return F.concat(F.lit("doc:///"), scope, F.lit("/"), doc_id.cast("string"))
+
+
 def files(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return documents.select(
         "doc_id",
-        F.concat(F.lit("doc:///"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("uri"),
+        uri_of(F.col("source"), F.col("doc_id")).alias("uri"),
         F.col("source").alias("scope_id"),
         F.col("lang").alias("language"),
         F.octet_length(text).cast("long").alias("size"),
