@@ -25,7 +25,8 @@ from factloom.storage import scratch, shared_folder
 
 #: Seconds between looks while another session builds the same index, and looks until this one gives up.
 WAIT_SECONDS, LOOKS = 5, 720
-PLACE = "struct<line:bigint,start_char:bigint,end_char:bigint>"
+#: To be raised whenever the tables of the index or of the store change: indexes of another form are never read.
+FORM = 2
 
 
 def state_of(spark: SparkSession, path: str) -> str:
@@ -165,7 +166,7 @@ def stored_index(spark: SparkSession, path: str, root: str | None = None) -> Fac
     this one, its index is waited for.
     """
     name = hashlib.sha256(path.encode()).hexdigest()[:16]
-    store = FactStore(spark, f"{(root or shared_folder(spark)).rstrip('/')}/fact-index-{name}")
+    store = FactStore(spark, f"{(root or shared_folder(spark)).rstrip('/')}/fact-index-{FORM}-{name}")
     for _ in range(LOOKS):
         state, number = state_of(spark, path), store.current()
         if number is not None and store.manifest(number).get("notes", {}).get("state") == state:

@@ -90,7 +90,7 @@ def test_two_sessions_do_not_build_at_once(spark, tmp_path, monkeypatch):
     path = put(spark, str(tmp_path / "documents.parquet"))
     root = str(tmp_path / "store")
     name = index.hashlib.sha256(path.encode()).hexdigest()[:16]
-    with FactStore(spark, f"{root}/fact-index-{name}").lease(), pytest.raises(StoreError, match="another session"):
+    with FactStore(spark, f"{root}/fact-index-{index.FORM}-{name}").lease(), pytest.raises(StoreError, match="another session"):
         index.stored_index(spark, path, root)
     assert index.stored_index(spark, path, root).number == 1
 
