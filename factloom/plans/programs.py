@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.functions.text import utf16_width
 from factloom.operators import gates, sets
@@ -14,7 +16,7 @@ from factloom.plans.queries import files_of, index_of, versions
 from factloom.plans.store import FactStore
 from factloom.sources import extract, interop, scip, strict, tables
 from factloom.storage import fixed, scratch
-from factloom.streaming import operators, timers
+from factloom.streaming import operators, player, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -343,3 +345,42 @@ def session_lifecycle(spark, d):
     rows = c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), method.alias("method"), (F.col("role") != "assistant").alias("request"))
     with scratch(spark) as folder:
         return _streamed(spark, folder, rows, "seq", timers.lifecycle)
+
+
+# ---- recordings, played
+
+
+def _running_words(stream: DataFrame) -> DataFrame:
+    """A session's words so far, after each input."""
+
+    def fold(key, frames, state: GroupState):
+        total, out = state.get[0] if state.exists else 0, []
+        rows = [f for f in frames if len(f)]
+        for seq, words in pd.concat(rows).sort_values("seq")[["seq", "words"]].itertuples(index=False) if rows else []:
+            total += int(words)
+            out.append((key[0], int(seq), 0, f'{{"total": {total}, "timestamp": {seq}}}'))
+        state.update((total,))
+        yield pd.DataFrame(out, columns=["session", "seq", "part", "payload"])
+
+    words = F.size(F.filter(F.split("payload", " ", -1), lambda w: w != ""))
+    return stream.select("session", "seq", words.alias("words")).groupBy("session").applyInPandasWithState(fold, "session long, seq long, part long, payload string", "total long", "append", GroupStateTimeout.NoTimeout)
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS w, length(coalesce(text, '')) % 7 = 0 AS odd, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role IN ('user', 'assistant')),
+s AS (SELECT *, count(*) FILTER (role = 'user' AND before = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS step, sum(CASE WHEN role = 'user' THEN w ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, step, role ORDER BY turn) AS i FROM s),
+j AS (SELECT conv_id, step, i, b.turn, CASE WHEN a.total IS NULL THEN 'missing' WHEN b.total IS NULL THEN 'surplus' WHEN a.total <> b.total + CASE WHEN b.odd THEN 1 ELSE 0 END THEN 'payload' END AS reason FROM (FROM p WHERE role = 'user') a FULL JOIN (FROM p WHERE role = 'assistant') b USING (conv_id, step, i)),
+f AS (SELECT conv_id, min((step, i)) FILTER (reason IS NOT NULL) AS stop, max(step) AS most FROM j GROUP BY conv_id),
+x AS (SELECT f.conv_id, any_value(reason) FILTER ((j.step, j.i) = stop) AS reason, any_value(j.turn) FILTER ((j.step, j.i) = stop) AS seq, any_value(coalesce(stop[1], most)) AS until, count(*) FILTER (stop IS NULL OR (j.step, j.i) < stop) AS matched FROM f JOIN j USING (conv_id) GROUP BY f.conv_id)
+SELECT conv_id AS session, CASE WHEN any_value(reason) IS NULL THEN 'reproduced' ELSE 'diverged' END AS status, any_value(reason) AS reason, any_value(seq) AS seq, any_value(until) + 1 AS steps, count(*) FILTER (role = 'user' AND step <= until) AS fed, any_value(matched) AS matched
+FROM x JOIN p USING (conv_id) GROUP BY conv_id""")
+def replayed_sessions(spark, d):
+    """Conversations as recordings of a program that counts words, some of its answers changed: played to the program, up to where each differs."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    words = F.when(F.col("role") == "user", F.size(F.filter(F.split("text", " ", -1), lambda w: w != ""))).otherwise(0)
+    so_far = F.sum(words).over(Window.partitionBy("conv_id").orderBy("turn"))
+    changed = F.when(F.char_length("text") % 7 == 0, 1).otherwise(0)
+    answer = F.to_json(F.struct(F.lit(-1).alias("timestamp"), (so_far + changed).alias("total")))
+    own = tables.replay_entries(c.withColumn("text", F.when(F.col("role") == "assistant", answer).otherwise(F.col("text"))))
+    with scratch(spark) as folder:
+        return fixed(player.Player(own, folder).play(_running_words))
