@@ -347,6 +347,75 @@ def session_lifecycle(spark, d):
         return _streamed(spark, folder, rows, "seq", timers.lifecycle)
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+e AS (SELECT conv_id, turn, i, text, CASE WHEN i = 1 THEN 'open' WHEN role = 'assistant' AND n % 5 = 0 THEN 'close' WHEN role = 'assistant' THEN 'all' WHEN role = 'system' THEN 'save' WHEN n % 3 = 0 THEN 'old' WHEN n % 4 = 0 THEN 'far' ELSE 'part' END AS kind FROM t),
+r AS (SELECT conv_id, i, turn, 'accepted' AS status, CAST(0 AS BIGINT) AS version, text, true AS opened FROM e WHERE i = 1
+UNION ALL SELECT conv_id, i, turn, status, CASE WHEN status = 'accepted' AND kind IN ('all', 'part', 'far') THEN turn ELSE version END,
+  CASE WHEN status <> 'accepted' OR kind IN ('close', 'save') THEN was WHEN kind = 'all' THEN own WHEN kind = 'part' THEN own[:5] || was[11:] ELSE own || was[100001:] END, opened AND kind <> 'close'
+FROM (SELECT e.conv_id, e.i, e.turn, e.kind, e.text AS own, r.text AS was, r.version, r.opened, CASE WHEN NOT r.opened THEN 'refused: not open' WHEN e.kind = 'old' THEN 'refused: old version' WHEN e.kind = 'part' AND length(r.text) < 10 OR e.kind = 'far' AND length(r.text) < 100000 THEN 'refused: range' ELSE 'accepted' END AS status FROM r JOIN e ON e.conv_id = r.conv_id AND e.i = r.i + 1))
+SELECT CAST(conv_id AS VARCHAR) AS uri, turn AS seq, status, version, md5(text) AS text_md5 FROM r""")
+def edited_documents(spark, d):
+    """Conversations as documents in an editor: the first turn opens one, later ones replace all or a part of it or close it; some are out of their order or range."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    n, first = F.char_length("text"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    case = F.when(first, "open").when((F.col("role") == "assistant") & (n % 5 == 0), "close").when(F.col("role") == "assistant", "all").when(F.col("role") == "system", "save").when(n % 3 == 0, "old").when(n % 4 == 0, "far").otherwise("part")
+    c = c.withColumn("case", case)
+    inside = F.col("case").isin("part", "far")
+    kind = F.when(F.col("case").isin("open", "close", "save"), F.col("case")).otherwise("change")
+    version = F.when(F.col("case").isin("open", "old"), 0).otherwise(F.col("turn")).cast("long")
+    new = F.when(F.col("case") == "part", F.substring("text", 1, 5)).otherwise(F.col("text"))
+    end = F.when(F.col("case") == "part", 10).when(F.col("case") == "far", 100_000)
+    rows = c.select(F.col("conv_id").cast("string").alias("uri"), F.col("turn").cast("long").alias("seq"), kind.alias("kind"), new.alias("text"), F.when(inside, 0).cast("long").alias("start"), end.cast("long").alias("end"), version.alias("version"))
+    with scratch(spark) as folder:
+        out = _streamed(spark, folder, rows, "seq", operators.documents)
+        return out.select("uri", "seq", "status", "version", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS scan, max((ts, event_id, event_type)) AS last FROM events GROUP BY ALL),
+d AS (SELECT user_id, scan, CASE WHEN last[3] <> 'error' THEN last[3] END AS digest FROM s),
+b AS (SELECT *, lag(digest) OVER o AS before, row_number() OVER o AS i FROM d WINDOW o AS (PARTITION BY user_id ORDER BY scan)),
+c AS (SELECT *, CASE WHEN digest IS NOT NULL AND before IS NULL AND (i > 1 OR scan > 0) THEN 'created' WHEN digest <> before THEN 'modified' WHEN digest IS NULL AND before IS NOT NULL THEN 'deleted' END AS change FROM b)
+SELECT CAST(user_id AS VARCHAR) AS path, CAST(scan AS BIGINT) AS scan, change FROM c WHERE change IS NOT NULL""")
+def polled_files(spark, d):
+    """Users as files that are looked at once a day: a file's content is the kind of the last event, an error takes it away."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    start = e.agg(F.min("day").alias("start"))
+    last = F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("last")
+    days = e.groupBy("user_id", "day").agg(last).crossJoin(F.broadcast(start))
+    rows = days.select(F.col("user_id").cast("string").alias("path"), F.date_diff("day", "start").cast("long").alias("scan"), F.when(F.col("last") != "error", F.col("last")).alias("sha256"))
+    with scratch(spark) as folder:
+        return _streamed(spark, folder, rows, "scan", operators.file_changes)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, 'stopped' AS state, 0 AS epoch, 0 AS crashes, CAST(0 AS BIGINT) AS wait_ms FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, i, seq, CASE WHEN was = 'quarantined' OR kind = 'crash' AND crashes >= 3 THEN 'quarantined' WHEN kind = 'crash' THEN 'backoff' WHEN kind = 'start' THEN 'running' WHEN kind = 'stop' THEN 'stopped' ELSE was END,
+  epoch, crashes, CASE WHEN was <> 'quarantined' AND kind = 'crash' AND crashes < 3 THEN least(10000, 100 * CAST(pow(2, crashes - 1) AS BIGINT)) ELSE 0 END
+FROM (SELECT r.user_id, e.i, e.event_id AS seq, r.state AS was, k.kind, r.epoch + CASE WHEN r.state <> 'quarantined' AND k.kind = 'start' THEN 1 ELSE 0 END AS epoch, CASE WHEN r.state = 'quarantined' THEN r.crashes WHEN k.kind = 'healthy' THEN 0 WHEN k.kind = 'crash' THEN r.crashes + 1 ELSE r.crashes END AS crashes
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 JOIN (VALUES ('signup', 'start'), ('error', 'crash'), ('purchase', 'healthy'), ('click', 'stop'), ('view', 'seen')) k(type, kind) ON k.type = e.kind))
+SELECT CAST(user_id AS VARCHAR) AS backend, i AS place, seq, state, epoch, wait_ms FROM r WHERE i > 0""")
+def backend_histories(spark, d):
+    """Users' events as those of backends: sign-ups start one, errors are crashes, purchases show that it is well; three crashes on end are too many."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kind = F.col("event_type")
+    case = F.when(kind == "signup", "start").when(kind == "error", "crash").when(kind == "purchase", "healthy").when(kind == "click", "stop").otherwise("seen")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    rows = fixed(e.select(F.col("user_id").cast("string").alias("backend"), place.alias("seq"), case.alias("kind"), F.col("event_id").cast("long").alias("event_id")))
+    with scratch(spark) as folder:
+        out = _streamed(spark, folder, rows.drop("event_id"), "seq", lambda s: operators.backend_states(s, 3))
+        return out.join(rows.drop("kind"), ["backend", "seq"]).select("backend", F.col("seq").alias("place"), F.col("event_id").alias("seq"), "state", "epoch", "wait_ms")
+
+
+@query("""WITH e AS (SELECT event_type AS method, epoch_us(ts) // 60000000 * 60000 AS minute, CAST(floor(value * 1000) AS BIGINT) AS ms, (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 AS w FROM events)
+SELECT minute, method, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS max_ms FROM e WHERE minute + 60000 <= w GROUP BY minute, method""")
+def minutes_of_a_stream(spark, d):
+    """Requests a minute and method as a stream has them at its end: minutes that the watermark has passed."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(_instant("ts").alias("at"), F.col("event_type").alias("method"), F.floor(F.col("value") * 1000).alias("latency_ms"))
+    with scratch(spark) as folder:
+        return _streamed(spark, folder, rows, "at", lambda s: operators.minute_latency(s, LATENESS)).withColumn("minute", F.unix_millis("minute"))
+
+
 # ---- recordings, played
 
 
