@@ -72,6 +72,17 @@ def convert_column(line_text: Column, char: Column, to: str) -> Column:
     return WIDTHS[to](prefix_of(line_text, char)).cast("long")
 
 
+def diagnostics_in(diagnostics: DataFrame, lines: DataFrame, to: str) -> DataFrame:
+    """Diagnostics (uri, range in UTF-16 units) with the range's columns in another encoding: null where one is no place in its line."""
+    columns, out = diagnostics.columns, diagnostics
+    for side in ("start", "end"):
+        own = lines.select("uri", F.col("line").alias(f"{side} line"), F.col("line_text").alias(f"{side} text"))
+        out = out.withColumn(f"{side} line", F.col(f"range.{side}_line")).join(own, ["uri", f"{side} line"], "left")
+    at = lambda side: convert_column(F.col(f"{side} text"), F.col(f"range.{side}_char"), to).alias(f"{side}_char")
+    moved = F.struct("range.start_line", at("start"), "range.end_line", at("end"))
+    return out.withColumn("range", moved).select(*columns)
+
+
 def range_text(text: Column, start: Column, end: Column) -> Column:
     """Code points of ``text`` from offset ``start`` to ``end``; null if these aren't in order or in it."""
     good = (start >= 0) & (start <= end) & (end <= F.char_length(text))

@@ -166,6 +166,15 @@ def mentions_version(text: Column, version: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(r"(?:^|[^0-9A-Za-z.+\-])"), quoted, F.lit(r"(?:$|[^0-9A-Za-z.+\-])")))
 
 
+def diagnostic_code(raw: Column) -> Column:
+    """A diagnostic's code as text, from its JSON: a text is what it says, a whole number is in decimal, null is empty, all else stays JSON."""
+    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    spoken = F.get_json_object(F.concat(F.lit('{"v":'), bare, F.lit("}")), "$.v")
+    number = F.when(bare.rlike(r"^-?(0|[1-9][0-9]*)$"), bare.try_cast("long").cast("string"))
+    own = F.when(bare.rlike(r'^"([^"\\]|\\.)*"$'), spoken).otherwise(number)
+    return F.when(F.coalesce(bare, F.lit("")).isin("", "null"), "").otherwise(F.coalesce(own, bare))
+
+
 def same_members(a: Column, b: Column) -> Column:
     """Equality of lists as multisets."""
     return F.array_sort(a).eqNullSafe(F.array_sort(b))

@@ -53,6 +53,21 @@ def in_lines(diagnostics: DataFrame, start: int, end: int) -> DataFrame:
     return diagnostics.where((F.col("range.end_line") >= start) & (F.col("range.start_line") <= end))
 
 
+#: Codes of diagnostics that have a safe fix, with its title and what takes the place of the range.
+SAFE_FIXES = {"unused-import": ("Remove unused import", "")}
+
+
+def code_actions(diagnostics: DataFrame, start: int, end: int) -> DataFrame:
+    """The diagnostics (range, code, message) that overlap lines, each with an action: ``title``, ``kind``, ``new_text`` for its range.
+
+    A code without a safe fix gets an explanation only, and its ``new_text`` is null.
+    """
+    title, new_text = F.concat(F.lit("About this diagnostic: "), F.coalesce("message", F.lit(""))), F.lit(None).cast("string")
+    for code, (name, text) in SAFE_FIXES.items():
+        title, new_text = (F.when(F.col("code") == code, F.lit(mine)).otherwise(other) for mine, other in ((name, title), (text, new_text)))
+    return in_lines(diagnostics, start, end).select("*", title.alias("title"), F.lit("quickfix").alias("kind"), new_text.alias("new_text"), new_text.isNull().alias("explanation_only"))
+
+
 def by_uri_and_method(evidence: DataFrame, uri: str | None, method: str | None) -> DataFrame:
     for name, value in (("uri", uri), ("method", method)):
         evidence = evidence if value is None else evidence.where(F.col(name) == value)

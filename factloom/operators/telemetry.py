@@ -265,6 +265,30 @@ def pressure(used: Column, limit: Column) -> Column:
     return out.otherwise("normal")
 
 
+def memory(usage: DataFrame, limits: DataFrame, budget: int | None = None) -> DataFrame:
+    """Bytes in use (category, bytes) against limits (category, most): a row a category with its share, and one in total with its band.
+
+    The total is held against ``budget``, or else the sum of limits. What has no limit, or one of 0,
+    has a share of 0 and counts in the total. The total's row has a null category and ``in_total``.
+    """
+    used = usage.where("category IS NOT NULL").groupBy("category").agg(F.sum("bytes").alias("used"))
+    rows = used.join(limits.select("category", F.col("most").cast("long").alias("most")), "category", "full_outer")
+    rows = rows.select("category", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most", F.lit(0)).alias("most"), F.lit(False).alias("in_total"))
+    whole = F.sum("most") if budget is None else F.lit(budget).cast("long")
+    total = rows.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("used"), F.coalesce(whole, F.lit(0)).alias("most"))
+    both = rows.unionByName(total.select(F.lit(None).cast("string").alias("category"), "used", "most", F.lit(True).alias("in_total")))
+    share = F.coalesce(F.col("used") / F.nullif(F.col("most"), F.lit(0)), F.lit(0.0))
+    return both.withColumn("share", share).withColumn("band", F.when(F.col("in_total"), F.coalesce(pressure(F.col("used"), F.col("most")), F.lit("normal"))))
+
+
+def admitted(asks: DataFrame, total: DataFrame) -> DataFrame:
+    """Requests for bytes with ``admitted``: each by itself would leave the total of ``memory`` below the band that rejects."""
+    reject = next(bound for bound, name in PRESSURE if name == "reject")
+    room = total.where("in_total").select(F.col("used").alias("used in total"), F.col("most").alias("most in total"))
+    ok = F.coalesce((F.col("used in total") + F.col("bytes")) / F.nullif(F.col("most in total"), F.lit(0)) < reject, F.lit(True))
+    return asks.crossJoin(F.broadcast(room)).withColumn("admitted", ok).drop("used in total", "most in total")
+
+
 def token_bucket(requests: DataFrame, keys: list[str], capacity: float, per_second: float) -> DataFrame:
     """Requests (at, request_id) with ``allowed``: a bucket per key refills with time and each request takes one token."""
     by = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(micros("at").alias("t"), "request_id"))).alias("rs"))

@@ -11,7 +11,7 @@ from factloom import schema
 from factloom.functions import positions, text, uri
 from factloom.operators import diff, facts, filters, gates, intervals, sets, telemetry
 from factloom.plans import oracle
-from factloom.plans.queries import _targets, files_of, load, log_of, occurrences_of, replay_zip_compare, versions, with_roles_of
+from factloom.plans.queries import _indexed_targets, files_of, load, log_of, occurrences_of, replay_zip_compare, versions, with_roles_of
 from factloom.plans.store import FactStore
 from factloom.sources import tables, workspace
 from factloom.storage import fixed, scratch
@@ -227,12 +227,46 @@ def remapped_ranges(spark, d):
     return intervals.remapped(ranges, spans).select("uri", "line", "source_range_start", "source_range_end")
 
 
-@query(f"WITH {oracle.TARGETS}, t AS (SELECT query_id, scope_id, symbol_id FROM target WHERE query_id % 10 = 0) SELECT query_id, count(*) AS edits, min(new_text) AS new_text FROM (SELECT query_id, 'renamed' AS new_text FROM t JOIN roles USING (scope_id, symbol_id)) GROUP BY query_id")
+@query(f"WITH {oracle.TARGETS}, u AS (SELECT scope_id, symbol_id, count(*) AS edits FROM occ GROUP BY ALL) SELECT query_id, edits, 'renamed' AS new_text FROM target JOIN u USING (scope_id, symbol_id)")
 def rename_edits(spark, d):
-    """The symbols at the start of every tenth document, renamed: as few as a user asks for."""
-    occ, targets = _targets(spark, d)
-    edits = facts.rename_edits(tables.with_roles(occ), targets.where("query_id % 10 = 0"), "renamed")
-    return edits.groupBy("query_id").agg(F.count("*").alias("edits"), F.min("new_text").alias("new_text"))
+    """The symbol at the start of every document, renamed: the edits of a symbol are made once, whoever asks for them."""
+    index, targets = _indexed_targets(spark, d)
+    targets = fixed(targets)
+    once = targets.groupBy(*facts.KEY).agg(F.min("query_id").alias("query_id"))
+    edits = facts.rename_edits(index.occurrences(once), once, "renamed").groupBy("query_id").agg(F.count("*").alias("edits"), F.min("new_text").alias("new_text"))
+    return targets.select("query_id", *facts.KEY).join(once.join(edits, "query_id").drop("query_id"), facts.KEY).select("query_id", "edits", "new_text")
+
+
+@query(f"""WITH {oracle.LINES}, x AS (SELECT uri, line, '😀é' || line_text AS t, n // 2 AS k, ['"unused-import"', '7', 'null', ' [1, 2] ', '"a\\"b"'][line % 5 + 1] AS raw FROM lines WHERE line BETWEEN 1 AND 6),
+    c AS (SELECT *, CASE line % 5 WHEN 0 THEN 'unused-import' WHEN 1 THEN '7' WHEN 2 THEN '' WHEN 3 THEN '[1, 2]' ELSE 'a"b' END AS code FROM x)
+    SELECT uri, line, code, CASE WHEN line = 5 THEN 'Remove unused import' ELSE 'About this diagnostic: ' || raw END AS title, CASE WHEN line = 5 THEN '' END AS new_text, line <> 5 AS explanation_only, 6 AS start_char, 6 + strlen(substr(t, 3, k)) AS end_char FROM c""")
+def code_actions(spark, d):
+    """A diagnostic on each line, its code as JSON of several kinds: actions for those in lines 1 to 6, in another encoding."""
+    lines = positions.line_table(files_of(spark, d)).withColumn("line_text", F.concat(F.lit("😀é"), "line_text"))
+    raw = F.element_at(F.array(*map(F.lit, ['"unused-import"', "7", "null", " [1, 2] ", '"a\\"b"'])), (F.col("line") % 5 + 1).cast("int"))
+    start = F.lit(3).cast("long")
+    span = F.struct(F.col("line").alias("start_line"), start.alias("start_char"), F.col("line").alias("end_line"), (start + F.floor((F.char_length("line_text") - 2) / 2)).alias("end_char"))
+    diagnostics = lines.select("uri", span.alias("range"), text.diagnostic_code(raw).alias("code"), raw.alias("message"))
+    found = positions.diagnostics_in(filters.code_actions(diagnostics, 1, 6), lines, "utf-8")
+    return found.select("uri", F.col("range.start_line").alias("line"), "code", "title", "new_text", "explanation_only", "range.start_char", "range.end_char")
+
+
+@query("""WITH u AS (SELECT CAST(l_linenumber AS VARCHAR) AS category, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS used, CAST(CASE WHEN l_linenumber <= 2 THEN 0 ELSE 55 * count(*) END AS BIGINT) AS most FROM lineitem GROUP BY l_linenumber),
+    t AS (SELECT CAST(sum(used) AS BIGINT) AS used, CAST(sum(most) AS BIGINT) AS most FROM u),
+    a AS (SELECT l_returnflag AS asked_by, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1)
+    SELECT category AS name, used, most, round(CASE WHEN most = 0 THEN 0.0 ELSE used / most END, 9) AS share, CAST(NULL AS VARCHAR) AS band, CAST(NULL AS BOOLEAN) AS admitted FROM u
+    UNION ALL SELECT 'total', used, most, round(used / most, 9), CASE WHEN used / most >= 1 THEN 'critical' WHEN used / most >= 0.9 THEN 'reject' WHEN used / most >= 0.8 THEN 'throttle' WHEN used / most >= 0.7 THEN 'evict' ELSE 'normal' END, NULL FROM t
+    UNION ALL SELECT 'ask ' || asked_by, bytes, NULL, NULL, NULL, (t.used + bytes) / t.most < 0.9 FROM a, t""")
+def memory_by_category(spark, d):
+    """Line numbers as categories of memory, one without a limit and one with a limit of 0: shares, the total's band, and what may still be had."""
+    rows = load(spark, d, "lineitem")
+    category = F.col("l_linenumber").cast("string").alias("category")
+    limits = rows.where("l_linenumber > 1").groupBy(category).agg(F.when(F.min("l_linenumber") == 2, 0).otherwise(55 * F.count("*")).alias("most"))
+    held = fixed(telemetry.memory(rows.select(category, F.col("l_quantity").cast("long").alias("bytes")), limits))
+    asks = telemetry.admitted(rows.groupBy("l_returnflag").agg(F.sum(F.col("l_linenumber").cast("long")).alias("bytes")), held)
+    none = lambda t: F.lit(None).cast(t)
+    shown = held.select(F.coalesce("category", F.lit("total")).alias("name"), "used", "most", F.round("share", 9).alias("share"), "band", none("boolean").alias("admitted"))
+    return shown.unionByName(asks.select(F.concat(F.lit("ask "), "l_returnflag").alias("name"), F.col("bytes").alias("used"), none("long").alias("most"), none("double").alias("share"), none("string").alias("band"), "admitted"))
 
 
 @query(f"""WITH {oracle.LINES}, x AS (SELECT uri, line, '😀é' || line_text AS t, n, n // 2 AS k FROM lines)

@@ -140,9 +140,10 @@ class FactIndex:
     def places_of_definitions(self) -> DataFrame:
         return self.definitions.select(*facts.KEY, *facts.LOCATION)
 
-    def occurrences(self) -> DataFrame:
-        """Every place of every symbol, with its role."""
-        each = self.postings.select(*facts.KEY, "uri", "language", "defines", F.posexplode("places").alias("k", "p"))
+    def occurrences(self, of: DataFrame | None = None) -> DataFrame:
+        """Every place of every symbol, or of the symbols ``of`` (scope_id, symbol_id), with its role."""
+        own = self.postings if of is None else self.postings.join(of.select(*facts.KEY), facts.KEY, "left_semi")
+        each = own.select(*facts.KEY, "uri", "language", "defines", F.posexplode("places").alias("k", "p"))
         return each.select(*facts.KEY, "uri", "language", "p.*", F.when(F.col("defines") & (F.col("k") == 0), "definition").otherwise("reference").alias("role"))
 
     def counts(self) -> DataFrame:

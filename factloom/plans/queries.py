@@ -173,12 +173,6 @@ def _starts(spark, d):
     return occ, queries, ranges
 
 
-def _targets(spark, d):
-    occ, queries, ranges = _starts(spark, d)
-    hit = intervals.narrowest(queries, ranges).where("status = 'exact'")
-    return occ, hit.select("query_id", F.substring_index("symbol_id", "|", 1).alias("scope_id"), F.expr("substring(symbol_id, instr(symbol_id, '|') + 1)").alias("symbol_id"))
-
-
 def _indexed_targets(spark, d):
     """The index, and the symbol at the first place of each document."""
     index = index_of(spark, d)
