@@ -13,11 +13,16 @@ A common symbol's postings are spread over several files, as the ranges go by th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import time
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.positions import LINE_END
 from factloom.operators import facts, intervals
 from factloom.plans.store import FactStore, StoreError
 from factloom.sources import tables
@@ -26,7 +31,7 @@ from factloom.storage import scratch, shared_folder
 #: Seconds between looks while another session builds the same index, and looks until this one gives up.
 WAIT_SECONDS, LOOKS = 5, 720
 #: To be raised whenever the tables of the index or of the store change: indexes of another form are never read.
-FORM = 2
+FORM = 3
 
 
 def state_of(spark: SparkSession, path: str) -> str:
@@ -40,16 +45,69 @@ def state_of(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()
 
 
+#: A symbol's places in a document, in their order, with its spelling at the first one.
+POSTING = "scope_id string, doc_id long, language string, symbol_id string, token string, places array<struct<line:long,start_char:long,end_char:long>>"
+#: Places after which postings are sent on.
+PLACES = 200_000
+
+
+def _places(lines: list[str], lowered: list[str] | None) -> dict[str, list]:
+    """Words of lines by their symbol: the first spelling, then line, start and end of each place in UTF-16 units."""
+    found: dict[str, list] = {}
+    for number, line in enumerate(lines):
+        wide, at = not line.isascii(), 0
+        for word, symbol in zip(line.split(" "), (line.lower() if lowered is None else lowered[number]).split(" ")):
+            width = len(word)
+            if wide:
+                width += sum(c > "\uffff" for c in word)
+            if width:
+                known = found.get(symbol)
+                if known is None:
+                    found[symbol] = [word, number, at, at + width]
+                else:
+                    known += (number, at, at + width)
+            at += width + 1
+    return found
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (scope_id, doc_id, language, lines, lowered): a document is in one row, so none needs a shuffle."""
+
+    def sent() -> pa.RecordBatch:
+        flat = np.fromiter(itertools.chain.from_iterable(itertools.islice(x, 1, None) for x in kept), np.int64, count=sum(map(len, kept)) - len(kept)).reshape(-1, 3)
+        ends = np.cumsum([0] + [len(x) // 3 for x in kept], dtype=np.int32)
+        structs = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["line", "start_char", "end_char"])
+        return pa.RecordBatch.from_arrays([pa.array(scopes, pa.string()), pa.array(ids, pa.int64()), pa.array(languages, pa.string()), pa.array(symbols, pa.string()), pa.array([x[0] for x in kept], pa.string()), pa.ListArray.from_arrays(ends, structs)], ["scope_id", "doc_id", "language", "symbol_id", "token", "places"])
+
+    scopes, ids, languages, symbols, kept, places = [], [], [], [], [], 0
+    for batch in batches:
+        columns = [batch.column(i) for i in range(5)]
+        for i in range(batch.num_rows):
+            scope, doc_id, language, lines, lowered = (c[i].as_py() for c in columns)
+            found = _places(lines, lowered)
+            symbols += found
+            kept += found.values()
+            scopes += [scope] * len(found)
+            ids += [doc_id] * len(found)
+            languages += [language] * len(found)
+            places += sum(map(len, found.values()))
+            if places >= 3 * PLACES:
+                yield sent()
+                scopes, ids, languages, symbols, kept, places = [], [], [], [], [], 0
+    if kept:
+        yield sent()
+
+
 def relations(documents: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """The tables of the index; ``folder`` takes what is read several times."""
+    """The tables of the index; ``folder`` takes what is read several times. An id names one document of its scope."""
     spark = documents.sparkSession
     files = tables.files(documents)
-    # Words are put together as numbers: what a document's key tells is added afterwards.
-    packed = tables.occurrences(files).select("scope_id", "symbol_id", "doc_id", "language", "token", (F.col("line") * 2**32 + F.col("start_char")).alias("p"), (F.col("end_char") - F.col("start_char")).alias("w"))
-    by_document = packed.groupBy("scope_id", "symbol_id", "doc_id", "language").agg(F.collect_list("p").alias("p"), F.collect_list("w").alias("w"), F.min_by("token", "p").alias("token"))
-    start = lambda x: x["p"].bitwiseAND(F.lit(2**32 - 1))
-    places = F.transform(F.sort_array(F.arrays_zip("p", "w")), lambda x: F.struct(F.shiftright(x["p"], 32).alias("line"), start(x).alias("start_char"), (start(x) + x["w"]).alias("end_char")))
-    by_document.select("scope_id", "symbol_id", "doc_id", tables.uri_of(F.col("scope_id"), F.col("doc_id")).alias("uri"), "language", "token", places.alias("places")).write.parquet(f"{folder}/postings")
+    lines = F.split("text", LINE_END, -1)
+    plain = F.octet_length("text") == F.char_length("text")
+    # Words are told and lower-cased as elsewhere, by Spark; lower-casing plain text needs no help.
+    own = files.select("scope_id", "doc_id", "language", lines.alias("lines"), F.when(~plain, F.transform(lines, F.lower)).alias("lowered"))
+    by_document = own.mapInArrow(_postings_of, POSTING)
+    by_document.select("scope_id", "symbol_id", "doc_id", tables.uri_of(F.col("scope_id"), F.col("doc_id")).alias("uri"), "language", "token", "places").write.parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     first = F.min(F.struct("doc_id", F.col("places")[0].alias("place"), "uri", "token", "language")).alias("d")
     found = postings.groupBy("scope_id", "symbol_id").agg(first, F.sum(F.size("places").cast("long")).alias("uses"))
