@@ -43,3 +43,23 @@ def test_places_are_in_order(spark, tmp_path):
 
 def test_no_documents(spark, tmp_path):
     assert postings(spark, documents(spark).where("false"), str(tmp_path / "made")).count() == 0
+
+
+def test_postings_know_their_definitions(spark, tmp_path):
+    """Roles and uses are there before postings are shuffled, so no join follows."""
+    rows = documents(spark).where("source IS NOT NULL")
+    made = postings(spark, rows, str(tmp_path / "made"))
+    got = made.where("defines").select("scope_id", "symbol_id", "doc_id", F.col("places")[0]["line"], F.col("places")[0]["start_char"], "token", "uses")
+    want = tables.definitions(tables.occurrences(tables.files(rows))).select("scope_id", "symbol_id", "doc_id", "line", "start_char", "token", "uses")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_places_stay_out_of_shuffles(spark, tmp_path):
+    """References are counted, and words looked for, before anything is joined."""
+    path = str(tmp_path / "documents.parquet")
+    documents(spark).write.parquet(path)
+    found = index.stored_index(spark, path, str(tmp_path / "store"))
+    targets = spark.createDataFrame([(1, "s1", "a")], "query_id int, scope_id string, symbol_id string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan(found.reference_summary(targets)) and "Join" not in plan(found.counts())
+    assert "Deduplicate" not in found.edits(targets, "b")._jdf.queryExecution().analyzed().toString()
