@@ -49,10 +49,14 @@ def use_counts(occurrences: DataFrame) -> DataFrame:
     return fixed(occurrences.groupBy("scope_id", "symbol_id", "uri", "source_hash").agg(F.count_if(F.col("role") == "reference").alias("references"), F.count("*").alias("n")))
 
 
-def generation_gates(scopes: DataFrame, symbols: DataFrame, counts: DataFrame, coverage: DataFrame, files: DataFrame) -> DataFrame:
-    """What must hold before a generation is published; ``counts`` are ``use_counts`` or a stored index's."""
+def generation_gates(scopes: DataFrame, symbols: DataFrame, counts: DataFrame, coverage: DataFrame, files: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """What must hold before a generation is published; ``counts`` are ``use_counts`` or a stored index's.
+
+    ``origins`` are places by scope, uri and source_hash (``weight``), if they are known without the counts.
+    """
     references = counts.where("references > 0").groupBy("scope_id", "symbol_id").agg(F.sum("references").alias("weight"))
-    origins = counts.groupBy("scope_id", "uri", "source_hash").agg(F.sum("n").alias("weight"))
+    if origins is None:
+        origins = counts.groupBy("scope_id", "uri", "source_hash").agg(F.sum("n").alias("weight"))
     current = files.select("uri", F.col("sha256").alias("source_hash"))
     return violations(
         repeated_scope=scopes.groupBy("scope_id").agg(F.count("*").alias("n")).where("n > 1"),
