@@ -63,3 +63,20 @@ def test_places_stay_out_of_shuffles(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "LeftSemi" not in plan(found.reference_summary(targets)) and "Join" not in plan(found.counts())
     assert not [x for x in plan(found.edits(targets, "b")).splitlines() if "Deduplicate" in x and "line#" in x]
+
+
+def test_definitions_in_one_shuffle(spark):
+    """Symbols meet once, with place and spelling: no text is joined and no list of a document's symbols is made."""
+    rows = tables.files(documents(spark).where("source IS NOT NULL"))
+    want = tables.definitions(tables.occurrences(rows)).drop("source_hash")
+    made = tables.defined(rows)
+    assert sorted(map(tuple, made.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_questions_are_answered_in_their_lines(spark):
+    lines = spark.createDataFrame([(1, "a Bc  d", 2), (2, "a Bc", 1), (3, "", 0), (4, "😀 x", 3), (5, "w " * 5000, 9998)], "k long, line_text string, char long")
+    found = index.words_at(lines, ["k"])
+    assert sorted(map(tuple, found.collect())) == [(1, "bc"), (4, "x"), (5, "w")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
