@@ -57,7 +57,7 @@ def handler(extract: Callable[[str, str], Iterable[dict]]):
         def eval(self, uri, text):
             # The rows of one file are kept until it has ended well.
             try:
-                rows = [tuple(row.get(c) for c in COLUMNS) for row in extract(uri, text)]
+                rows = [tuple(map(row.get, COLUMNS)) for row in extract(uri, text)]
             except Exception as e:  # an extractor is foreign code: whatever it raises is this file's fault
                 rows = [tuple({"kind": "fault", "message": f"{type(e).__name__}: {e}"}.get(c) for c in COLUMNS)]
             yield from rows
@@ -80,12 +80,13 @@ class Extractors:
         self.spark.udtf.register(extractor.function(), F.udtf(handler(extractor.extract), returnType=FACT))
         self.by_language.update(dict.fromkeys(extractor.languages, extractor))
 
-    def export(self, files: DataFrame) -> dict[str, DataFrame]:
+    def export(self, files: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
         """The facts of files (scope_id, uri, language, text, sha256): symbols, occurrences, edges, faults, coverage, provenance.
 
         A kind is ``complete`` in a scope if the extractors of all its files find it and none failed
         or gave an edge of a kind that facts don't have; ``unavailable`` if an extractor doesn't find
-        it; ``unknown`` if a file failed or its language has no extractor.
+        it; ``unknown`` if a file failed or its language has no extractor. ``folder``, for as long as the
+        facts are read, holds what the extractors gave as Parquet, so that they run once for all facts.
         """
         chosen = sorted({e.name: e for e in self.by_language.values()}.values(), key=lambda e: e.name)
         plain = files.select("scope_id", "uri", "language", F.coalesce("text", F.lit("")).alias("text"), "sha256")
@@ -96,6 +97,9 @@ class Extractors:
             rows = got if rows is None else rows.unionByName(got)
         if rows is None:
             raise ExtractorError("no extractor is registered")
+        if folder is not None:
+            rows.write.parquet(folder)
+            rows = self.spark.read.parquet(folder)
         wrong = F.when((F.col("kind") == "edge") & ~F.coalesce(F.col("edge").isin(*EDGE_FACT), F.lit(False)), F.concat(F.lit("no such kind of edge: "), F.coalesce("edge", F.lit(""))))
         wrong = F.coalesce(wrong, F.when((F.col("kind") != "edge") & ~F.coalesce(F.col("kind").isin("symbol", "occurrence", "fault"), F.lit(False)), F.lit("no such kind of row")))
         faults = rows.where(F.col("kind") == "fault").select("scope_id", "uri", "message").unionByName(rows.where(wrong.isNotNull()).select("scope_id", "uri", wrong.alias("message")))

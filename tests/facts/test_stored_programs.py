@@ -190,6 +190,16 @@ def test_extractors_by_language(spark):
     assert spark.sql("SELECT symbol_id FROM extract_one('u', 'p q') WHERE kind = 'symbol'").count() == 2
 
 
+def test_extractors_run_once_for_all_facts(spark, tmp_path):
+    own = extract.Extractors(spark)
+    own.register(extract.Extractor("one", "1", ("go",), ("symbol",), words))
+    of = files(spark, [("a", "go", "x y x"), ("c", "go", "x !")])
+    kept, plain = own.export(of, str(tmp_path / "facts")), own.export(of)
+    for name in ("symbols", "occurrences", "edges", "faults", "coverage"):
+        assert "PythonUDTF" not in kept[name]._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, kept[name].collect()), key=str) == sorted(map(tuple, plain[name].collect()), key=str)
+
+
 def test_what_an_extractor_may_not_do(spark):
     own = extract.Extractors(spark)
     own.register(extract.Extractor("one", "1", ("go",), ("symbol",), lambda uri, text: [extract.edge("a", "b", "friend", 0), {"kind": "thing"}]))
