@@ -80,3 +80,18 @@ def test_questions_are_answered_in_their_lines(spark):
     found = index.words_at(lines, ["k"])
     assert sorted(map(tuple, found.collect())) == [(1, "bc"), (4, "x"), (5, "w")]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_counted_in_one_shuffle(spark):
+    """Against all places: the definition, wherever the least line is, is left out or not."""
+    rows = tables.files(documents(spark).where("source IS NOT NULL").unionByName(spark.createDataFrame([(100, "q\nz z", "s1", "en"), (101, "z", "s1", "en"), (102, "x\n\nonly only", "s9", "en"), (103, "only", "s9", "en")], "doc_id long, text string, source string, lang string")))
+    roles = tables.with_roles(tables.occurrences(rows))
+    keys = roles.select("scope_id", "symbol_id").distinct().withColumn("query_id", F.concat_ws("|", "scope_id", "symbol_id"))
+    from factloom.operators import facts
+
+    for declarations in (False, True):
+        made = tables.reference_counts(rows, declarations)
+        want = facts.reference_summary(roles, keys, declarations).select("scope_id", "symbol_id", "places", "documents", "least_line", "starts")
+        assert sorted(map(tuple, made.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
