@@ -1,15 +1,20 @@
-"""Near-duplicate lines by a deletion-neighbourhood join (operator 2), in DataFrame functions only.
+"""Near-duplicate lines by what two lines have unchanged (operator 2), in DataFrame functions only.
 
 Two lines are near when the shorter has 16 characters or more and one edit of a
-character makes them equal, or when it has 32 or more and two edits do. Then both
-become equal when each loses a few characters: a changed one is lost on both sides,
-a further one on one side. All such variants are emitted as hashed keys, lines meet
-under equal keys, the edit distance is verified, and the earliest line is kept.
-
-Variants are only made where a line can have a partner, which loses nothing:
+character makes them equal, or when it has 32 or more and two edits do. Lines meet
+under hashed keys, the edit distance is verified, and the earliest line is kept.
 
 * Of two lines within two edits the first third, the last third or the middle is found
-  unchanged in both, up to one place aside; lines that share none drop out before.
+  unchanged in both, up to one place aside. Lines that share none by classes of length drop
+  out first; the text of the others alone is fetched, and they meet by thirds at their exact lengths.
+* Where few lines are under a key, each is held against the others (``FEW`` comparisons a line at most).
+* Lines under a key of many meet again under all but two of six parts, in the same way.
+* Lines that many still share a key with meet by deletion variants.
+
+Two near lines become equal when each loses a few characters: a changed one is lost on both
+sides, a further one on one side. All such variants are emitted as hashed keys, but only where
+a line can have a partner, which loses nothing:
+
 * A line is cut into four parts by the length of the shorter line. Both edits lie in one
   part, or one in each of two. Lines meet under hashes of all the rest.
 * Where one part is left open, it is cut into four again, until it has few characters;
@@ -25,6 +30,7 @@ Lines of less than 32 characters take the same way for one edit, with sixteen pa
 from __future__ import annotations
 
 import json
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +42,10 @@ from factloom.llm.common import checkpointed, stored
 LEAST_CHARS, TWO_EDITS_FROM = 16, 32
 #: Parts of a line in one of which a single edit lies; parts of an open stretch for two edits, and its greatest length that isn't cut again.
 SEGMENTS, PARTS, LEAF = 16, 4, 24
+#: Lines under a key up to which each is held against the others; parts of a line of which two are left open for more.
+FEW, FRAMES = 16, 6
+#: Bits of the filter by a shared key, and the least and most of them: with more keys more lines pass it, none is lost.
+BITS, LEAST_BITS, MOST_BITS = 128, 1 << 20, 1 << 29
 
 #: What two edits in two open parts are: the change of place after the first and after both, and
 #: what the shorter line (or the one whose second part is longer) and the other lose on the left
@@ -43,23 +53,25 @@ SEGMENTS, PARTS, LEAF = 16, 4, 24
 KINDS = {"changed, changed": (0, 0, "PP", "PP"), "more, changed": (1, 1, "WP", "DP"), "changed, more": (0, 1, "PW", "PD"), "more, more": (1, 2, "WW", "DD"), "more, less": (1, 0, "WD", "DW")}
 
 
-def third_keys(line: Column, least: int = LEAST_CHARS) -> Column:
-    """Hashes of the thirds of a line by classes of length; lines within two edits share one.
+def third_keys(lines: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """``lines`` of ``least`` characters with ``key``: hashes of the thirds by classes of length; lines within two edits share one.
 
     Classes are quarters of powers of two, and a line is also in those of lines one or two shorter.
     With ``base`` the least length of a class, an edit in the first and one in the last third leave
     the middle whole, at most one place aside.
     """
-    n = F.length(line)
+    own, line, c, third, base = lines.columns, F.col("line"), F.col("class"), F.col("third"), F.col("base")
+    # Lengths and classes are columns of their own, so that they are found once a line.
+    n = lines.select("*", F.length(line).alias("n")).where(F.col("n") >= least)
     of = lambda m: F.floor(4 * F.log2(F.greatest(m, F.lit(least)) / F.lit(float(least)))).cast("int")
-
-    def keys(c: Column) -> Column:
-        base = F.floor(F.lit(float(least)) * F.pow(F.lit(2.0), c / 4)).cast("int")
-        third = F.floor(base / 3).cast("int")
-        middle = lambda s: F.substr(line, third + 1 + s, base - 2 * third - 1)
-        return F.array(F.xxhash64(F.lit("first"), c, F.substr(line, F.lit(1), third)), F.xxhash64(F.lit("last"), c, F.right(line, third)), *[F.xxhash64(F.lit("middle"), c, middle(s)) for s in (0, 1)])
-
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.array(of(n), of(n - 1), of(n - 2))), keys)))
+    n = n.select("*", *[of(F.col("n") - e).alias(f"c{e}") for e in (0, 1, 2)])
+    others = [F.when(F.col("c1") < F.col("c0"), F.col("c1")), F.when(F.col("c2") < F.col("c1"), F.col("c2"))]
+    n = n.select(*own, F.explode(F.array("c0", *others)).alias("class")).where(c.isNotNull())
+    n = n.select("*", F.floor(F.lit(float(least)) * F.pow(F.lit(2.0), c / 4)).cast("int").alias("base"))
+    n = n.select("*", F.floor(base / 3).cast("int").alias("third"))
+    middle = lambda s: F.substr(line, third + 1 + s, base - 2 * third - 1)
+    hashed = [F.xxhash64(F.lit("first"), c, F.substr(line, F.lit(1), third)), F.xxhash64(F.lit("last"), c, F.right(line, third)), *[F.xxhash64(F.lit("middle"), c, middle(s)) for s in (0, 1)]]
+    return n.select(*own, F.explode(F.array(*hashed)).alias("key"))
 
 
 def cut(s: Column, lo: Column, hi: Column) -> Column:
@@ -239,6 +251,69 @@ def one_edit(lines: DataFrame) -> DataFrame:
     return one.union(two).distinct()
 
 
+def exact_thirds(lines: DataFrame, least: int) -> DataFrame:
+    """Lines under the thirds of the shorter of two, by its exact length: id, first, key, base (of its own length)."""
+    c, e = F.col("c"), F.col("e")
+    t = F.length(c) - e
+    third = F.floor(t / 3).cast("int")
+    hashed = [F.xxhash64(F.lit("first"), t, F.substr(c, F.lit(1), third)), F.xxhash64(F.lit("last"), t, F.right(c, third)), *[F.xxhash64(F.lit("middle"), t, F.substr(c, third + 1 + s, t - 2 * third - 1)) for s in (0, 1)]]
+    return _open(lines, least).select("id", "first", (e == 0).alias("base"), F.explode(F.array_distinct(F.array(*hashed))).alias("key"))
+
+
+def frames(lines: DataFrame, least: int) -> DataFrame:
+    """Lines under all but two of their parts, cut by the length of the shorter of two, as ``exact_thirds`` gives them.
+
+    What lies between the open parts is at its place or, in the other line, one further on.
+    """
+    c, e = F.col("c"), F.col("e")
+    t = F.length(c) - e
+    bound = lambda i: F.floor(t * i / FRAMES).cast("int")
+    spots = [(i, j, s) for i, j in combinations(range(FRAMES), 2) for s in (0, 1) if s == 0 or i + 1 < j]
+    pieces = [
+        F.array(*[F.xxhash64(cut(c, F.lit(0), bound(i))) for i in range(FRAMES)]).alias("before"),
+        F.array(*[F.xxhash64(cut(c, bound(j + 1) + e, F.length(c))) for j in range(FRAMES)]).alias("after"),
+        F.array(*[F.xxhash64(cut(c, bound(i + 1) + s, bound(j) + s)) if i + 1 < j else F.lit(0).cast("long") for i, j, s in spots]).alias("middle"),
+    ]
+    spots = F.from_json(F.lit(json.dumps([{"i": i, "j": j, "s": s, "at": at, "next": i + 1 == j} for at, (i, j, s) in enumerate(spots)])), "array<struct<i:int,j:int,s:int,at:int,next:boolean>>")
+    at = lambda name, k: F.element_at(name, k + 1)
+    # With two characters more, what lies between open parts is one further on.
+    able = F.filter(spots, lambda o: o["next"] | (e < 2) | (o["s"] == 1))
+    keys = F.transform(able, lambda o: F.struct(((e == 0) & (o["s"] == 0)).alias("base"), F.xxhash64("ctx", o["i"], o["j"], at("before", o["i"]), at("middle", o["at"]), at("after", o["j"])).alias("key")))
+    return _open(lines, least).select("id", "first", "ctx", "e", *pieces).select("id", "first", F.explode(keys).alias("o")).select("id", "first", "o.*")
+
+
+def held_against(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lines under keys: pairs (id, other) of a line and an earlier one for keys of few; the ids under keys of many.
+
+    Of two lines one is under the key by its own length, so it is these that are counted.
+    """
+    rows = stored(rows, "line-rows")
+    counts = [F.count_if("base").alias("n"), *[f(f"id.{h}").alias(f"{name}{h}") for h in ("h1", "h2") for name, f in (("p", F.min), ("q", F.max))]]
+    shared = stored(rows.groupBy("key").agg(*counts).where("n > 0 AND (ph1 <> qh1 OR ph2 <> qh2)").select("key", "n"), "line-keys")
+    own = rows.where("base").join(shared.where(F.col("n") <= FEW), "key").select("key", F.col("id").alias("id2"), F.col("first").alias("first2"))
+    met = own.join(rows.select("key", "id", "first"), "key")
+    later = F.col("first2") < F.col("first")
+    pairs = met.where(later | (F.col("first") < F.col("first2"))).select(F.when(later, F.col("id")).otherwise(F.col("id2")).alias("id"), F.when(later, F.col("id2")).otherwise(F.col("id")).alias("other"))
+    return stored(pairs.distinct(), "line-pairs"), rows.join(shared.where(F.col("n") > FEW), "key", "left_semi").select("id").distinct()
+
+
+def candidates(lines: DataFrame, least_chars: int, two_edits_from: int | None) -> DataFrame:
+    """Pairs (id, other) of a line and an earlier one, among which is each line's earliest near one."""
+    found = []
+    for keys in (exact_thirds, frames):
+        pairs, many = held_against(keys(lines, least_chars))
+        found.append(pairs)
+        lines = stored(lines.join(many, "id", "left_semi"), "lines-of-many")
+        if lines.isEmpty():
+            break
+    else:
+        if two_edits_from is None:
+            found.append(one_edit(lines))
+        else:
+            found += [one_edit(lines.where(F.length("line") <= two_edits_from)), two_edits(lines.where(F.length("line") >= two_edits_from), two_edits_from)]
+    return reduce(DataFrame.union, found).distinct()
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The lines with a word, where they are, and a hash of 128 bits of each."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
@@ -246,6 +321,25 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select(at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
+def with_partners(occ: DataFrame, least_chars: int) -> DataFrame:
+    """Id, first place and text of the lines that share a third with another line, and of a few that don't.
+
+    Shared thirds are few against all, so they go to every task as bits, and only what passes is shuffled.
+    """
+    keyed = third_keys(occ, least_chars)
+    shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("p"), F.max("h1").alias("q")).where("p <> q").select("key"), "shared-thirds")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * shared.count()).bit_length()))
+    spot = F.pmod("key", F.lit(bits)) + 1
+    bucket, place = F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).cast("int").alias("place")
+    # Dealt out by bucket first, as each task would send all bitmaps otherwise.
+    filters = shared.select(bucket, place).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("place") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    passed = keyed.select("*", bucket, place).join(F.broadcast(filters), "bucket").where(F.getbit(byte, F.col("place") % 8) == 1)
+    # Copies meet inside each task first, so that a common line is sent once a task.
+    lines = passed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.min("line").alias("line"))
+    return stored(lines.select(F.struct("h1", "h2").alias("id"), "first", "line"), "lines")
+
+
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, two_edits_from: int | None = TWO_EDITS_FROM) -> DataFrame:
     """One row per line with a word: id, line_no (from 0), kept, keep_id and keep_line_no.
 
@@ -260,27 +354,15 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 3 <= least_chars <= (two_edits_from or least_chars) or (two_edits_from or LEAF) < LEAF:
         raise ValueError(f"least_chars must be 3 or more and two_edits_from no less than it and {LEAF}")
     occ = occurrences(docs, id_col, text_col)
-    eligible = F.length("line") >= least_chars
-    flat = occ.select("h1", "h2", "at", F.when(eligible, third_keys(F.col("line"), least_chars)).alias("ks"))
-    distinct = stored(flat.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("ks").alias("ks")), "lines")
-
-    thirds = distinct.where("ks IS NOT NULL").select("h1", "h2", F.explode("ks").alias("key"))
-    shared = thirds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    able = thirds.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    # Copies meet inside each task first, so that a common line is sent once a task.
-    lines = occ.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(able, ["h1", "h2"], "left_semi")
-    lines = checkpointed(lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("id", F.struct("h1", "h2")).select("id", "first", "line"))
-
-    if two_edits_from is None:
-        pairs = one_edit(lines)
-    else:
-        pairs = one_edit(lines.where(F.length("line") <= two_edits_from)).union(two_edits(lines.where(F.length("line") >= two_edits_from), two_edits_from)).distinct()
+    lines = with_partners(occ, least_chars)
+    pairs = candidates(lines, least_chars, two_edits_from)
     pairs = pairs.join(lines.select("id", F.col("line").alias("a")), "id").join(lines.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("first").alias("of")), "other")
     most = F.when(F.least(F.length("a"), F.length("b")) >= F.lit(two_edits_from), 2).otherwise(1)
     near = pairs.withColumn("edits", F.levenshtein("a", "b", 2)).where((F.col("edits") >= 0) & (F.col("edits") <= most)).groupBy("id").agg(F.min("of").alias("near"))
     near = checkpointed(near.select("id.h1", "id.h2", "near"))
 
-    target = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("keep"))
+    distinct = occ.groupBy("h1", "h2").agg(F.min("at").alias("first"))
+    target = distinct.join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("keep"))
     # Stored, so that both sides of the join are plain exchanges and Spark can split a common line's rows.
     out = occ.select("h1", "h2", "at").join(stored(target, "line-targets"), ["h1", "h2"])
     return out.select(F.col("at.id").alias(id_col), F.col("at.line_no").cast("long").alias("line_no"), (F.col("at") == F.col("keep")).alias("kept"), F.col("keep.id").alias("keep_id"), F.col("keep.line_no").cast("long").alias("keep_line_no"))

@@ -135,6 +135,44 @@ def test_lines_with_two_edits(spark):
         linededup.line_verdicts(documents(spark), two_edits_from=8)
 
 
+def test_lines_of_few_are_compared_without_variants(spark, monkeypatch):
+    draw = random.Random(5)
+    base = ["".join(draw.choice("abcdefgh é") for _ in range(n)) for n in (16, 31, 32, 33, 60, 200, 900)]
+    lines = []
+    for x in base:
+        k, c = draw.randrange(len(x) - 1), draw.choice("XY😀")
+        lines += [x, x[:k] + c + x[k:], x[:k] + c + x[k + 1 :], c + x[: len(x) // 2] + c + x[len(x) // 2 :], x[2:], x[: k + 1] + c + c + c + x[k + 1 :]]
+    draw.shuffle(lines)
+    table = [(i, "\n".join(lines[2 * i : 2 * i + 2])) for i in range(21)]
+
+    def variants(*_):
+        raise AssertionError("variants were made")
+
+    monkeypatch.setattr(linededup, "one_edit", variants)
+    monkeypatch.setattr(linededup, "two_edits", variants)
+    got = linededup.line_verdicts(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "line_no", "kept", "keep_id", "keep_line_no")
+    assert sorted(map(tuple, got.collect())) == sorted(earliest_near(table))
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_lines_under_keys_of_many(spark, monkeypatch, few):
+    draw = random.Random(8)
+    base = ["".join(draw.choice("ab é") for _ in range(n)) for n in (17, 40, 90)]
+    lines = []
+    for _ in range(60):
+        x = draw.choice(base)
+        for _ in range(draw.randrange(4)):
+            k, c = draw.randrange(len(x) + 1), draw.choice("ab z")
+            x = [x[:k] + c + x[k:], x[:k] + x[k + 1 :], x[:k] + c + x[k + 1 :]][draw.randrange(3)]
+        lines.append(x)
+    table = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(20)]
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "LEAST_BITS", 1)
+    monkeypatch.setattr(linededup, "MOST_BITS", 64)
+    got = linededup.line_verdicts(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "line_no", "kept", "keep_id", "keep_line_no")
+    assert sorted(map(tuple, got.collect())) == sorted(earliest_near(table))
+
+
 def test_lines_on_awkward_tables(spark):
     docs = documents(spark, extra=True)
     verdicts = linededup.line_verdicts(docs)
